@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, secrets, wavelet
+from . import bpe, exact_dedup, secrets, simhash, url_filter, wavelet
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,12 +36,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op4_token_shards, op5_exact_dedup, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op9_simhash, op10_bpe_round_trip)}
 
 
 def _secret_sql() -> str:
