@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, secrets, simhash, toxicity, url_filter, wavelet
+from . import bpe, decontaminate, exact_dedup, secrets, simhash, toxicity, url_filter, wavelet
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op9_simhash, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op9_simhash, op10_bpe_round_trip)}
 
 
 def _secret_sql() -> str:
