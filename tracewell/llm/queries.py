@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, secrets, simhash, toxicity, url_filter, wavelet
+from . import bpe, decontaminate, exact_dedup, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op9_simhash, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op8_suffix_dedup, op9_simhash, op10_bpe_round_trip)}
 
 
 def _secret_sql() -> str:
