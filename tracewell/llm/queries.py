@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet
+from . import bpe, decontaminate, exact_dedup, ngram_lm, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.report(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op8_suffix_dedup, op9_simhash, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op7_stupid_backoff, op8_suffix_dedup, op9_simhash, op10_bpe_round_trip)}
 
 
 def _secret_sql() -> str:
@@ -90,5 +94,21 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from d window w as (partition by k order by n desc, doc_id)"""
 
 
+STUPID_BACKOFF_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+o as (select doc_id, len(w) as n, unnest(range(1, len(w) + 1)) as i, w from d),
+g as (select doc_id, n, i, w[i] as g1, case when i > 1 then w[i-1] || ' ' || w[i] end as g2, case when i > 2 then w[i-2] || ' ' || w[i-1] || ' ' || w[i] end as g3 from o),
+l as (select *, count(*) over (partition by g1) - count(*) over (partition by doc_id, g1) as c1,
+             case when g2 is null then 0 else count(*) over (partition by g2) - count(*) over (partition by doc_id, g2) end as c2,
+             case when g3 is null then 0 else count(*) over (partition by g3) - count(*) over (partition by doc_id, g3) end as c3,
+             count(*) over () as total from g),
+p as (select *, lag(c1) over (partition by doc_id order by i) as b1, lag(c2) over (partition by doc_id order by i) as b2 from l),
+s as (select doc_id, case when c3 > 0 then log10(c3 / b2) when c2 > 0 then log10(c2 / b1) + case when i > 2 then log10(0.4) else 0 end
+                          else log10(greatest(c1, 0.5) / greatest(total - n, 1)) + log10(0.4) * least(i - 1, 2) end as s from p),
+r as (select doc_id, sum(s) as s from s group by doc_id)
+select doc_id, len(w) as n_words, round(coalesce(s, 0), 6) as log_score, case when len(w) > 0 then round(s / len(w), 6) else 0 end as mean_log_score
+from d left join r using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _secret_sql(), "op5_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op7_stupid_backoff": STUPID_BACKOFF_SQL, "op2_secret_scan": _secret_sql(), "op5_exact_dedup": EXACT_DEDUP_SQL}
