@@ -242,3 +242,18 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the text that the ids decode to, for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe(path)
+        for b in batches:
+            ids = coder.encode_batch(b.column(1).to_pylist())
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u2")]).astype(np.int32))
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat), pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(coder.decode, ids)), pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    small_batches(docs.sparkSession)
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")

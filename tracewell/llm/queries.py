@@ -95,7 +95,7 @@ from d window w as (partition by k order by n desc, doc_id)"""
 
 
 STUPID_BACKOFF_SQL = r"""
-with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 o as (select doc_id, len(w) as n, unnest(range(1, len(w) + 1)) as i, w from d),
 g as (select doc_id, n, i, w[i] as g1, case when i > 1 then w[i-1] || ' ' || w[i] end as g2, case when i > 2 then w[i-2] || ' ' || w[i-1] || ' ' || w[i] end as g3 from o),
 l as (select *, count(*) over (partition by g1) - count(*) over (partition by doc_id, g1) as c1,
