@@ -12,15 +12,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node (larger ones, or the others and itself) to the least of them.
 
     The least neighbour is aggregated before the join, so a hub is never gathered in one group.
+    The joins are merges: many rounds of small broadcasts would pile up on the driver.
     """
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     if large:
         both = edges.unionByName(back)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     down = edges.where("a > b").unionByName(back.where("a > b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    others = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    others = down.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b")))
 
 

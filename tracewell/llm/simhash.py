@@ -79,7 +79,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     index = held.select(key(F.col("k.t")), F.col("k.ring").alias("ring"), F.col("fp").alias("b"))
     probes = held.select(F.col("fp").alias("a"), "k", F.explode(F.array(*map(F.lit, changes))).alias("change")).select("a", key(F.col("k.t").bitwiseXOR(F.col("change"))))
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    met = index.join(probes, "key").where("a < b")
+    # a merge: the rows multiply after the last shuffle whose size is known, so a broadcast would be chosen wrongly
+    met = index.join(probes.hint("merge"), "key").where("a < b")
     within = F.lit(True)
     for ring in range(SEGMENTS):  # the longer chains from this ring on
         chain = F.lit(True)
