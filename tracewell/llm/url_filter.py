@@ -107,9 +107,9 @@ def judge(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict")).alias("_best")).select("tokens", F.col("_best.verdict").alias("verdict"))
 
 
-def judge_pages(pages: DataFrame, labels: DataFrame, listed: Sequence[tuple[str, str, str]] = LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge_pages(pages: DataFrame, labels: DataFrame, listed: Sequence[tuple[str, str, str]] = LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_examples: int = MIN_EXAMPLES) -> DataFrame:
     """page_id, host, path, rule, verdict and what decided (``by``: list, mined or default) for each page."""
-    rules = mine(labelled(pages, labels), min_support, min_confidence)
+    rules = mine(labelled(pages, labels), min_support, min_confidence, min_examples)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_listed", listed_rule(F.col("host"), F.col("path"), listed))
     ruled = ruled.withColumn("tokens", F.when(F.col("_listed").isNull(), tokens_of(F.col("url"))))
