@@ -33,56 +33,46 @@ def keys_of(user: str = "user_id") -> dict[str, Column]:
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the number in their props and whole values."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.floor("value").cast("long").alias("amount"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
-    return e.withColumns({"tool": _by_kind(0), "action": F.when((F.col("event_type") == "purchase") & (F.col("k") % 4 == 0), "rewrite").otherwise(_by_kind(1))})
+    return e.withColumns({"tool": F.expr(_by_kind(0)), "action": F.expr(f"if(event_type = 'purchase' and k % 4 = 0, 'rewrite', {_by_kind(1)})")})
 
 
-def _by_kind(i: int) -> Column:
-    out = F.lit(None).cast("string")
-    for kind, names in KINDS.items():
-        out = F.when(F.col("event_type") == kind, names[i]).otherwise(out)
-    return out
+def _by_kind(i: int) -> str:
+    return "case event_type " + " ".join(f"when '{kind}' then '{names[i]}'" for kind, names in KINDS.items()) + " end"
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each user and day; counts by event type stand for tools, actions and tokens."""
-    e = numbered_events(spark, sf_dir)
-    error, reject = F.col("k") % 5 == 0, (F.col("k") % 7 == 0) & (F.col("k") % 5 != 0)
-    n = lambda c: F.count_if(c).cast("long")
     tools = [k[0] for k in KINDS.values()]
     actions = [*(k[1] for k in KINDS.values()), "rewrite"]
-    sums = {}
-    for kind, (_, _, column) in KINDS.items():
-        sums[column] = F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("amount"))), F.lit(0)).cast("long")
-    for name, test in (("calls", F.lit(True)), ("errors", error), ("rejects", reject)):
-        sums |= {f"_t_{name}_{t}": n(test & (F.col("tool") == t)) for t in tools} | {f"_a_{name}_{a}": n(test & (F.col("action") == a)) for a in actions}
-    kind = lambda *names: F.col("event_type").isin(*names)
-    sums |= {
-        "_abort": n(kind("error") & (F.col("k") % 11 == 0)), "_start": n(kind("click")), "_done": n(kind("view")), "_retry": n(kind("error") & (F.col("k") % 6 == 0)), "_api": n(kind("error") & (F.col("k") % 13 == 0)),
-        "_compact": n(F.col("k") == 42), "_blocks": n(kind("signup")), "_redacted": n(kind("signup") & (F.col("k") % 2 == 0)), "_thinking": F.max("k"),
+    tests = {"calls": "true", "errors": "k % 5 = 0", "rejects": "k % 7 = 0 and k % 5 <> 0"}
+    sums = [f"coalesce(sum(amount) filter (where event_type = '{kind}'), 0L) as {column}" for kind, (_, _, column) in KINDS.items()]
+    for name, test in tests.items():
+        sums += [f"count_if({test} and {what} = '{x}') as _{what[0]}_{name}_{x}" for what, names in (("tool", tools), ("action", actions)) for x in names]
+    marks = {
+        "_abort": "event_type = 'error' and k % 11 = 0", "_start": "event_type = 'click'", "_done": "event_type = 'view'", "_retry": "event_type = 'error' and k % 6 = 0", "_api": "event_type = 'error' and k % 13 = 0",
+        "_compact": "k = 42", "_blocks": "event_type = 'signup'", "_redacted": "event_type = 'signup' and k % 2 = 0", "user_message_count": "event_type in ('click', 'view')",
+    }
+    sums += [f"count_if({test}) as {name}" for name, test in marks.items()]
+    grouped = numbered_events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day"))
+    out = grouped.agg(*map(F.expr, ["min(ts) as ts", "max(ts) as last_ts", "count(*) as message_count", "max(k) as _thinking", *sums]))
+
+    def counts(prefix: str, names: list[str]) -> str:
+        entries = ", ".join(f"struct('{x}' as key, {prefix}_{x} as value)" for x in names)
+        return f"map_from_entries(filter(array({entries}), x -> x.value > 0))"
+
+    none = "cast(map() as map<string,bigint>)"
+    keys = {"provider": "if(user_id % 2 = 1, 'codex', 'claude')", "version": "concat_ws('.', cast(user_id % 4 as string), cast(user_id % 3 as string))", "model": "concat('m', cast(user_id % 5 as string))", "project": "concat('p', cast(user_id % 7 as string))"}
+    performance = {
+        "abort_count": "_abort", "task_started_count": "_start", "task_complete_count": "_done", "retry_attempt_count": "_retry", "api_error_counts": f"if(_api > 0, map('500', _api), {none})", "compaction_count": "_compact", "micro_compaction_count": "0L",
+        "context_compacted_count": "0L", "reasoning_block_count": "_blocks", "reasoning_redaction_count": "_redacted", "max_thinking_tokens": "if(user_id % 3 = 0, _thinking, 0L)",
     }
-    out = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("ts"), F.max("ts").alias("last_ts"), F.count("*").alias("message_count"), n(kind("click", "view")).alias("user_message_count"), *(v.alias(k) for k, v in sums.items()))
-
-    def counts(prefix: str, names: list[str]) -> Column:
-        entries = F.array(*(F.struct(F.lit(x).alias("key"), F.col(f"{prefix}_{x}").alias("value")) for x in names))
-        return F.map_from_entries(F.filter(entries, lambda x: x["value"] > 0))
-
-    some = F.col("user_id") % 3 != 2
-    none = F.create_map().cast("map<string,bigint>")
-    cached = F.when(F.col("user_id") % 3 == 0, F.col("cache_creation_tokens")).otherwise(0).cast("long")
-    return out.select(
-        F.concat_ws(":", keys_of()["provider"], F.col("user_id").cast("string")).alias("cache_key"), F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMMdd")).alias("session_id"),
-        "user_id", "day", *(v.alias(k) for k, v in keys_of().items()), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("slug"), "ts", "last_ts",
-        "message_count", F.col("message_count").alias("main_message_count"), "user_message_count", (F.col("message_count") - F.col("user_message_count")).alias("assistant_message_count"),
-        "input_tokens", cached.alias("cache_creation_tokens"), "cache_read_tokens", "output_tokens", "reasoning_output_tokens",
-        counts("_t_calls", tools).alias("tool_counts"), counts("_t_errors", tools).alias("tool_error_counts"), counts("_t_rejects", tools).alias("tool_reject_counts"),
-        *(F.when(some, counts(f"_a_{c}", actions)).otherwise(none).alias(name) for c, name in (("calls", "action_counts"), ("errors", "action_error_counts"), ("rejects", "action_reject_counts"))),
-        F.struct(
-            F.col("_abort").alias("abort_count"), F.col("_start").alias("task_started_count"), F.col("_done").alias("task_complete_count"), F.col("_retry").alias("retry_attempt_count"),
-            F.when(F.col("_api") > 0, F.create_map(F.lit("500"), F.col("_api"))).otherwise(none).alias("api_error_counts"), F.col("_compact").alias("compaction_count"),
-            F.lit(0).cast("long").alias("micro_compaction_count"), F.lit(0).cast("long").alias("context_compacted_count"), F.col("_blocks").alias("reasoning_block_count"), F.col("_redacted").alias("reasoning_redaction_count"),
-            F.when(F.col("user_id") % 3 == 0, F.col("_thinking")).otherwise(0).cast("long").alias("max_thinking_tokens"),
-        ).alias("performance"),
-        (F.col("user_id") % 10 == 0).alias("is_subagent"),
+    return out.selectExpr(
+        f"concat_ws(':', {keys['provider']}, cast(user_id as string)) as cache_key", "concat_ws('-', cast(user_id as string), date_format(day, 'yyyyMMdd')) as session_id", "user_id", "day", *(f"{v} as {k}" for k, v in keys.items()),
+        "concat('s', cast(user_id as string)) as slug", "ts", "last_ts", "message_count", "message_count as main_message_count", "user_message_count", "message_count - user_message_count as assistant_message_count",
+        "input_tokens", "if(user_id % 3 = 0, cache_creation_tokens, 0L) as cache_creation_tokens", "cache_read_tokens", "output_tokens", "reasoning_output_tokens",
+        f"{counts('_t_calls', tools)} as tool_counts", f"{counts('_t_errors', tools)} as tool_error_counts", f"{counts('_t_rejects', tools)} as tool_reject_counts",
+        *(f"if(user_id % 3 <> 2, {counts(f'_a_{c}', actions)}, {none}) as {name}" for c, name in (("calls", "action_counts"), ("errors", "action_error_counts"), ("rejects", "action_reject_counts"))),
+        "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in performance.items()) + ") as performance", "user_id % 10 = 0 as is_subagent",
     )
 
 
