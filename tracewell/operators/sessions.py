@@ -55,13 +55,13 @@ def session_statistic(sessions: DataFrame, what: str, within: TimeRange = TimeRa
     return kept.agg(*(statistic_of("v", m, whole=what == "duration").alias(m) for m in MODES))
 
 
-def statistic_of(name: str, mode: str, whole: bool = False) -> Column:
-    """An aggregate of a column by mode; percentiles are nearest-rank, an average of whole numbers is cut off."""
+def statistic_of(name: str, mode: str, whole: bool = False, kind: str = "long") -> Column:
+    """An aggregate of a column by mode; percentiles are nearest-rank (of type ``kind``), an average of whole numbers is cut off."""
     c = F.col(name)
     if mode == "avg":
         return F.floor(F.sum(c) / F.count(c)).cast("long") if whole else F.avg(c)
     if mode[0] == "p":
-        return F.expr(f"percentile_disc({int(mode[1:]) / 100}) within group (order by `{name}`)")
+        return F.expr(f"percentile_disc({int(mode[1:]) / 100}) within group (order by `{name}`)").cast(kind)
     return {"max": F.max, "total": F.sum}[mode](c)
 
 

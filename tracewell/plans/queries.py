@@ -177,7 +177,7 @@ def turns(spark, d):
     return built.withColumns({"ts": F.lit(None).cast("timestamp"), "provider": F.lit("claude"), "version": F.concat(F.lit("v"), (F.col("conv_id") % 6).cast("string"))})
 
 
-@query("select conv_id, position, prompt as prompt_tokens, cast(total as bigint) as turn_tokens, first_read as cache_read_tokens, 0 as cache_creation_tokens, cast(memory as bigint) as memory_writes from T", T_SQL)
+@query("select conv_id, position, prompt as prompt_tokens, cast(total as bigint) as turn_tokens, first_read as cache_read_tokens, cast(0 as bigint) as cache_creation_tokens, cast(memory as bigint) as memory_writes from T", T_SQL)
 def turn_metrics(spark, d):
     return turns(spark, d).drop("ts", "provider", "version")
 

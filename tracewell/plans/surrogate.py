@@ -131,5 +131,5 @@ tt as (select conv_id, seg, max(case when role = 'assistant' then length(text) +
   min_by(case when role = 'assistant' then length(text) % 7 end, case when role = 'assistant' then turn end) as first_read, sum(case when contains(text, 'que') then 1 else 0 end) as writes from c where seg > 0 and not b group by conv_id, seg),
 tn as (select *, min(case when total is not null then seg end) over (partition by conv_id order by seg rows between current row and unbounded following) as nxt from tt),
 tw as (select *, sum(writes) over (partition by conv_id, nxt) as memory from tn),
-T as (select conv_id, row_number() over (partition by conv_id order by seg) as position, prompt, total, first_read, memory from tw where total is not null)
+T as (select conv_id, cast(row_number() over (partition by conv_id order by seg) as integer) as position, prompt, total, first_read, memory from tw where total is not null)
 """
