@@ -23,18 +23,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, small_batches
 
 #: Labelled rows of each class that the fit reads at most; a bound on the fit, not on what is scored.
-SAMPLE = 3000
+SAMPLE = 2000
 PREDICT_AT = 0.7
 PREFIXES = (4, 5)
 MOST_FEATURES = 5000
@@ -146,43 +147,52 @@ class Model:
         return score, spans
 
 
-def _unlike(of_doc: list[set[str]], share: float = 0.3) -> list[int]:
+def _numbers(words: Iterable[str]) -> np.ndarray:
+    """Sorted hashes of the features of words: all that the choice of features keeps of a text."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(f) for w in set(words) for f in features(w)], np.uint64))
+
+
+def _unlike(of_doc: list[np.ndarray], share: float = 0.3) -> list[int]:
     """Documents that have less than ``share`` of their features in common with each one chosen before: copies count once."""
-    holders: dict[str, list[int]] = {}
+    holders: dict[int, list[int]] = {}
     chosen = []
     for i, found in enumerate(of_doc):
-        met = Counter(j for f in found for j in holders.get(f, ()))
+        met = Counter(j for f in found.tolist() for j in holders.get(f, ()))
         if all(c < share * min(len(found), len(of_doc[j])) for j, c in met.items()):
             chosen.append(i)
-            for f in found:
+            for f in found.tolist():
                 holders.setdefault(f, []).append(i)
     return chosen
 
 
-def _pick(of_doc: list[set[str]], toxic: np.ndarray) -> tuple[list[str], set[str]]:
+def _pick(of_doc: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, set[int]]:
     """Candidate features, and those that mark a toxic word.
 
     These are what is too common in unlike toxic documents to be chance, and what is picked
     greedily to explain the documents that are left.
     """
     n, n_toxic = len(of_doc), int(toxic.sum())
-    bad, good = Counter(), Counter()
-    for found, t in zip(of_doc, toxic):
-        (bad if t else good).update(found)
+    bad, n_bad = np.unique(np.concatenate([f for f, t in zip(of_doc, toxic) if t]), return_counts=True)
+    clean, n_clean = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for f, t in zip(of_doc, toxic) if not t)]), return_counts=True)
+    at = np.minimum(np.searchsorted(clean, bad), max(len(clean) - 1, 0))
+    good = np.where(clean[at] == bad, n_clean[at], 0) if len(clean) else np.zeros(len(bad), int)
     rate = n_toxic / max(n - n_toxic, 1)
     least = max(3, n_toxic // 500)
-    able = [f for f, c in bad.most_common() if c >= least and c >= 9 * rate * good[f]][:MOST_FEATURES]
+    fit = np.flatnonzero((n_bad >= least) & (n_bad >= 9 * rate * good))
+    fit = fit[np.argsort(-n_bad[fit], kind="stable")][:MOST_FEATURES]
+    able, harm = bad[fit], dict(zip(bad[fit].tolist(), good[fit].tolist()))
+    known = np.sort(able)
+    own = [f[np.isin(f, known, assume_unique=True)] for f, t in zip(of_doc, toxic) if t]
     chance = math.log(n / n_toxic) if n_toxic < n else 0.7
-    own = [of_doc[i] & set(able) for i in np.flatnonzero(toxic)]
-    apart = Counter(f for i in _unlike(own) for f in own[i])
-    picked = {f for f in able if apart[f] * chance >= math.log(2 * len(bad)) and apart[f] >= 9 * rate * good[f]}
-    docs_of: dict[str, set[int]] = {f: set() for f in able if f not in picked}
-    left = {i for i, found in enumerate(own) if picked.isdisjoint(found)}
+    apart = Counter(f for i in _unlike(own) for f in own[i].tolist())
+    picked = {f for f in able.tolist() if apart[f] * chance >= math.log(2 * len(bad)) and apart[f] >= 9 * rate * harm[f]}
+    left = {i for i, found in enumerate(own) if picked.isdisjoint(found.tolist())}
+    docs_of: dict[int, set[int]] = {}
     for i in left:
-        for f in own[i] & docs_of.keys():
-            docs_of[f].add(i)
+        for f in own[i].tolist():
+            docs_of.setdefault(f, set()).add(i)
     while left and docs_of:
-        best = max(docs_of, key=lambda f: (len(docs_of[f] & left) - rate * good[f], len(docs_of[f]), f))
+        best = max(docs_of, key=lambda f: (len(docs_of[f] & left) - rate * harm[f], len(docs_of[f]), f))
         if len(docs_of[best] & left) < least:
             break
         left -= docs_of.pop(best)
@@ -242,35 +252,49 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
-    """A model from (text, toxic) rows; of equal texts one is used."""
+    """A model from (text, toxic) rows; of equal texts one is used. Texts are gone through one at a time."""
     rows = sorted(dict(rows).items())
     toxic = np.array([t for _, t in rows], bool)
     if not toxic.any():
         return Model()
-    split = [text.split() for text, _ in rows]
-    of_word = {w: features(w) for words in split for w in words}
-    able, picked = _pick([{f for w in set(words) for f in of_word[w]} for words in split], toxic)
-    number = {f: i for i, f in enumerate(able)}
-    none = len(able)
+    able, picked = _pick([_numbers(text.split()) for text, _ in rows], toxic)
+    number = {f: i for i, f in enumerate(able.tolist())}
+    none, names, seen = len(able), {}, {}
     rng = np.random.default_rng(seed)
     width = 1 + len(PREFIXES)
+
+    def known(word: str) -> list[int]:
+        """Numbers of the word's features that the model may use."""
+        if (out := seen.get(word)) is None:
+            if len(seen) > 100_000:
+                seen.clear()
+            found = [(xxhash.xxh3_64_intdigest(f), f) for f in features(word)]
+            names.update((number[h], f) for h, f in found if h in number)
+            out = seen[word] = [number[h] for h, _ in found if h in number]
+        return out
+
+    marks = {number[f] for f in picked}
     xs, ys, alive = [], [], []
-    for words, t in zip(split, toxic):
-        if not words:
+    for (text, _), t in zip(rows, toxic):
+        if not (words := text.split()):
             continue
-        y = [int(bool(t) and not picked.isdisjoint(of_word[w])) for w in words]
+        y = [int(not marks.isdisjoint(known(w))) for w in words] if t else [0] * len(words)
         starts = {max(0, i - int(rng.integers(WINDOW))) for i in [i for i, v in enumerate(y) if v][:WINDOWS_A_DOC]}
         starts.add(int(rng.integers(max(1, len(words) - WINDOW))))
         for s in sorted(starts):
             own = words[s : s + WINDOW]
             pad = WINDOW - len(own)
-            xs.append([([number.get(f, none) for f in of_word[w]] + [none] * width)[:width] for w in own] + [[none] * width] * pad)
+            xs.append([(known(w) + [none] * width)[:width] for w in own] + [[none] * width] * pad)
             ys.append(y[s : s + WINDOW] + [0] * pad)
             alive.append([True] * len(own) + [False] * pad)
-    w, bias, steps = _fit_chain(np.array(xs), np.array(ys), np.array(alive), none)
-    model = Model({f: float(v) for f, v in zip(able, w) if abs(v) > 1e-3}, float(bias), tuple(map(tuple, steps.tolist())))
-    sums = np.array([model.summary(model.marks(words), len(words))[:2] for words in split])
-    model.calibration = _calibrate(sums, toxic * 1.0)
+    w, bias, steps = _fit_chain(np.array(xs, np.int32), np.array(ys, np.int8), np.array(alive), none)
+    model = Model({names[i]: float(v) for i, v in enumerate(w) if abs(v) > 1e-3 and i in names}, float(bias), tuple(map(tuple, steps.tolist())))
+    sums = []
+    for text, _ in rows:
+        words = text.split()
+        sums.append(model.summary(model.marks(words), len(words))[:2])
+    model.calibration = _calibrate(np.array(sums), toxic * 1.0)
+    model.known.clear()
     return model
 
 
