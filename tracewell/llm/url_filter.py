@@ -112,9 +112,10 @@ def judge_pages(pages: DataFrame, labels: DataFrame, listed: Sequence[tuple[str,
     rules = mine(labelled(pages, labels), min_support, min_confidence, min_examples)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_listed", listed_rule(F.col("host"), F.col("path"), listed))
-    ruled = ruled.withColumn("tokens", F.when(F.col("_listed").isNull(), tokens_of(F.col("url"))))
-    mined = judge(ruled.where("_listed is null").select("tokens").distinct(), rules).withColumnRenamed("verdict", "_mined")
-    return ruled.join(mined, "tokens", "left").select(
-        "page_id", "host", "path", F.col("_listed.rule").alias("rule"), F.coalesce("_listed.verdict", "_mined", F.lit(DEFAULT)).alias("verdict"),
-        F.when(F.col("_listed").isNotNull(), "list").when(F.col("_mined").isNotNull(), "mined").otherwise("default").alias("by"),
-    )
+    by_list = ruled.where("_listed is not null").select("page_id", "host", "path", F.col("_listed.rule").alias("rule"), F.col("_listed.verdict").alias("verdict"), F.lit("list").alias("by"))
+    rest = ruled.where("_listed is null").select("page_id", "host", "path", tokens_of(F.col("url")).alias("tokens"))
+    mined = judge(rest.select("tokens").distinct(), rules).withColumnRenamed("verdict", "_mined")
+    by_rule = rest.join(mined, "tokens", "left").select(
+        "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("_mined", F.lit(DEFAULT)).alias("verdict"), F.when(F.col("_mined").isNotNull(), "mined").otherwise("default").alias("by")
+    )
+    return by_list.unionByName(by_rule)
