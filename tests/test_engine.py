@@ -16,7 +16,7 @@ def test_from_logs_to_answers(spark, tree, rollouts, tmp_path):  # noqa: F811
     engine = Engine(spark, Store(spark, str(tmp_path / "store")), str(tree), str(rollouts))
     rows = engine.build()
     assert rows["sessions"] == 5 and rows["conversations"] == 3 and rows["turns"] == 1
-    turn = engine.table("turns").first()
+    turn = engine.table("turns").where("provider = 'claude'").first()
     assert (turn.prompt_tokens, turn.turn_tokens, turn.cache_read_tokens) == (170, 190, 40)
     behaviour = {r.file_path.split("/")[-1]: r for r in engine.table("sequences").collect()}
     assert behaviour["one.jsonl"].action_count == 2 and not behaviour["one.jsonl"].mutated and behaviour["one.jsonl"].visible_chars == 2

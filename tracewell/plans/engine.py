@@ -39,8 +39,10 @@ class Engine:
             made.append(provider_a.grouped(provider_a.sessions(record, said)))
             message = said
         if self.b:
-            rollouts = provider_b.grouped(provider_b.sessions(provider_b.records(self.spark, self.b)))
-            made.append(rollouts.drop("parent"))
+            record = provider_b.records(self.spark, self.b).persist()
+            made.append(provider_b.grouped(provider_b.sessions(record)).drop("parent"))
+            said = provider_b.messages(record)
+            message = said if message is None else message.unionByName(said)
         fields = sorted({f for df in made for f in df.schema["performance"].dataType.names})
         even = [df.withColumn("performance", F.struct(*(F.col(f"performance.{f}").alias(f) for f in fields))) for df in made]
         sessions = even[0] if len(even) == 1 else even[0].unionByName(even[1])
@@ -48,8 +50,8 @@ class Engine:
         sessions = self.store.read("sessions")
         rows["conversations"] = self.store.write("conversations", catalogue.rolled_up(sessions).join(sessions.groupBy("cache_key").agg(F.sum("plan_count").alias("plan_count")), "cache_key"))
         if message is not None:
-            owner = sessions.select("file_path", "cache_key", F.col("ordinal").alias("session_ordinal"), "provider", "version", "model", "project", F.col("ts").alias("session_ts"))
-            rows["messages"] = self.store.write("messages", message.join(owner, "file_path"))
+            owner = sessions.select("file_path", "cache_key", F.col("ordinal").alias("session_ordinal"), "provider", "version", "model", "project", "is_subagent", F.col("ts").alias("session_ts"))
+            rows["messages"] = self.store.write("messages", message.drop("is_subagent").join(owner, "file_path"))
             messages = self.store.read("messages")
             writes = F.aggregate("tool_calls", F.lit(0).cast("long"), lambda n, c: n + session_ops.memory_writes(c["action"]["targets"], c["action"]["type"]))
             turns = session_ops.build_turns(messages.where("not is_subagent").withColumn("memory_writes", writes), "file_path")
