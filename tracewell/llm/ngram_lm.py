@@ -36,7 +36,7 @@ from .common import id_and_text, small_batches, written
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in one batch, unless one document has more.
 BATCH_BYTES = 6 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 VALUE_BITS = np.uint64(40)
 
 BATCHES = "batch long, n_words long, doc_ids binary, sizes binary, texts binary"
@@ -114,9 +114,9 @@ def codes(blob: bytes, sizes: bytes, order: int, parts: int) -> tuple[np.ndarray
     place i - (n - 1) * (its document + 1), as the first n - 1 words of documents end none.
     """
     text, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
-    lists = [_words.hashes(words_of(text[a:z])) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    lists = [np.array(_words.hashes(words_of(text[a:z])), np.uint64) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
     counts = np.array(list(map(len, lists)), np.int64)
-    word = np.array([h for x in lists for h in x], np.uint64)
+    word = np.concatenate([*lists, np.zeros(0, np.uint64)])
     at = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)  # place in the document
     out, gram = [], word
     for n in range(1, order + 1):
