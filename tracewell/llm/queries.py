@@ -110,5 +110,19 @@ select doc_id, len(w) as n_words, round(coalesce(s, 0), 6) as log_score, case wh
 from d left join r using (doc_id)"""
 
 
+SUFFIX_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d)),
+m as (select s, min(doc_id) as f from w group by s),
+c as (select w.doc_id, i from w join m using (s) where f < w.doc_id),
+k as (select doc_id, i, sum(case when i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as k from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from c)),
+r as (select doc_id, min(i) as a, max(i) + 50 as z from k group by doc_id, k),
+p as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as pz from r),
+b as (select p.doc_id, string_agg(substr(h, 2 * pz + 1, 2 * (a - pz)), '' order by a) as body, sum(z - a) as gone, count(*) as spans, max(z) as last from p join d on d.doc_id = p.doc_id group by p.doc_id)
+select d.doc_id, len(h) // 2 as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+       sha256(unhex(case when gone is null then h else body || substr(h, 2 * last + 1) end)) as kept_sha256
+from d left join b using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_stupid_backoff": STUPID_BACKOFF_SQL, "op2_secret_scan": _secret_sql(), "op5_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op7_stupid_backoff": STUPID_BACKOFF_SQL, "op8_suffix_dedup": SUFFIX_SQL, "op2_secret_scan": _secret_sql(), "op5_exact_dedup": EXACT_DEDUP_SQL}
