@@ -7,7 +7,7 @@ of a smaller id.  Equal strings have the same least k-gram, their anchor, so:
 2. the anchors of all windows are dealt out by hash, packed by document, and those
    that two different texts share come back to their documents;
 3. those documents are cut into segments, runs of windows with one shared anchor;
-   equal segments are combined, keeping the smallest id, before they are shuffled;
+   equal segments of a batch are combined, keeping the smallest id, before they are shuffled;
 4. the owner of an anchor joins its different segments to one text, builds the
    transform and extends all intervals backward, breadth first: the boundaries that
    level l adds are the places where the common prefix is l, and expansion stops at
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +37,15 @@ from .common import id_and_text, small_batches, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of joined segments that one transform takes, unless one anchor has more.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 #: A byte that UTF-8 never holds stands between segments.
 BETWEEN = b"\xff"
 
 PACKED = "part int, doc_ids binary, tags binary, counts binary, rest binary"
-SHARED = "doc_id long, tag long, anchors binary"
-SEGMENTS = "doc_id long, tag long, start int, anchor long, key binary, body binary"
-LEAST = "key binary, stops array<int>, holders array<long>"
+SHARED = "bucket int, doc_ids binary, tags binary, counts binary, anchors binary"
+OF_DOC = "doc_id long, tag long, anchors binary"
+SEGMENTS = "doc_id long, tag long, start int, anchor long, key long, body binary, holder long, alone boolean"
+LEAST = "anchor long, key long, stops array<int>, holders array<long>"
 
 _a, _b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,10 +106,16 @@ def _pack(parts: int, length: int, k: int):
     return run
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of part; anchors of two texts or more go back to each document."""
+def _by_document(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, tags, counts and values of the documents that have any; ``doc`` numbers the ids and is sorted."""
+    own, n = np.unique(doc, return_counts=True)
+    return ids[own], tags[own], n.astype("<u4"), value
 
-    def shared(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+
+def _share(parts: int):
+    """Rows come in order of part; anchors of two texts or more go back, packed by buckets of documents."""
+
+    def shared(part: int, rows: list[tuple]) -> pa.RecordBatch | None:
         ids, tags, counts, rest = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((1, "<i8"), (2, "<i8"), (3, "<u4"), (4, "<u4")))
         doc = np.repeat(np.arange(len(ids)), counts)
         order = np.argsort(rest, kind="stable")
@@ -117,51 +125,100 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(rest), bool)
         held[order] = np.repeat(unlike, np.diff(np.r_[first, len(value)]))
         if not held.any():
-            return
-        doc, rest = doc[held], rest[held].astype("<u4")
-        cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-        own = doc[cut[:-1]]
-        bodies = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer((rest.astype("<u8") << np.uint64(32) | np.uint64(part)).tobytes())])
-        for i in range(0, len(own), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own[i : i + 50_000]]), pa.array(tags[own[i : i + 50_000]]), bodies[i : i + 50_000]], ["doc_id", "tag", "anchors"])
-
-    at, rows = None, []
+            return None
+        doc, rest = doc[held], rest[held].astype("<u8") << np.uint64(32) | np.uint64(part)
+        bucket = (ids[doc] % parts).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        doc, rest, bucket = doc[order], rest[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        out = [(int(bucket[x]), *(y.tobytes() for y in _by_document(ids, tags, doc[x:z], rest[x:z]))) for x, z in zip(cut.tolist(), cut[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), *[pa.binary()] * 4])], ["bucket", "doc_ids", "tags", "counts", "anchors"])
+
+    return _grouped(shared)
+
+
+def _grouped(solve):
+    """A map over batches whose rows come in order of their first column: ``solve`` takes a key and its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != at and rows:
+                    if (out := solve(at, rows)) is not None:
+                        yield out
+                    rows = []
+                at = row[0]
+                rows.append(row)
+        if rows and (out := solve(at, rows)) is not None:
+            yield out
+
+    return run
+
+
+def _unpack(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+    """One row for each document of a bucket, with its anchors from all parts."""
+    ids, tags, counts, value = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((1, "<i8"), (2, "<i8"), (3, "<u4"), (4, "<u8")))
+    doc = np.repeat(np.arange(len(ids)), counts)
+    order = np.lexsort((tags[doc], ids[doc]))
+    doc, value = doc[order], value[order]
+    who = np.flatnonzero(np.r_[True, (ids[doc][1:] != ids[doc][:-1]) | (tags[doc][1:] != tags[doc][:-1])])
+    lists = [x.tobytes() for x in np.split(value, who[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(ids[doc[who]]), pa.array(tags[doc[who]]), pa.array(lists, pa.binary())], ["doc_id", "tag", "anchors"])
+
+
+def body_keys(bodies: list[bytes]) -> np.ndarray:
+    """With its anchor, 128 bits that tell a segment."""
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in bodies], np.uint64).view(np.int64)
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffle to their anchors or ranges."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if row[0] != at:
-                if rows:
-                    yield from shared(at, rows)
-                at, rows = row[0], []
-            rows.append(row)
-    if rows:
-        yield from shared(at, rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "tag", "packed"])
 
 
 def _cut(parts: int, length: int, k: int):
-    """Segments of the shared anchors of each document."""
+    """Segments of the shared anchors of each document.
+
+    Of equal segments in a batch the first carries the body, with the smallest id of its documents and whether it is their only one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for doc_id, tag, text, lists in zip(*(c.to_pylist() for c in b.columns)):
-                raw = text.encode("utf-8", "surrogatepass")
+            ids, tags, where, names, bodies = [], [], [], [], []
+            for doc_id, tag, packed, shared in zip(*(c.to_pylist() for c in b.columns)):
+                raw = unpack(packed)
                 starts, anchors = anchor_runs(raw, length, k)
                 ends = np.r_[starts[1:], len(raw) - length + 1] + length - 1
                 code = anchors >> np.uint64(32) << np.uint64(32) | part_of(anchors, parts).astype(np.uint64)
-                wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in lists]))
+                wanted = np.unique(np.frombuffer(shared, "<u8"))
                 near = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
                 keep = wanted[near] == code
                 starts, ends, anchors = starts[keep], ends[keep], anchors[keep]
-                if not len(starts):
-                    continue
-                bodies = [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
-                n = len(bodies)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, tag, np.int64)), pa.array(starts.astype(np.int32)), pa.array(anchors.view(np.int64)),
-                        pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), pa.array(bodies, pa.binary()),
-                    ],
-                    ["doc_id", "tag", "start", "anchor", "key", "body"],
-                )
+                ids += [doc_id] * len(starts)
+                tags += [tag] * len(starts)
+                where.append(starts)
+                names.append(anchors)
+                bodies += [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
+            if not ids:
+                continue
+            anchor = np.concatenate(names).view(np.int64)
+            first: dict[tuple[int, bytes], int] = {}
+            at = [first.setdefault(x, i) for i, x in enumerate(zip(anchor.tolist(), bodies))]
+            doc = np.array(ids, np.int64)
+            low, high = doc.copy(), doc.copy()
+            np.minimum.at(low, at, doc)
+            np.maximum.at(high, at, doc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(doc), pa.array(tags, pa.int64()), pa.array(np.concatenate(where).astype(np.int32)), pa.array(anchor), pa.array(body_keys(bodies)),
+                    pa.array([x if i == j else None for i, (j, x) in enumerate(zip(at, bodies))], pa.binary()), pa.array(low), pa.array(low == high),
+                ],
+                ["doc_id", "tag", "start", "anchor", "key", "body", "holder", "alone"],
+            )
 
     return run
 
@@ -193,13 +250,17 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     first = text[rows]
     bound = np.r_[True, first[1:] != first[:-1]]
     prefix[bound] = 0
+    left = np.flatnonzero(~bound)
+    here, above = extends[left], extends[left - 1]
     for level in range(1, length):
-        interval = np.cumsum(bound, dtype=np.int32)[extends]
-        new = np.r_[True, interval[1:] != interval[:-1]] & ~bound
-        if not new.any():
+        interval = np.cumsum(bound, dtype=np.int32)
+        parted = interval[here] != interval[above]
+        new = left[parted]
+        if not len(new):
             break
         prefix[new] = level
-        bound |= new
+        bound[new] = True
+        left, here, above = left[~parted], here[~parted], above[~parted]
     return rows, prefix
 
 
@@ -234,34 +295,88 @@ def least_holders(bodies: list[bytes], holders: np.ndarray, length: int = LENGTH
     return np.bincount(of[begin], minlength=len(bodies)), stops.astype(np.int32), flat[begin]
 
 
-def _expand(length: int):
-    """Rows (anchor, key, body, holder, alone) come in order of anchor; whole anchors fill a block."""
+def agreeing(bodies: list[bytes], anchors: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Whether each segment can share a string of ``length`` bytes with another of its anchor.
+
+    Such a string has half of the bytes beside its anchor on one side at least, so both segments
+    agree there. Where an anchor stands more than once in one of its segments, all of them may.
+    """
+    side = (length - k + 1) // 2
+    text = b"".join(bodies) + bytes(length)
+    sizes = np.array([len(x) for x in bodies], np.int64)
+    ends = np.cumsum(sizes)
+    begins, of = ends - sizes, np.repeat(np.arange(len(bodies)), sizes)
+    near = gram_hashes(text, k)
+    at = np.flatnonzero(near[: len(of)] == anchors.view(np.uint64)[of])
+    at = at[at + k <= ends[of[at]]]
+    times = np.bincount(of[at], minlength=len(bodies))
+    able = np.zeros(len(bodies), bool)
+    group = np.cumsum(np.r_[True, anchors[1:] != anchors[:-1]]) - 1
+    many = np.zeros(group[-1] + 1, bool)
+    many[group[times != 1]] = True
+    once = at[times[of[at]] == 1]
+    owner = of[once]
+    part = k if side >= k else max(side, 8)  # a shorter part serves, as more pass
+    beside = near if part == k else gram_hashes(text, part)
+    for start, fits in ((once - part, once - side >= begins[owner]), (once + k, once + k + side <= ends[owner])):
+        key = beside[start[fits]] * _a ^ anchors.view(np.uint64)[owner[fits]]
+        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        able[owner[fits][n[back] > 1]] = True
+    return able | many[group]
+
+
+def combined(group: list[tuple]) -> list[tuple]:
+    """Rows of one anchor with each body once: its smallest holder, and whether that is its only one."""
+    if len(group) < 2:
+        return group
+    held: dict[bytes, tuple] = {}
+    for row in group:
+        was = held.get(row[1])
+        held[row[1]] = row if was is None else (row[0], row[1], min(row[2], was[2]), row[3] and was[3] and row[2] == was[2])
+    return list(held.values())
+
+
+def _expand(length: int, k: int):
+    """Rows (anchor, body, holder, alone) come in order of anchor; whole anchors fill a block."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        runs, stops, holders = least_holders([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), length)
-        ends = np.cumsum(runs)
-        # what only its own smallest document holds takes nothing from anyone
-        idle = np.array([r[4] for r in rows]) & (runs == 1) & (holders[ends - 1] == np.array([r[3] for r in rows]))
-        keep = np.repeat(~idle, runs)
-        offsets = pa.array(np.r_[0, np.cumsum(runs[~idle])], pa.int32())
-        keys = pa.array([r[1] for r, i in zip(rows, idle.tolist()) if not i], pa.binary())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (stops, holders)]
-        return pa.RecordBatch.from_arrays([keys, *lists], ["key", "stops", "holders"])
+        anchors, holder, alone = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], bool)
+        able = agreeing([r[1] for r in rows], anchors, length, k)
+        joined = np.flatnonzero(able)
+        by_row: dict[int, tuple] = {}
+        if len(joined):
+            runs, stops, least = least_holders([rows[i][1] for i in joined.tolist()], holder[joined], length)
+            ends = np.cumsum(runs)
+            # what only its own smallest document holds takes nothing from anyone
+            told = ~(alone[joined] & (runs == 1) & (least[ends - 1] == holder[joined]))
+            for i, a, z in zip(joined[told].tolist(), (ends - runs)[told].tolist(), ends[told].tolist()):
+                by_row[i] = (stops[a:z].tolist(), least[a:z].tolist())
+        for i in np.flatnonzero(~able & ~alone).tolist():  # one string that several documents hold
+            by_row[i] = ([len(rows[i][1]) - length + 1], [int(holder[i])])
+        found = sorted(by_row.items())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([rows[i][0] for i, _ in found], pa.int64()), pa.array(body_keys([rows[i][1] for i, _ in found])), pa.array([x[0] for _, x in found], pa.list_(pa.int32())), pa.array([x[1] for _, x in found], pa.list_(pa.int64()))],
+            ["anchor", "key", "stops", "holders"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, group, at = [], 0, [], None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != at:
-                    if len(group) > 1 or (group and not group[0][4]):  # else one document holds the anchor: a chance agreement
-                        if size + sum(len(r[2]) for r in group) > BLOCK_BYTES and block:
+                    group = combined(group)
+                    if len(group) > 1 or (group and not group[0][3]):  # else one document holds the anchor: a chance agreement
+                        if size > BLOCK_BYTES:
                             yield solve(block)
                             block, size = [], 0
                         block += group
-                        size += sum(len(r[2]) for r in group)
+                        size += sum(len(r[1]) for r in group)
                     at, group = row[0], []
                 group.append(row)
-        if len(group) > 1 or (group and not group[0][4]):
+                if len(group) % 4096 == 0:  # a passage of many documents comes once from each batch
+                    group = combined(group)
+        group = combined(group)
+        if len(group) > 1 or (group and not group[0][3]):
             block += group
         if block:
             yield solve(block)
@@ -269,6 +384,10 @@ def _expand(length: int):
     return run
 
 
+def squeezed(tagged: DataFrame) -> DataFrame:
+    return tagged.select("doc_id", "tag", "text").mapInArrow(_squeeze, "doc_id long, tag long, packed binary")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The narrow table of all rows (doc_id, tag, n_bytes, sha, first) and the byte ranges that go (doc_id, tag, start, stop).
 
@@ -282,25 +401,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataF
     firsts = base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
     base = written(base.join(firsts, "sha", "left"), "firsts")
     packed = tagged.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(_pack(parts, length, k), PACKED)
-    shared = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_share, SHARED)
-    of_doc = shared.groupBy("doc_id", "tag").agg(F.collect_list("anchors").alias("lists"))  # at most the anchors of a text
+    shared = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_share(parts), SHARED)
+    of_doc = shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(_unpack), OF_DOC)
     of_doc = of_doc.join(base.where("doc_id = first").select("doc_id", "tag").distinct(), ["doc_id", "tag"])
-    texts = tagged.join(of_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "lists")
-    segments = written(texts.mapInArrow(_cut(parts, length, k), SEGMENTS), "segments")
-    combined = segments.groupBy("anchor", "key", "body").agg(F.min("doc_id").alias("holder"), (F.min("doc_id") == F.max("doc_id")).alias("alone"))
-    owned = combined.repartition(parts, "anchor").sortWithinPartitions("anchor").select("anchor", "key", "body", "holder", "alone")
-    least = written(owned.mapInArrow(_expand(length), LEAST), "least")
-    runs = least.select("key", F.posexplode("holders").alias("i", "holder"), "stops")
-    runs = runs.select("key", "holder", F.when(F.col("i") > 0, F.col("stops")[F.col("i") - 1]).otherwise(0).alias("a"), F.col("stops")[F.col("i")].alias("z"))
-    gone = segments.select("doc_id", "tag", "start", "key").join(runs, "key").where("holder < doc_id")
-    return base, gone.select("doc_id", "tag", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("z") + (length - 1)).alias("stop")).distinct()
+    texts = squeezed(tagged).join(of_doc, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "anchors")
+    segments = written(texts.mapInArrow(_cut(parts, length, k), SEGMENTS), "segments", "zstd")
+    bodies = segments.where("body is not null").select("anchor", "body", "holder", "alone")
+    owned = bodies.repartition(parts, "anchor").sortWithinPartitions("anchor")
+    least = written(owned.mapInArrow(_expand(length, k), LEAST), "least")
+    runs = least.select("anchor", "key", F.posexplode("holders").alias("i", "holder"), "stops")
+    runs = runs.select("anchor", "key", "holder", F.when(F.col("i") > 0, F.col("stops")[F.col("i") - 1]).otherwise(0).alias("a"), F.col("stops")[F.col("i")].alias("z"))
+    gone = segments.select("doc_id", "tag", "start", "anchor", "key").join(runs, ["anchor", "key"]).where("holder < doc_id")
+    return base, gone.select("doc_id", "tag", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("z") + (length - 1)).alias("stop"))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         out = []
-        for doc_id, tag, text, ranges in zip(*(c.to_pylist() for c in b.columns)):
-            raw = text.encode("utf-8", "surrogatepass")
+        for doc_id, tag, packed, ranges in zip(*(c.to_pylist() for c in b.columns)):
+            raw = unpack(packed)
             kept, at, removed, spans = hashlib.sha256(), 0, 0, 0
             last = -1
             for r in sorted((r["start"], r["stop"]) for r in ranges):
@@ -323,7 +443,7 @@ def report(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     base, gone = repeats(docs, length, k)
     ranges = gone.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # at most the windows of a text
     tagged = id_and_text(docs).withColumn("tag", F.xxhash64("text"))
-    stripped = tagged.join(ranges, ["doc_id", "tag"]).select("doc_id", "tag", "text", "ranges").mapInArrow(_strip, "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string")
+    stripped = squeezed(tagged).join(ranges, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "ranges").mapInArrow(_strip, "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string")
     stripped = stripped.distinct()
     whole = (F.col("n_bytes") >= length) & (F.col("doc_id") > F.col("first"))
     pick = lambda copy, cut, else_: F.when(whole, copy).when(F.col("n_removed").isNotNull(), cut).otherwise(else_)
