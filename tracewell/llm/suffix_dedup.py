@@ -7,7 +7,7 @@ of a smaller id.  Equal strings have the same least k-gram, their anchor, so:
 2. the anchors of all windows are dealt out by hash, packed by document, and those
    that two different texts share come back to their documents;
 3. those documents are cut into segments, runs of windows with one shared anchor;
-   equal segments of a batch are combined, keeping the smallest id, before they are shuffled;
+   equal segments of a bundle are combined, keeping the smallest id, and compressed together before they are shuffled;
 4. the owner of an anchor joins its different segments to one text, builds the
    transform and extends all intervals backward, breadth first: the boundaries that
    level l adds are the places where the common prefix is l, and expansion stops at
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ from .common import id_and_text, small_batches, written
 LENGTH, GRAM = 50, 16
 #: Bytes of joined segments that one transform takes, unless one anchor has more.
 BLOCK_BYTES = 2 << 20
+#: Bytes of segments that a task bundles by owner before they are shuffled.
+BUNDLE_BYTES = 16 << 20
 #: A byte that UTF-8 never holds stands between segments.
 BETWEEN = b"\xff"
 
@@ -45,6 +48,8 @@ PACKED = "part int, doc_ids binary, tags binary, counts binary, rest binary"
 SHARED = "bucket int, doc_ids binary, tags binary, counts binary, anchors binary"
 OF_DOC = "doc_id long, tag long, anchors binary"
 SEGMENTS = "doc_id long, tag long, start int, anchor long, key long, body binary, holder long, alone boolean"
+BUNDLES = "part int, anchors binary, sizes binary, bodies binary, holders binary, alone binary"
+OWNED = "anchor long, body binary, holder long, alone boolean"
 LEAST = "anchor long, key long, stops array<int>, holders array<long>"
 
 _a, _b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -223,6 +228,51 @@ def _cut(parts: int, length: int, k: int):
     return run
 
 
+def _bundle(parts: int):
+    """Segments by owner, each once with its smallest holder and whether that is its only one; the bodies for one owner compressed together."""
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        anchor, key, holder, alone = (table.column(c).to_numpy() for c in ("anchor", "key", "holder", "alone"))
+        part = part_of(anchor.view(np.uint64), parts)
+        order = np.lexsort((key, anchor, part))
+        anchor, key, part = anchor[order], key[order], part[order]
+        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])])
+        low, high = np.minimum.reduceat(holder[order], first), np.maximum.reduceat(holder[order], first)
+        single = np.logical_and.reduceat(alone[order], first) & (low == high)
+        anchor, part = anchor[first], part[first]
+        bodies = table.column("body").combine_chunks().take(pa.array(order[first]))
+        sizes = pc.binary_length(bodies).to_numpy().astype("<i4")
+        ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        data = b"".join(bodies.to_pylist())
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist()
+        out = [(int(part[x]), anchor[x:y].tobytes(), sizes[x:y].tobytes(), squeeze(data[ends[x] : ends[y]]), low[x:y].tobytes(), single[x:y].tobytes()) for x, y in zip(cut, cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "anchors", "sizes", "bodies", "holders", "alone"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= BUNDLE_BYTES:
+                yield packed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield packed(pa.Table.from_batches(held))
+
+    return run
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        for _, anchors, sizes, bodies, holders, alone in zip(*(c.to_pylist() for c in b.columns)):
+            offsets = np.r_[0, np.cumsum(np.frombuffer(sizes, "<i4"))].astype(np.int32)
+            body = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(unpack(bodies))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(anchors, "<i8")), body, pa.array(np.frombuffer(holders, "<i8")), pa.array(np.frombuffer(alone, bool))], ["anchor", "body", "holder", "alone"])
+
+
 def suffix_rows(text: np.ndarray, length: int) -> np.ndarray:
     """Starts of all suffixes in the order of at least their first ``length`` bytes, by doubling ranks."""
     padded, n = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64), len(text)
@@ -406,8 +456,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataF
     of_doc = of_doc.join(base.where("doc_id = first").select("doc_id", "tag").distinct(), ["doc_id", "tag"])
     texts = squeezed(tagged).join(of_doc, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "anchors")
     segments = written(texts.mapInArrow(_cut(parts, length, k), SEGMENTS), "segments", "zstd")
-    bodies = segments.where("body is not null").select("anchor", "body", "holder", "alone")
-    owned = bodies.repartition(parts, "anchor").sortWithinPartitions("anchor")
+    bundles = segments.where("body is not null").select("anchor", "key", "body", "holder", "alone").mapInArrow(_bundle(parts), BUNDLES)
+    owned = bundles.repartition(parts, "part").mapInArrow(_unbundle, OWNED).sortWithinPartitions("anchor")
     least = written(owned.mapInArrow(_expand(length, k), LEAST), "least")
     runs = least.select("anchor", "key", F.posexplode("holders").alias("i", "holder"), "stops")
     runs = runs.select("anchor", "key", "holder", F.when(F.col("i") > 0, F.col("stops")[F.col("i") - 1]).otherwise(0).alias("a"), F.col("stops")[F.col("i")].alias("z"))
