@@ -451,13 +451,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataF
     firsts = base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
     base = written(base.join(firsts, "sha", "left"), "firsts")
     packed = tagged.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(_pack(parts, length, k), PACKED)
-    shared = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_share(parts), SHARED)
-    of_doc = shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(_unpack), OF_DOC)
+    shared = packed.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_share(parts), SHARED)
+    of_doc = shared.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(_unpack), OF_DOC)
     of_doc = of_doc.join(base.where("doc_id = first").select("doc_id", "tag").distinct(), ["doc_id", "tag"])
     texts = squeezed(tagged).join(of_doc, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "anchors")
     segments = written(texts.mapInArrow(_cut(parts, length, k), SEGMENTS), "segments", "zstd")
     bundles = segments.where("body is not null").select("anchor", "key", "body", "holder", "alone").mapInArrow(_bundle(parts), BUNDLES)
-    owned = bundles.repartition(parts, "part").mapInArrow(_unbundle, OWNED).sortWithinPartitions("anchor")
+    owned = bundles.repartitionById(parts, "part").mapInArrow(_unbundle, OWNED).sortWithinPartitions("anchor")
     least = written(owned.mapInArrow(_expand(length, k), LEAST), "least")
     runs = least.select("anchor", "key", F.posexplode("holders").alias("i", "holder"), "stops")
     runs = runs.select("anchor", "key", "holder", F.when(F.col("i") > 0, F.col("stops")[F.col("i") - 1]).otherwise(0).alias("a"), F.col("stops")[F.col("i")].alias("z"))
