@@ -147,4 +147,4 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts timestamp, event_type string, value double")
     df.repartition(3).write.parquet(path)
     batch = df.groupBy(F.date_trunc("minute", "ts").alias("bucket_start"), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value")).alias("amount"))
-    assert {tuple(r) for r in stream_rollup(spark, path, "rolled").collect()} == {tuple(r) for r in batch.collect()}
+    assert {tuple(r) for r in stream_rollup(spark, path, str(tmp_path / "rolled")).collect()} == {tuple(r) for r in batch.collect()}

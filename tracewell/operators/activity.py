@@ -108,6 +108,11 @@ def peak(series: DataFrame, value: str) -> DataFrame:
     return series.orderBy(F.desc(value), "day").limit(1)
 
 
+def peak_of_split(series: DataFrame, value: str) -> DataFrame:
+    """The key and day of the greatest value of a split series; the first of equals, none where all are 0."""
+    return series.where(F.col(value) > 0).orderBy(F.desc(value), "key", "day").limit(1).select("key", "day", value)
+
+
 def live_rollup(events: DataFrame, late: str = "1 day", value: str = "value") -> DataFrame:
     """The rollup of an event stream: minutes with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(value)).alias("amount")).select(F.col("w.start").alias("bucket_start"), "event_type", "n", "amount")

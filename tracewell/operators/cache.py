@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.expr import cache_write, dimension, label_or_unknown, local_day, prompt_tokens, reuse_ratio, safe_ratio
+from tracewell.functions.expr import cache_write, dimension, label_or_unknown, local_day, prompt_tokens, reuse_ratio, safe_ratio, version_key
 from tracewell.operators.sessions import DURATION_LABELS, duration_bucket, labelled_histogram
 from tracewell.plans.timeframe import TimeRange, calendar, day_bounds
 
@@ -76,6 +76,12 @@ def first_turn_cold(turns: DataFrame, within: TimeRange = TimeRange(), provider:
     return grouped.where(F.col("n") >= MIN_FIRST_TURNS).withColumn("zero_rate", F.col("zeros") / F.col("n"))
 
 
-def best_duration(buckets: DataFrame) -> DataFrame:
-    """The bucket of the highest hit rate among those with sessions; none where all are 0."""
-    return buckets.where("n > 0 and hit_rate > 0").orderBy(F.desc("hit_rate"), "bucket").limit(1).select("label", "hit_rate")
+def cold_summary(by_version: DataFrame) -> DataFrame:
+    """Of ``first_turn_cold``: the version that reads nothing most often (the first of equals), its rate, the rate of all and the number of versions."""
+    worst = F.min_by("version", F.struct(-F.col("zero_rate"), version_key("version")))
+    return by_version.agg(worst.alias("worst_version"), F.max("zero_rate").alias("worst_rate"), F.try_divide(F.sum("zeros"), F.sum("n")).alias("overall_rate"), F.count("*").alias("versions"))
+
+
+def best_duration(buckets: DataFrame, measure: str = "hit_rate") -> DataFrame:
+    """The bucket of the highest hit rate or reuse ratio among those with sessions; none where all are 0."""
+    return buckets.where((F.col("n") > 0) & (F.col(measure) > 0)).orderBy(F.desc(measure), "bucket").limit(1).select("label", measure)

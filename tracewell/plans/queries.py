@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import activity, cache, catalogue, filters, overview, performance, search, sequence, tools
+from tracewell.functions import text
 from tracewell.operators import sessions as session_ops
 from tracewell.plans.surrogate import HALF, MONTH, S_SQL, T_SQL, action_events, keys_of, numbered_events, sessions, spent, table, turn_messages
 
@@ -329,6 +330,62 @@ def sequence_behaviour(spark, d):
     return sequence.collect(action_events(spark, d), "user_id").select("user_id", "action_count", "loop_count", "mutation_count", "blind_mutations", "actions_before")
 
 
+# ---- summaries for charts and details ----
+
+
+@query("select round(avg(messages), 6) as avg, quantile_disc(messages, 0.5) as p50, quantile_disc(messages, 0.95) as p95, quantile_disc(messages, 0.99) as p99, max(messages) as max, cast(sum(messages) as bigint) as total from S")
+def message_statistics(spark, d):
+    return rounded(session_ops.session_statistic(sessions(spark, d), "messages"), "avg")
+
+
+@query(ROLLUP_SQL + TREND_SQL.replace("sum(tokens)", f"sum({RTOK})").replace("ts >", "bucket_start >").replace("ts <", "bucket_start <").replace("from S)", "from R)"))
+def token_trend_from_rollup(spark, d):
+    return overview.token_trend_from_rollup(rollup(spark, d), HALF)
+
+
+@query("""select early, late, case when early > 0 then round(late / early, 6) else 0.0 end as multiplier from (select coalesce(round(avg(p) filter (position between 1 and 5), 6), 0.0) as early, coalesce(round(avg(p) filter (position between 20 and 999), 6), 0.0) as late
+ from (select position, avg(prompt) as p from T group by 1))""", T_SQL)
+def early_late_turns(spark, d):
+    return rounded(session_ops.early_late(session_ops.turns_by_position(turns(spark, d))), "early", "late", "multiplier")
+
+
+@query(f""", h as (select {DURATION} as bucket, avg(case when prompt > 0 then rd / prompt else 0 end) as hr, {REUSE} as u from S group by 1), b as (select * from h join {_labels(session_ops.DURATION_LABELS)} using (bucket))
+select 'hit_rate' as measure, arg_min(label, bucket) as label from b where hr > 0 and hr = (select max(hr) from b) having count(*) > 0 union all select 'reuse_ratio', arg_min(label, bucket) from b where u > 0 and u = (select max(u) from b) having count(*) > 0""")
+def best_cache_buckets(spark, d):
+    buckets = cache.by_duration(sessions(spark, d))
+    hit, reuse = (cache.best_duration(buckets, m).select(F.lit(m).alias("measure"), "label") for m in ("hit_rate", "reuse_ratio"))
+    return hit.unionByName(reuse)
+
+
+@query(""", v as (select 'v' || (conv_id % 6) as version, count(*) as n, count(*) filter (first_read = 0) as z from T where position = 1 group by 1 having count(*) >= 3)
+select (select version from v order by z / n desc, version limit 1) as worst_version, round(max(z / n), 6) as worst_rate, round(sum(z) / sum(n), 6) as overall_rate, count(*) as versions from v""", T_SQL)
+def cold_rates(spark, d):
+    return rounded(cache.cold_summary(cache.first_turn_cold(turns(spark, d))), "worst_rate", "overall_rate")
+
+
+@query(ROLLUP_SQL + f" select version as key, cast(bucket_start as date) as day, cast(sum({RTOK}) as bigint) as tokens from R group by 1, 2 having sum({RTOK}) > 0 order by tokens desc, key, day limit 1")
+def split_peak(spark, d):
+    return activity.peak_of_split(activity.daily_by_split(rollup(spark, d), "version", MONTH), "tokens")
+
+
+PLACES = DAILY + ", z as (select c.day, cast(coalesce(tokens, 0) as double) as t, row_number() over (order by c.day) - 1 as i, count(*) over () as n from c left join v using (day))"
+
+
+@query(PLACES + " select cast(i * 12 // n as integer) as place, min(day) as first, round(avg(t), 6) as value from z group by 1")
+def daily_tokens_in_columns(spark, d):
+    return rounded(text.in_columns(activity.daily(sessions(spark, d), MONTH), "day", "tokens", 12), "value").withColumnRenamed("column", "place")
+
+
+@query(PLACES + ", m as (select min(t) as lo, max(t) - min(t) as span from z) select string_agg(substr('▁▂▃▄▅▆▇█', 1 + cast(case when span > 0 then floor((t - lo) / span * 7) else 0 end as integer), 1), '' order by j) as line from (select unnest(range(0, 20)) as j) join z on z.i = j * n // 20, m")
+def daily_tokens_line(spark, d):
+    return text.sparkline(activity.daily(sessions(spark, d), MONTH), "day", "tokens", 20)
+
+
+@query(", g as (select user_id, cast(ts as date) as day, tool, count(*) as n from ea group by 1, 2, 3), k as (select *, row_number() over (partition by user_id, day order by n desc, tool) as r from g) select user_id, day, string_agg(tool || ':' || n, ' ' order by r) as summary from k where r <= 3 group by 1, 2")
+def tool_summaries(spark, d):
+    return sessions(spark, d).select("user_id", "day", text.tool_summary(F.col("tool_counts")).alias("summary"))
+
+
 # ---- search ----
 
 X_SQL = r"""
@@ -459,3 +516,54 @@ def parent_attributes(spark, d):
     places = F.broadcast(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")))  # a fixed list of nations
     rows = per.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name", "r_name").agg(F.sum("_n").alias("orders"), F.round(F.sum("_s"), 2).alias("spent"))
+
+
+@query("select user_id, event_id from e qualify not coalesce(event_type = lag(event_type) over (partition by user_id order by ts, event_id) and k % 3 = lag(k % 3) over (partition by user_id order by ts, event_id), false)")
+def adjacent_repeats(spark, d):
+    """Events of a user but those of the same type and remainder as the one before."""
+    messages = numbered_events(spark, d).select("user_id", "event_id", F.struct("ts", "event_id").alias("ordinal"), F.col("event_type").alias("role"), (F.col("k") % 3).cast("string").alias("text"))
+    return catalogue.without_adjacent_repeats(messages, "user_id").select("user_id", "event_id")
+
+
+@query(", n as (select user_id, event_id, event_type, row_number() over (partition by user_id, event_type order by event_id) as i from e) select a.user_id, a.event_id as ordinal, b.event_id as other_ordinal from n a left join n b on a.user_id = b.user_id and a.i = b.i and b.event_type = 'error' where a.event_type = 'click'")
+def paired_rows(spark, d):
+    """The i-th click of a user with the i-th error, as children are paired with dividers."""
+    kind = lambda name: numbered_events(spark, d).where(F.col("event_type") == name).select("user_id", F.col("event_id").alias("ordinal"))
+    return catalogue.paired(kind("click"), kind("error"), "user_id", "ordinal")
+
+
+@query("select user_id, k as file_path, event_id as ordinal from e where event_type = 'purchase' qualify row_number() over (partition by user_id, k order by event_id) = 1")
+def plan_dedup_first(spark, d):
+    plans = numbered_events(spark, d).where("event_type = 'purchase'").select("user_id", F.col("k").alias("file_path"), F.col("event_id").alias("ordinal"))
+    return catalogue.first_plans(plans, "user_id")
+
+
+@query("""with a as (select * from orders where o_orderkey % 11 <> 0), b as (select o_orderkey, o_custkey + case when o_orderkey % 7 = 0 then 1 else 0 end as l, o_orderdate - case when o_orderkey % 3 = 0 then interval 1 day else interval 0 day end as m from orders where o_orderkey % 5 <> 0)
+select case when b.o_orderkey is null then 'new' when a.o_orderkey is null then 'gone' when o_custkey <> l or o_orderdate > m then 'changed' else 'same' end as state, count(*) as files from a full join b using (o_orderkey) group by 1""", "")
+def source_changes(spark, d):
+    """States of source files against an earlier manifest, counted; orders stand for files."""
+    from tracewell.sources.store import changes
+
+    files = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("length"), F.col("o_orderdate").alias("modified"))
+    now = files.where("o_orderkey % 11 <> 0").drop("o_orderkey")
+    earlier = F.when(F.col("o_orderkey") % 3 == 0, F.expr("modified - interval 1 day")).otherwise(F.col("modified"))
+    before = files.where("o_orderkey % 5 <> 0").withColumns({"length": F.col("length") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0), "modified": earlier}).drop("o_orderkey")
+    return changes(now, before).groupBy("state").agg(F.count("*").alias("files"))
+
+
+@query("select event_type as record, field, count(*) as n from (select event_type, unnest(json_keys(props)) as field from events) where field <> 'known' group by 1, 2", "")
+def unknown_fields(spark, d):
+    """Fields of a record that its schema does not list, by type of record."""
+    from tracewell.sources.jsonl import unknown_keys
+
+    seen = table(spark, d, "events").select(F.col("event_type").alias("record"), F.explode(unknown_keys(F.col("props"), ["known"])).alias("field"))
+    return seen.groupBy("record", "field").agg(F.count("*").alias("n"))
+
+
+@query("select date_trunc('minute', ts) as bucket_start, event_type, count(*) as n, cast(sum(floor(value)) as bigint) as amount from events group by 1, 2", "")
+def minute_window_stream(spark, d):
+    """The live minute rollup, run over the table of events as a stream until its input ends."""
+    from tracewell.sources.store import shared_folder
+    from tracewell.streaming.refresh import stream_rollup
+
+    return stream_rollup(spark, f"{d}/events.parque[t]", shared_folder(spark, "minutes"))  # a pattern, as a stream reads no single file by name

@@ -43,12 +43,11 @@ def stream_files(spark: SparkSession, root: str, handle: Callable[[DataFrame, in
     query.awaitTermination()
 
 
-def stream_rollup(spark: SparkSession, path: str, table: str, checkpoint: str | None = None) -> DataFrame:
-    """The minute rollup of a folder of events as a stream that ends with its input, in a table in memory."""
+def stream_rollup(spark: SparkSession, path: str, target: str, checkpoint: str | None = None) -> DataFrame:
+    """The minute rollup of a folder of events as a stream that ends with its input, written to ``target`` by each batch."""
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).format("parquet").load(path)
-    writer = live_rollup(events.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(table)
+    live = live_rollup(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    writer = live.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).outputMode("complete").trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint or f"{target}-state").start().awaitTermination()
+    return spark.read.schema(live.schema).parquet(target)
