@@ -52,13 +52,31 @@ def by_duration(sessions: DataFrame, within: TimeRange = TimeRange()) -> DataFra
     return out.select("bucket", "label", zero("n").cast("long").alias("n"), F.coalesce("hit", F.lit(0.0)).alias("hit_rate"), reuse_ratio(zero("read"), zero("write")).alias("reuse_ratio"))
 
 
-def by_split(sessions: DataFrame, name: str, within: TimeRange = TimeRange(), allowed: list[str] | None = None) -> DataFrame:
-    """Segment rows of each key: prompt, read and write tokens of main and subagent sessions, those above 0."""
+def _split(sessions: DataFrame, name: str, within: TimeRange, allowed: list[str] | None) -> DataFrame:
+    """Strictly kept sessions with their key and what neither was read nor written (a session that exceeds its prompt misses nothing)."""
     kept = facts(sessions, within).where(within.contains("ts", strict=True)).withColumn("key", dimension(name))
-    if allowed:
-        kept = kept.where(F.col("key").isin(*allowed))
-    sums = kept.groupBy("key", F.when(F.col("is_subagent"), "subagent").otherwise("main").alias("segment")).agg(*(F.sum(c).alias(c) for c in ("prompt", "read", "write")))
-    return sums.unpivot(["key", "segment"], ["prompt", "read", "write"], "measure", "value").where("value > 0")
+    kept = kept.withColumn("miss", F.greatest(F.col("prompt") - F.col("read") - F.col("write"), F.lit(0)))
+    return kept.where(F.col("key").isin(*allowed)) if allowed else kept
+
+
+def by_split(sessions: DataFrame, name: str, within: TimeRange = TimeRange(), allowed: list[str] | None = None) -> DataFrame:
+    """Segment rows of each key: read, write, missed and prompt tokens of main and subagent sessions, those above 0."""
+    measures = ["prompt", "read", "write", "miss"]
+    sums = _split(sessions, name, within, allowed).groupBy("key", F.when(F.col("is_subagent"), "subagent").otherwise("main").alias("segment")).agg(*(F.sum(c).alias(c) for c in measures))
+    return sums.unpivot(["key", "segment"], measures, "measure", "value").where("value > 0")
+
+
+def split_rates(segment_rows: DataFrame) -> DataFrame:
+    """Hit and write rate of each key of ``by_split``, against all that was read, written or missed."""
+    of = lambda *names: F.sum(F.when(F.col("measure").isin(*names), F.col("value")).otherwise(0))
+    sums = segment_rows.groupBy("key").agg(of("read").alias("read"), of("write").alias("write"), of("read", "write", "miss").alias("all"))
+    return sums.select("key", safe_ratio(F.col("read"), F.col("all")).alias("hit_rate"), safe_ratio(F.col("write"), F.col("all")).alias("write_rate"))
+
+
+def split_durations(sessions: DataFrame, name: str, within: TimeRange = TimeRange(), allowed: list[str] | None = None) -> DataFrame:
+    """Read and written tokens of each key by the duration of sessions, those above 0."""
+    sums = _split(sessions, name, within, allowed).groupBy("key", duration_bucket().cast("int").alias("bucket")).agg(F.sum("read").alias("read"), F.sum("write").alias("write"))
+    return sums.unpivot(["key", "bucket"], ["read", "write"], "measure", "value").where("value > 0")
 
 
 def daily_by_split(sessions: DataFrame, name: str, within: TimeRange = TimeRange()) -> DataFrame:

@@ -254,11 +254,21 @@ def cache_by_duration(spark, d):
     return rounded(cache.by_duration(sessions(spark, d)), "hit_rate", "reuse_ratio")
 
 
-@query(", v as (select label as key, case when sub then 'subagent' else 'main' end as segment, cast(sum(prompt) as bigint) as prompt, cast(sum(rd) as bigint) as read, cast(sum(wr) as bigint) as write from S group by 1, 2) select key, segment, measure, value from (unpivot v on prompt, read, write into name measure value value) where value > 0")
+@query(", v as (select label as key, case when sub then 'subagent' else 'main' end as segment, cast(sum(prompt) as bigint) as prompt, cast(sum(rd) as bigint) as read, cast(sum(wr) as bigint) as write, cast(sum(greatest(prompt - rd - wr, 0)) as bigint) as miss from S group by 1, 2) select key, segment, measure, value from (unpivot v on prompt, read, write, miss into name measure value value) where value > 0")
 def cache_by_split(spark, d):
     return cache.by_split(sessions(spark, d), "provider")
 
 
+@query("select model as key, round(sum(rd) / sum(rd + wr + greatest(prompt - rd - wr, 0)), 6) as hit_rate, round(sum(wr) / sum(rd + wr + greatest(prompt - rd - wr, 0)), 6) as write_rate from S group by 1 having sum(rd + wr + greatest(prompt - rd - wr, 0)) > 0")
+def cache_split_rates(spark, d):
+    return rounded(cache.split_rates(cache.by_split(sessions(spark, d), "model")), "hit_rate", "write_rate")
+
+
+@query(f", v as (select version as key, {DURATION} as bucket, cast(sum(rd) as bigint) as read, cast(sum(wr) as bigint) as write from S group by 1, 2) select key, bucket, measure, value from (unpivot v on read, write into name measure value value) where value > 0")
+def cache_split_durations(spark, d):
+    return cache.split_durations(sessions(spark, d), "version")
+
+
 @query("select day, model as key, round(case when sum(prompt) > 0 then sum(rd) / sum(prompt) else 0 end, 6) as read_share, round(case when sum(prompt) > 0 then sum(wr) / sum(prompt) else 0 end, 6) as write_share from S group by 1, 2 having sum(rd) > 0 or sum(wr) > 0")
 def cache_daily_by_split(spark, d):
     return rounded(cache.daily_by_split(sessions(spark, d), "model"), "read_share", "write_share")
