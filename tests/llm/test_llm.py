@@ -279,6 +279,29 @@ def test_backoff_against_brute_force(spark, odd, order, monkeypatch):
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 4)) for r in ngram_lm.score(odd, order).collect()), key=key) == sorted(want, key=key)
 
 
+def test_backoff_tells_like_hashes_apart(spark):
+    """The first two words agree in 40 bits of their hash and in the next 24 modulo the session's partitions."""
+    for pair in (("w2832197", "w5636335"), ("w2848337", "w3704685"), ("w4700205", "w4817004")):
+        got = ngram_lm.score(docs(spark, *enumerate(pair)), 3).collect()
+        assert [round(r.log_score, 4) for r in got] == [round(math.log10(0.5), 4)] * 2
+    code, check = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 9, 2, 1, 9], np.uint32)
+    order, first = ngram_lm.in_order(code, check)
+    assert list(zip(code[order].tolist(), check[order].tolist())) == [(5, 9), (5, 9), (7, 1), (7, 1), (7, 2)] and first.tolist() == [0, 2, 4]
+    assert ngram_lm.part_of(np.array([0, 1 << 62, 1 << 63, (1 << 64) - 1], np.uint64), 12).tolist() == [0, 3, 6, 11]
+
+
+def test_backoff_never_divides_by_nothing():
+    logs = ngram_lm.backoff_logs(np.array([2]), [np.array([0.0, 3.0]), np.array([0.0, 1.0])], 12, 0.4)
+    assert np.isfinite(logs).all()
+
+
+@pytest.mark.parametrize("most", [0, 200, 1 << 14, 1 << 31, 1 << 39, 1 << 47, 1 << 55, (1 << 64) - 1])
+def test_backoff_numbers_in_few_bytes(most):
+    x = np.array([most - i if most > i else 0 for i in range(40)] + [0, (1 << 64) - 1], np.uint64)
+    assert ngram_lm._wide(ngram_lm._narrow(x)).tolist() == x.tolist() and ngram_lm._wide(ngram_lm._narrow(x[:0])).tolist() == []
+
+
+
 # 8
 def cut_brute(table, length):
     least = {}

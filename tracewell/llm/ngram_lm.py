@@ -9,8 +9,10 @@ Documents are gathered to batches.  Each batch counts its distinct n-grams of ev
 order and sends them, as sorted hashes, to the part of the count table that the
 hash names; common n-grams so arrive once from each batch.  A part sums what it
 gets and answers each batch with the totals in the order asked, and the batch, met
-again by its answers, adds up its documents.  An n-gram is known by its part and 40
-bits of its hash, so what tells two apart grows with the number of parts.
+again by its answers, adds up its documents.  An n-gram is known by 96 bits of two
+hashes, whatever the number of parts, and its words are not compared: among 2 billion
+different n-grams a collision has a chance of about 1 in 4 * 10**10.  The number of
+parts follows the number of words.
 
 Words are what stands between ASCII white space, ASCII letters in lower case.
 
@@ -37,15 +39,16 @@ ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in one batch, unless one document has more.
 BATCH_BYTES = 6 << 20
 CACHE_WORDS = 300_000
-VALUE_BITS = np.uint64(40)
+#: Words of the corpus for each part of the count table.
+PART_WORDS = 1 << 20
 
 BATCHES = "batch long, n_words long, doc_ids binary, sizes binary, texts binary"
-ASKED = "part int, n int, batch long, steps binary, counts binary"
+ASKED = "part int, n int, batch long, steps binary, checks binary, counts binary"
 ANSWERS = "batch long, n int, part int, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
 _null_id = -(1 << 63)
-_mix = np.uint64(0x9E3779B97F4A7C15)
+_mix, _mix_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -86,13 +89,14 @@ class Words:
     """Hashes of the words of texts; those of common words are kept for later batches."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def hashes(self, words: list[bytes]) -> list[int]:
+    def hashes(self, words: list[bytes]) -> bytes:
+        """16 bytes for each word."""
         known = self.known
         found = list(map(known.get, words))
         if None in found:
-            digest = xxhash.xxh3_64_intdigest
+            digest = xxhash.xxh3_128_digest
             for i, h in enumerate(found):
                 if h is None:
                     h = known.get(words[i])
@@ -101,69 +105,91 @@ class Words:
                     found[i] = h
             if len(known) > CACHE_WORDS:
                 known.clear()
-        return found
+        return b"".join(found)
 
 
 _words = Words()
 
 
-def codes(blob: bytes, sizes: bytes, order: int, parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def codes(blob: bytes, sizes: bytes, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words of each document and, for each n, the codes of the n-grams ending at each word (those that begin in the document).
 
-    A code is the part and the value within it. The n-gram of word i stands at the n-th array's
-    place i - (n - 1) * (its document + 1), as the first n - 1 words of documents end none.
+    A code is 64 bits and a check of 32 from a second hash. The n-gram of word i stands at the n-th
+    arrays' place i - (n - 1) * (its document + 1), as the first n - 1 words of documents end none.
     """
     text, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
-    lists = [np.array(_words.hashes(words_of(text[a:z])), np.uint64) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
-    counts = np.array(list(map(len, lists)), np.int64)
-    word = np.concatenate([*lists, np.zeros(0, np.uint64)])
+    lists = [_words.hashes(words_of(text[a:z])) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    counts = np.array([len(x) // 16 for x in lists], np.int64)
+    word = np.frombuffer(b"".join(lists), "<u8").reshape(-1, 2)
     at = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)  # place in the document
-    out, gram = [], word
-    for n in range(1, order + 1):
-        if n > 1:
-            gram = (gram[:-1] ^ gram[:-1] >> np.uint64(29)) * _mix + word[n - 1 :]
-        h = gram ^ gram >> np.uint64(32)
-        h = h * _mix
-        h = (h ^ h >> np.uint64(29))[at[n - 1 :] >= n - 1]
-        out.append((h >> VALUE_BITS) % np.uint64(parts) << VALUE_BITS | h & np.uint64((1 << 40) - 1))
-    return counts, out
+    chains = []
+    for words, mix in zip((word[:, 0], word[:, 1]), (_mix, _mix_2)):
+        out, gram = [], words
+        for n in range(1, order + 1):
+            if n > 1:
+                gram = (gram[:-1] ^ gram[:-1] >> np.uint64(29)) * mix + words[n - 1 :]
+            h = gram ^ gram >> np.uint64(32)
+            h = h * mix
+            out.append((h ^ h >> np.uint64(29))[at[n - 1 :] >= n - 1])
+        chains.append(out)
+    return counts, [(code, (check >> np.uint64(32)).astype(np.uint32)) for code, check in zip(*chains)]
+
+
+def in_order(code: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the pairs and the places in it where another pair begins."""
+    order = np.argsort(code, kind="stable")
+    same = np.diff(code[order]) == 0
+    if (same & (np.diff(check[order]) != 0)).any():  # one code, several checks: bring equal checks together
+        order = np.lexsort((check, code))
+        same = np.diff(code[order]) == 0
+    return order, np.flatnonzero(np.r_[len(code) > 0, ~(same & (np.diff(check[order]) == 0))])
+
+
+def part_of(code: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each code, in order of the codes."""
+    return (code >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 def _ask(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, sizes, texts in zip(*(c.to_pylist() for c in b.columns)):
-                for n, code in enumerate(codes(texts, sizes, order, parts)[1], 1):
+                for n, (code, check) in enumerate(codes(texts, sizes, order)[1], 1):
                     if not len(code):
                         continue
-                    code, count = np.unique(code, return_counts=True)
-                    part = code >> VALUE_BITS
+                    place, first = in_order(code, check)
+                    count = np.diff(np.r_[first, len(code)])
+                    value, check = code[place[first]], check[place[first]]
+                    part = part_of(value, parts)
                     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-                    value = code & np.uint64((1 << 40) - 1)
                     step = np.diff(value, prepend=np.uint64(0))
                     step[cut[:-1]] = value[cut[:-1]]
                     rows = list(zip(cut.tolist(), cut[1:].tolist()))
-                    out = [(int(part[a]), n, batch, _narrow(step[a:z]), _narrow(count[a:z])) for a, z in rows]
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "n", "batch", "steps", "counts"])
+                    out = [(int(part[a]), n, batch, _narrow(step[a:z]), check[a:z].astype("<u4").tobytes(), _narrow(count[a:z])) for a, z in rows]
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "n", "batch", "steps", "checks", "counts"])
 
     return run
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers in the least of 1, 2, 4 or 8 bytes that hold all but a few, the few set apart."""
-    for width, most in ((1, 0xFF), (2, 0xFFFF), (4, 0xFFFFFFFF)):
+    """Numbers in the least of 1, 2, 4, 5, 6, 7 or 8 bytes that hold all but a few, the few set apart."""
+    for width in (1, 2, 4, 5, 6, 7):
+        most = (1 << 8 * width) - 1
         big = np.flatnonzero(x >= most)
-        if len(big) * 12 <= len(x) * width:
-            small = x.astype(f"<u{width}")
+        if len(big) * 12 <= len(x) * width // 4:
+            small = x.astype("<u8")
             small[big] = most
-            return bytes([width]) + len(big).to_bytes(4, "little") + big.astype("<u4").tobytes() + x[big].astype("<u8").tobytes() + small.tobytes()
+            return bytes([width]) + len(big).to_bytes(4, "little") + big.astype("<u4").tobytes() + x[big].astype("<u8").tobytes() + small.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
     return bytes([8]) + bytes(4) + x.astype("<u8").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
     width, n = data[0], int.from_bytes(data[1:5], "little")
-    x = np.frombuffer(data, f"<u{width}", -1, 5 + 12 * n).astype(np.uint64)
+    low = np.frombuffer(data, np.uint8, -1, 5 + 12 * n).reshape(-1, width)
+    x = np.zeros((len(low), 8), np.uint8)
+    x[:, :width] = low
+    x = x.view("<u8").reshape(-1)
     x[np.frombuffer(data, "<u4", n, 5)] = np.frombuffer(data, "<u8", n, 5 + 4 * n)
     return x
 
@@ -172,10 +198,9 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of (part, n): one slice of the count table after the other."""
 
     def answers(at: tuple[int, int], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        values = [np.cumsum(_wide(steps)) for _, steps, _ in rows]
-        value, count = np.concatenate(values), np.concatenate([_wide(c) for _, _, c in rows])
-        order = np.argsort(value, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(value[order]) != 0])
+        values = [np.cumsum(_wide(steps)) for _, steps, _, _ in rows]
+        value, count = np.concatenate(values), np.concatenate([_wide(c) for *_, c in rows])
+        order, first = in_order(value, np.concatenate([np.frombuffer(c, "<u4") for _, _, c, _ in rows]))
         total = np.empty(len(value), np.uint64)
         total[order] = np.repeat(np.add.reduceat(count[order], first), np.diff(np.r_[first, len(value)]))
         cut = np.cumsum([0, *map(len, values)]).tolist()
@@ -209,26 +234,29 @@ def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: int, bac
     score = score + drop * np.minimum(at, len(left) - 1)
     for n in range(2, len(left) + 1):
         hit = np.flatnonzero(left[n - 1] > 0)
+        hit = hit[left[n - 2][hit - 1] > 0]
         score[hit] = np.log10(left[n - 1][hit] / left[n - 2][hit - 1]) + drop * (np.minimum(at[hit] + 1, len(left)) - n)
     return score
 
 
-def _score(order: int, parts: int, all_words: int, backoff: float):
+def _score(order: int, all_words: int, backoff: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_ids, sizes, texts, answers in zip(*(c.to_pylist() for c in b.columns)):
-                counts, grams = codes(texts, sizes, order, parts)
+                counts, grams = codes(texts, sizes, order)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
                 left = []
-                for n, code in enumerate(grams, 1):
+                for n, (code, check) in enumerate(grams, 1):
                     mine = sorted((a["part"], a["totals"]) for a in answers or () if a["n"] == n)
                     place = np.flatnonzero(at >= n - 1)
                     out = np.zeros(len(doc))
                     if len(code):
                         total = np.concatenate([_wide(t) for _, t in mine]).astype(np.int64)
-                        distinct, index = np.unique(code, return_inverse=True)
-                        pair = doc[place] * len(distinct) + index
+                        by_code, first = in_order(code, check)
+                        index = np.empty(len(code), np.int64)
+                        index[by_code] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(code)]))
+                        pair = doc[place] * len(first) + index
                         _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
                         out[place] = total[index] - own[back]
                     left.append(out)
@@ -242,15 +270,14 @@ def _score(order: int, parts: int, all_words: int, backoff: float):
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log_score (sum of log10 scores) and mean_log_score (0 without words) for each row."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = gather(docs)
     all_words = gathered.agg(F.sum("n_words")).first()[0] or 0
+    parts = 1 + all_words // PART_WORDS
     asked = gathered.select("batch", "sizes", "texts").mapInArrow(_ask(order, parts), ASKED)
     dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "n")
     answers = dealt.mapInArrow(_total, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))  # at most the n-grams of a batch
     met = gathered.join(answers, "batch", "left").select("doc_ids", "sizes", "texts", "answers")
-    scored = met.mapInArrow(_score(order, parts, all_words, backoff), SCORES)
+    scored = met.mapInArrow(_score(order, all_words, backoff), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 
