@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import expr
 from tracewell.operators import activity, cache, catalogue, filters, overview, performance, search, sequence, tools
 from tracewell.operators import sessions as session_ops
+from tracewell.plans.queries import QUERIES
 from tracewell.plans.timeframe import TimeRange, last_days
 from tracewell.streaming.refresh import stream_rollup
 
@@ -148,3 +149,16 @@ def test_stream_equals_batch(spark, tmp_path):
     df.repartition(3).write.parquet(path)
     batch = df.groupBy(F.date_trunc("minute", "ts").alias("bucket_start"), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value")).alias("amount"))
     assert {tuple(r) for r in stream_rollup(spark, path, str(tmp_path / "rolled")).collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_search_reads_every_language(spark, tmp_path):
+    rows = [(1, "threr ing", "en"), (2, "Thrér über", "fr"), (3, "thrër ingé", None), (4, None, "de"), (5, "x\nTHRÈR", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in QUERIES["search_prefix_and_all"](spark, str(tmp_path)).collect()) == [1, 3]
+    assert sorted(map(tuple, QUERIES["search_ranked_all"](spark, str(tmp_path)).collect())) == [(1, 0, 3), (2, 0, 2), (3, 0, 1), (5, 1, 4)]
+
+
+def test_places_over_many_blocks(spark):
+    rows = [(i % 3, i * 7 - 100) for i in range(200)]
+    got = {(r.first_ordinal, r.last_ts): r.place for r in search.places(spark.createDataFrame(rows, "first_ordinal long, last_ts long"), 16).collect()}
+    assert got == {row: i + 1 for i, row in enumerate(sorted(rows, key=lambda x: (x[0], -x[1])))}

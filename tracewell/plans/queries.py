@@ -406,35 +406,82 @@ W as (select doc_id, ordinal, unnest(ws) as term, generate_subscripts(ws, 1) as
 """
 
 
+#: The same over the texts of every language, compared without diacritics.
+ALL_X_SQL = X_SQL.replace(" where lang = 'en'", "").replace("lower(text)", "lower(strip_accents(text))")
+
+
+def chunks_of_all(spark, d):
+    return search.chunks(table(spark, d, "documents").select("doc_id", F.lit(0).alias("position"), "text"), "doc_id")
+
+
 def english_chunks(spark, d):
     texts = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(0).alias("position"), "text")
     return search.chunks(texts, "doc_id")
 
 
-@query("select doc_id, count(*) as chunks, cast(sum(length(text)) as bigint) as chars, cast(max(ordinal) as bigint) as last_ordinal from X group by doc_id", X_SQL)
+def chunk_totals(pieces):
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("chars"), F.max("ordinal").cast("long").alias("last_ordinal"))
+
+
+def chunks_with(pieces, words):
+    return search.matching_chunks(search.postings(pieces, "doc_id"), words, "doc_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def ranked_documents(spark, d, pieces):
+    hits = search.matching_chunks(search.postings(pieces, "doc_id"), "threr", "doc_id")
+    recent = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("last_ts"))
+    found = search.ranked(hits, pieces, recent, "threr", "doc_id").select("doc_id", F.col("first_ordinal").cast("long").alias("first_ordinal"), "last_ts").distinct()
+    return search.places(found).select("doc_id", "first_ordinal", "place")
+
+
+SEARCH_CHUNKS_SQL = "select doc_id, count(*) as chunks, cast(sum(length(text)) as bigint) as chars, cast(max(ordinal) as bigint) as last_ordinal from X group by doc_id"
+SEARCH_PREFIX_AND_SQL = "select doc_id, cast(ordinal as bigint) as ordinal from W group by 1, 2 having bool_or(starts_with(term, 'threr')) and bool_or(starts_with(term, 'ing'))"
+SEARCH_PHRASE_SQL = "select distinct a.doc_id, cast(a.ordinal as bigint) as ordinal from W a join W b on a.doc_id = b.doc_id and a.ordinal = b.ordinal and b.at = a.at + 1 where a.term = 'of' and starts_with(b.term, 'th')"
+SEARCH_RANKED_SQL = ", m as (select doc_id, min(ordinal) as first_ordinal from (select doc_id, ordinal from W group by 1, 2 having bool_or(starts_with(term, 'threr'))) group by 1) select doc_id, cast(first_ordinal as bigint) as first_ordinal, row_number() over (order by first_ordinal, doc_id desc) as place from m"
+
+
+@query(SEARCH_CHUNKS_SQL, X_SQL)
 def search_chunks(spark, d):
-    return english_chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("chars"), F.max("ordinal").cast("long").alias("last_ordinal"))
+    return chunk_totals(english_chunks(spark, d))
+
+
+@query(SEARCH_CHUNKS_SQL, ALL_X_SQL)
+def search_chunks_all(spark, d):
+    """Over the texts of every language."""
+    return chunk_totals(chunks_of_all(spark, d))
 
 
-@query("select doc_id, cast(ordinal as bigint) as ordinal from W group by 1, 2 having bool_or(starts_with(term, 'threr')) and bool_or(starts_with(term, 'ing'))", X_SQL)
+@query(SEARCH_PREFIX_AND_SQL, X_SQL)
 def search_prefix_and(spark, d):
-    post = search.postings(english_chunks(spark, d), "doc_id")
-    return search.matching_chunks(post, "threr ing", "doc_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return chunks_with(english_chunks(spark, d), "threr ing")
 
 
-@query("select distinct a.doc_id, cast(a.ordinal as bigint) as ordinal from W a join W b on a.doc_id = b.doc_id and a.ordinal = b.ordinal and b.at = a.at + 1 where a.term = 'of' and starts_with(b.term, 'th')", X_SQL)
+@query(SEARCH_PREFIX_AND_SQL, ALL_X_SQL)
+def search_prefix_and_all(spark, d):
+    """Over the texts of every language."""
+    return chunks_with(chunks_of_all(spark, d), "threr ing")
+
+
+@query(SEARCH_PHRASE_SQL, X_SQL)
 def search_phrase(spark, d):
-    post = search.postings(english_chunks(spark, d), "doc_id")
-    return search.matching_chunks(post, "of/th", "doc_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return chunks_with(english_chunks(spark, d), "of/th")
+
 
+@query(SEARCH_PHRASE_SQL, ALL_X_SQL)
+def search_phrase_all(spark, d):
+    """Over the texts of every language."""
+    return chunks_with(chunks_of_all(spark, d), "of/th")
 
-@query(", m as (select doc_id, min(ordinal) as first_ordinal from (select doc_id, ordinal from W group by 1, 2 having bool_or(starts_with(term, 'threr'))) group by 1) select doc_id, cast(first_ordinal as bigint) as first_ordinal, row_number() over (order by first_ordinal, doc_id desc) as place from m", X_SQL)
+
+@query(SEARCH_RANKED_SQL, X_SQL)
 def search_ranked(spark, d):
-    pieces = english_chunks(spark, d)
-    hits = search.matching_chunks(search.postings(pieces, "doc_id"), "threr", "doc_id")
-    recent = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("last_ts"))
-    found = search.ranked(hits, pieces, recent, "threr", "doc_id").select("doc_id", F.col("first_ordinal").cast("long").alias("first_ordinal"), "last_ts").distinct()
-    return found.withColumn("place", F.row_number().over(Window.orderBy("first_ordinal", F.desc("last_ts"))).cast("long")).drop("last_ts")
+    return ranked_documents(spark, d, english_chunks(spark, d))
+
+
+@query(SEARCH_RANKED_SQL, ALL_X_SQL)
+def search_ranked_all(spark, d):
+    """Over the texts of every language."""
+    return ranked_documents(spark, d, chunks_of_all(spark, d))
 
 
 @query("select conv_id, turn, cast(len(regexp_extract_all(lower(text), 'que')) as integer) as n from conversations where contains(lower(text), 'que') and not contains(text, chr(10))", "")
