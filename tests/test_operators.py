@@ -10,6 +10,7 @@ from tracewell.operators import activity, cache, catalogue, filters, overview, p
 from tracewell.operators import sessions as session_ops
 from tracewell.plans.queries import QUERIES
 from tracewell.plans.timeframe import TimeRange, last_days
+from tracewell.sources.store import changes
 from tracewell.streaming.refresh import stream_rollup
 
 T0 = datetime(2024, 3, 4, 12)
@@ -162,3 +163,20 @@ def test_places_over_many_blocks(spark):
     rows = [(i % 3, i * 7 - 100) for i in range(200)]
     got = {(r.first_ordinal, r.last_ts): r.place for r in search.places(spark.createDataFrame(rows, "first_ordinal long, last_ts long"), 16).collect()}
     assert got == {row: i + 1 for i, row in enumerate(sorted(rows, key=lambda x: (x[0], -x[1])))}
+
+
+def test_occurrences_by_line_of_every_turn(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "que Que\nno\nquique"), (1, 1, "que"), (2, 0, None), (2, 1, "\n\naqueque")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["transcript_occurrences_all"](spark, str(tmp_path)).select("conv_id", "turn", "line", "n").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 2), (1, 0, 2, 1), (1, 1, 0, 1), (2, 1, 2, 2)]
+
+
+def test_gaps_of_days_and_files(spark):
+    days = facts(spark, *({"ts": T0 + timedelta(days=d)} for d in (0, 1, 2, 4, 5)))
+    month = TimeRange(datetime(2024, 3, 4), datetime(2024, 3, 10))
+    got = activity.streaks(activity.daily(days, month)).first().asDict()
+    assert (got["active_days"], got["total_days"], got["longest_streak"], got["current_streak"]) == (5, 6, 3, 2)
+    kind = "path string, length long, modified timestamp"
+    now = spark.createDataFrame([("a", 1, T0), ("b", 2, T0), ("c", 1, T0)], kind)
+    before = spark.createDataFrame([("b", 1, T0), ("c", 1, T0), ("d", 1, T0)], kind)
+    assert {r.path: r.state for r in changes(now, before).collect()} == {"a": "new", "b": "changed", "c": "same", "d": "gone"}

@@ -108,6 +108,13 @@ def activity_streaks(spark, d):
     return activity.streaks(activity.daily(quiet_days(spark, d), MONTH))
 
 
+@query(f""", {DAYS}, a as (select distinct day from S where day between date '2024-01-01' and date '2024-01-30'), r as (select day, day - cast(row_number() over (order by day) as integer) as g from a), i as (select max(day) as stop, count(*) as n from r group by g)
+select (select count(*) from a) as active_days, (select count(*) from c) as total_days, coalesce((select max(n) from i), 0) as longest_streak, coalesce((select max(n) from i where stop = date '2024-01-30'), 0) as current_streak""")
+def activity_streaks_all(spark, d):
+    """Over the sessions of every project and day."""
+    return activity.streaks(activity.daily(sessions(spark, d), MONTH))
+
+
 ROLLUP_SQL = """, r0 as (select date_trunc('minute', ts) as bucket_start, provider, version, model, project, 1 as sc, messages as mc, users as uc, messages - users as ac, 0 as i, 0 as c, 0 as r, 0 as o, 0 as q from S
 union all select date_trunc('minute', ts), case when user_id % 2 = 1 then 'codex' else 'claude' end, (user_id % 4) || '.' || (user_id % 3), 'm' || (user_id % 5), 'p' || (user_id % 7), 0, 0, 0, 0,
  case when event_type = 'click' then amount else 0 end, case when event_type = 'view' and user_id % 3 = 0 then amount else 0 end, case when event_type = 'signup' then amount else 0 end, case when event_type = 'purchase' then amount else 0 end, case when event_type = 'error' then amount else 0 end
@@ -490,6 +497,13 @@ def transcript_occurrences(spark, d):
     return search.occurrences(one_line, "que", "conv_id", "turn").drop("line")
 
 
+@query("""select conv_id, turn, cast(line as integer) as line, cast(len(regexp_extract_all(lower(part), 'que')) as integer) as n
+from (select conv_id, turn, unnest(string_split(text, chr(10))) as part, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from conversations) where contains(lower(part), 'que')""", "")
+def transcript_occurrences_all(spark, d):
+    """Over every turn, by line."""
+    return search.occurrences(table(spark, d, "conversations"), "que", "conv_id", "turn")
+
+
 # ---- filters and catalogue ----
 
 CONV_SQL = ", V as (select provider || ':' || user_id as cache_key, min(provider) as provider, min(project) as project, min(model) as model, max(version) as version, count(*) filter (not sub) as part_count, cast(sum(calls) as bigint) as total_message_count, min(ts) as first_ts, max(last_ts) as last_ts from S group by 1)"
@@ -608,6 +622,18 @@ def source_changes(spark, d):
     return changes(now, before).groupBy("state").agg(F.count("*").alias("files"))
 
 
+@query("""with b as (select o_orderkey, o_custkey + case when o_orderkey % 7 = 0 then 1 else 0 end as l, o_orderdate - case when o_orderkey % 3 = 0 then interval 1 day else interval 0 day end as m from orders)
+select case when b.o_orderkey is null then 'new' when a.o_orderkey is null then 'gone' when o_custkey <> l or o_orderdate > m then 'changed' else 'same' end as state, count(*) as files from orders a full join b using (o_orderkey) group by 1""", "")
+def source_changes_all(spark, d):
+    """Every order is a file of both manifests."""
+    from tracewell.sources.store import changes
+
+    now = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("length"), F.col("o_orderdate").alias("modified"))
+    earlier = F.when(F.col("o_orderkey") % 3 == 0, F.expr("modified - interval 1 day")).otherwise(F.col("modified"))
+    before = now.withColumns({"length": F.col("length") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0), "modified": earlier})
+    return changes(now.drop("o_orderkey"), before.drop("o_orderkey")).groupBy("state").agg(F.count("*").alias("files"))
+
+
 @query("select event_type as record, field, count(*) as n from (select event_type, unnest(json_keys(props)) as field from events) where field <> 'known' group by 1, 2", "")
 def unknown_fields(spark, d):
     """Fields of a record that its schema does not list, by type of record."""
