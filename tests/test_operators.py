@@ -180,3 +180,10 @@ def test_gaps_of_days_and_files(spark):
     now = spark.createDataFrame([("a", 1, T0), ("b", 2, T0), ("c", 1, T0)], kind)
     before = spark.createDataFrame([("b", 1, T0), ("c", 1, T0), ("d", 1, T0)], kind)
     assert {r.path: r.state for r in changes(now, before).collect()} == {"a": "new", "b": "changed", "c": "same", "d": "gone"}
+
+
+def test_scores_are_weighted(spark):
+    rows = [("Efficiency", "tokens_per_user_turn", 60, "down"), ("Efficiency", "reasoning_token_share", 90, "up"), ("Efficiency", "time_to_first_mutation", 100, "up"), ("Efficiency", "visible_thinking_depth", 0, "up"), ("Outcome", "patch_churn", None, "none")]
+    card = spark.createDataFrame(rows, "lane string, metric string, score int, trend string")
+    assert [(r.score, r.metrics, r.trend) for r in performance.combined(card).collect()] == [(60, 3, "down")]
+    assert performance.combined(card.where("metric = 'time_to_first_mutation'"), "lane").collect() == []

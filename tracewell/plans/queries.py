@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import activity, cache, catalogue, filters, overview, performance, search, sequence, tools
 from tracewell.functions import text
 from tracewell.operators import sessions as session_ops
-from tracewell.plans.surrogate import HALF, MONTH, S_SQL, T_SQL, action_events, keys_of, numbered_events, sessions, spent, table, turn_messages
+from tracewell.plans.surrogate import HALF, MONTH, S_SQL, T_SQL, action_events, keys_of, numbered_events, session_stream, sessions, spent, table, turn_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,6 +324,59 @@ def perf_lanes(spark, d):
     return performance.combined(scorecard(spark, d), "lane")
 
 
+#: Behaviour of each session by user and day, then all metrics of both windows for each provider with their weights.
+BEHAVIOUR_SQL = """, x as (select *, cast(ts as date) as day, 'f' || (k % 6) as t, case when action in ('mutate', 'rewrite') then 1 else 0 end as chg, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as n from ea),
+x2 as (select *, lag(action || ':' || t) over (partition by user_id, day order by n) = action || ':' || t as loop, coalesce(max(chg) over (partition by user_id, day order by n rows between unbounded preceding and 1 preceding), 0) as cb,
+ max(case when action = 'search' then n end) over (partition by user_id, day order by n rows between unbounded preceding and 1 preceding) as sn, count(*) filter (action = 'read') over (partition by user_id, day, t order by n rows between unbounded preceding and 1 preceding) as reads from x),
+x3 as (select *, coalesce(max(case when action = 'test' and not err and cb = 1 then 1 else 0 end) over (partition by user_id, day order by n rows between unbounded preceding and 1 preceding), 0) as passed from x2),
+q as (select user_id, day, min(ts) as ts, count(*) as acted, count(*) filter (loop) as loops, sum(chg) as mut, count(*) filter (chg = 1 and reads = 0 and n - coalesce(sn, -1000) > 3) as blind, count(*) filter (event_type = 'click' and cb = 1 and passed = 0) as followups,
+ count(*) filter (event_type = 'view') as assistants, coalesce(sum(k % 40) filter (event_type = 'view'), 0) as visible, coalesce(sum(k % 3) filter (event_type = 'purchase'), 0) as hunks, count(*) filter (err and (cb = 1 or chg = 1)) as failures, count(*) filter (cb = 0) - 1 as setup from x3 group by 1, 2)"""
+PROVIDER_SQL = BEHAVIOUR_SQL + """, q2 as (select case when user_id % 2 = 1 then 'codex' else 'claude' end as provider, ts >= '2024-01-16' as w, count(*) filter (mut > 0) as mutated, count(*) filter (mut > 0 and followups = 0 and loops = 0 and mut <= 2 and blind = 0 and failures = 0) as resolved,
+ coalesce(sum(followups) filter (mut > 0), 0) as followups, coalesce(sum(2 * mut + hunks) filter (mut > 0), 0) as churn, sum(blind) as blind, sum(mut) as targeted, sum(loops) as loops, sum(acted) as acted, coalesce(sum(setup) filter (mut > 0), 0) as setup, sum(visible) as visible, sum(assistants) as assistants
+ from q where ts >= '2024-01-01' and ts < '2024-01-31' group by 1, 2),
+s2 as (select provider, ts >= '2024-01-16' as w, count(*) as n, sum(users) as users, sum(tokens) as tokens, sum(rea) as rea, sum(calls) filter (acts) as calls, sum(a_read + a_search) filter (acts) as looked, sum(a_mutate + a_rewrite) filter (acts) as mut, sum(a_rewrite) filter (acts) as rewrites,
+ sum(a_mutate + a_rewrite + a_execute) filter (acts) as ran, sum(errs) filter (acts) as errs, sum(rejs) filter (acts) as rejs, sum(abort) as aborts, sum(greatest(started, done)) as started, sum(retry + api) as retries, count(*) filter (compact > 0) as pressed,
+ count(*) filter (acts and a_mutate + a_rewrite > 0) as mutated, count(*) filter (acts and a_mutate + a_rewrite > 0 and a_test > 0 and a_test > e_test + r_test) as verified from S where ts >= '2024-01-01' and ts < '2024-01-31' group by 1, 2),
+reg as (select * from (values ('verification_pass_rate', 'Outcome', 1, 0.05, 10, 1, ''), ('first_pass_resolution_rate', 'Outcome', 1, 0.05, 5, 1, ''), ('correction_burden', 'Outcome', -1, 0.25, 5, 1, ''), ('patch_churn', 'Outcome', -1, 0.5, 5, 1, ''), ('read_before_write_ratio', 'Discipline', 1, 0.25, 10, 1, ''),
+ ('research_to_mutation_ratio', 'Discipline', 1, 0.25, 10, 1, ''), ('full_rewrite_rate', 'Discipline', -1, 0.05, 10, 1, ''), ('blind_edit_rate', 'Discipline', -1, 0.05, 5, 1, ''), ('reasoning_loop_rate', 'Discipline', -1, 0.1, 5, 1, ''), ('tokens_per_user_turn', 'Efficiency', -1, 50, 10, 1, ''),
+ ('actions_per_user_turn', 'Efficiency', -1, 0.25, 10, 1, ''), ('reasoning_token_share', 'Efficiency', -1, 0.05, 10, 0.5, 'codex'), ('time_to_first_mutation', 'Efficiency', -1, 0.5, 5, 0, ''), ('visible_thinking_depth', 'Efficiency', 1, 25, 5, 0.25, ''), ('tool_error_rate', 'Robustness', -1, 0.05, 10, 1, ''),
+ ('tool_rejection_rate', 'Robustness', -1, 0.05, 10, 1, ''), ('context_pressure_rate', 'Robustness', -1, 0.05, 10, 1, ''), ('abort_rate', 'Robustness', -1, 0.05, 10, 1, 'codex'), ('retry_burden', 'Robustness', -1, 0.25, 10, 1, 'claude')) r(metric, lane, sign, fl, least, weight, provided)),
+long as (select provider, w, unnest(['verification_pass_rate', 'first_pass_resolution_rate', 'correction_burden', 'patch_churn', 'read_before_write_ratio', 'research_to_mutation_ratio', 'full_rewrite_rate', 'blind_edit_rate', 'reasoning_loop_rate', 'tokens_per_user_turn',
+  'actions_per_user_turn', 'reasoning_token_share', 'time_to_first_mutation', 'visible_thinking_depth', 'tool_error_rate', 'tool_rejection_rate', 'context_pressure_rate', 'abort_rate', 'retry_burden']) as metric,
+ unnest([s2.verified, q2.resolved, q2.followups, q2.churn, s2.looked, s2.looked, s2.rewrites, q2.blind, q2.loops, s2.tokens, s2.calls, s2.rea, q2.setup, q2.visible, s2.errs, s2.rejs, s2.pressed, s2.aborts, s2.retries]) as num,
+ unnest([s2.mutated, q2.mutated, q2.mutated, q2.mutated, s2.mut, s2.ran, s2.mut, q2.targeted, q2.acted, s2.users, s2.users, s2.tokens, q2.mutated, q2.assistants, s2.calls, s2.calls, s2.n, s2.started, s2.n]) as den from s2 join q2 using (provider, w)),
+v as (select provider, w, metric, coalesce(num, 0) as num, coalesce(den, 0) as den, case when den > 0 then coalesce(num, 0) / den else 0 end as value from long),
+j as (select a.provider, r.*, a.num, a.den, a.value, b.value as baseline, b.den as old_den, (a.value - b.value) / greatest(abs(b.value), cast(fl as double)) * sign as delta from reg r join v a on a.metric = r.metric and a.w and provided in ('', a.provider) join v b on b.metric = r.metric and not b.w and a.provider = b.provider),
+P as (select provider, lane, metric, weight, cast(num as bigint) as num, cast(den as bigint) as den, value, baseline, case when den >= least and old_den >= least then cast(least(greatest(50 + round(delta * 50), 0), 100) as integer) end as score,
+ case when not (den >= least and old_den >= least) then 'none' when abs(delta) < 0.05 then 'flat' when delta > 0 then 'up' else 'down' end as trend from j),
+G as (select provider, lane, score, cast(weight as double) as weight, case trend when 'up' then 1 when 'down' then -1 else 0 end * cast(weight as double) as step from P where score is not null and weight > 0)"""
+WEIGHTED = "cast(round(sum(score * weight) / sum(weight)) as integer) as score, count(*) as metrics, case when sum(step) > 0 then 'up' when sum(step) < 0 then 'down' else 'flat' end as trend from G"
+
+
+def provider_scorecards(spark, d):
+    """All metrics for each provider, those of sequences included."""
+    facts = sessions(spark, d)
+    behaviour = sequence.collect(session_stream(spark, d), "user_id", "day").join(facts.select("user_id", "day", "provider", "ts"), ["user_id", "day"])
+    of = lambda df, p: df.where(F.col("provider") == p)
+    claude, codex = (performance.scorecard(of(facts, p), of(behaviour, p), HALF).withColumn("provider", F.lit(p)) for p in ("claude", "codex"))
+    return claude.unionByName(codex)
+
+
+@query(PROVIDER_SQL + " select provider, lane, metric, num, den, round(value, 6) as value, round(baseline, 6) as baseline, score, trend from P")
+def perf_metrics_by_provider(spark, d):
+    return rounded(provider_scorecards(spark, d).drop("place"), "value", "baseline")
+
+
+@query(PROVIDER_SQL + f" select provider, {WEIGHTED} group by provider")
+def perf_overall_score_by_provider(spark, d):
+    return performance.combined(provider_scorecards(spark, d), "provider")
+
+
+@query(PROVIDER_SQL + f" select provider, lane, {WEIGHTED} group by provider, lane")
+def perf_lanes_by_provider(spark, d):
+    return performance.combined(provider_scorecards(spark, d), "provider", "lane")
+
+
 @query("""select date_diff('day', timestamp '2024-01-01', day) as bucket, cast(sum(tokens) as bigint) as num, cast(sum(users) as bigint) as den, round(case when sum(users) > 0 then sum(tokens) / sum(users) else 0 end, 6) as value from S group by day""")
 def perf_series_tokens_per_turn(spark, d):
     metric = tuple(m for m in performance.METRICS if m.id == "tokens_per_user_turn")

@@ -106,6 +106,24 @@ def action_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, calls and results of the sessions: clicks are user messages, views are assistant messages, each event is a call and its result."""
+    e = numbered_events(spark, sf_dir).withColumns({"day": F.to_date("ts"), "target": F.concat(F.lit("f"), (F.col("k") % 6).cast("string"))})
+    none, zero = F.lit(None), F.lit(0)
+    view = F.col("event_type") == "view"
+
+    def rows(phase: int, kind: str, source: DataFrame) -> DataFrame:
+        said = kind == "message"
+        return source.select(
+            "user_id", "day", F.struct("ts", "event_id", F.lit(phase).alias("phase")).alias("at"), F.lit(kind).alias("kind"), (F.when(view, "assistant").otherwise("user") if said else none.cast("string")).alias("role"),
+            F.lit("text" if said else None).cast("string").alias("text"), (F.when(view, F.expr("repeat('x', cast(k % 40 as int))")) if said else none.cast("string")).alias("thinking"), (view & (F.col("k") % 3 == 0) if said else F.lit(False)).alias("has_hidden_thinking"),
+            zero.cast("long").alias("tokens"), (none.cast("string") if said else F.col("action")).alias("action"), (none.cast("array<string>") if said else F.array("target")).alias("targets"), (none.cast("string") if said else F.col("target")).alias("pattern_target"),
+            (F.col("k") % 5 == 0 if kind == "result" else F.lit(False)).alias("is_error"), (F.when(F.col("event_type") == "purchase", F.col("k") % 3).otherwise(0) if kind == "result" else zero).cast("int").alias("hunks"),
+        )
+
+    return rows(0, "message", e.where("event_type in ('click', 'view')")).unionByName(rows(1, "call", e)).unionByName(rows(2, "result", e))
+
+
 #: The same facts for the SQL that checks them.
 S_SQL = """
 e as (select event_id, ts, user_id, event_type, cast(floor(value) as bigint) as amount, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
