@@ -187,3 +187,11 @@ def test_scores_are_weighted(spark):
     card = spark.createDataFrame(rows, "lane string, metric string, score int, trend string")
     assert [(r.score, r.metrics, r.trend) for r in performance.combined(card).collect()] == [(60, 3, "down")]
     assert performance.combined(card.where("metric = 'time_to_first_mutation'"), "lane").collect() == []
+
+
+def test_roots_of_deep_and_broken_chains(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    chain = [(i, i - 1 if i else None) for i in range(200)]
+    broken = [(1000, 999), (1001, 1000), (1002, 1001), (2000, 2001), (2001, 2000), (2002, 2000)]
+    got = dict(map(tuple, catalogue.roots(spark.createDataFrame(chain + broken, "thread long, parent long")).collect()))
+    assert got == {i: 0 for i, _ in chain} | {i: i for i, _ in broken}

@@ -37,20 +37,21 @@ def rolled_up(sessions: DataFrame) -> DataFrame:
     )
 
 
-def roots(threads: DataFrame, most_depth: int = 64) -> DataFrame:
+def roots(threads: DataFrame) -> DataFrame:
     """(thread, root) for a table of (thread, parent), by pointer jumping: each round doubles the distance to the root that is known.
 
-    A thread whose parent is missing or whose chain has a cycle is a root of its own.
+    A thread whose chain ends at a missing parent or has a cycle is a root of its own. As long as a
+    chain has an end, each round finds that of some thread; what a round leaves as it was are cycles.
     """
     own = threads.select("thread", F.col("parent").alias("_p")).join(threads.select(F.col("thread").alias("_p"), F.lit(True).alias("_there")), "_p", "left")
-    link = own.select("thread", F.when(F.col("_there"), F.col("_p")).alias("next"))
-    known = link.select("thread", F.coalesce("next", "thread").alias("to"), F.col("next").isNull().alias("ended"))
-    rounds = 1
-    while rounds < most_depth and known.where("not ended").limit(1).count():
-        ahead = known.select(F.col("thread").alias("to"), F.col("to").alias("_far"), F.col("ended").alias("_done"))
-        known = known.join(ahead, "to").select("thread", F.col("_far").alias("to"), F.col("_done").alias("ended")).checkpoint()
-        rounds *= 2
-    return known.select("thread", F.when(F.col("ended"), F.col("to")).otherwise(F.col("thread")).alias("root"))
+    link = own.select("thread", F.when(F.col("_there"), F.col("_p")).alias("next"), (F.col("_p").isNotNull() & F.col("_there").isNull()).alias("lost"))
+    known = link.select("thread", F.coalesce("next", "thread").alias("to"), F.col("next").isNull().alias("ended"), "lost")
+    open_before, still_open = None, known.where("not ended").count()
+    while still_open and still_open != open_before:
+        ahead = known.select(F.col("thread").alias("to"), F.col("to").alias("_far"), F.col("ended").alias("_done"), F.col("lost").alias("_lost"))
+        known = known.join(ahead, "to").select("thread", F.col("_far").alias("to"), F.col("_done").alias("ended"), F.col("_lost").alias("lost")).checkpoint()
+        open_before, still_open = still_open, known.where("not ended").count()
+    return known.select("thread", F.when(F.col("ended") & ~F.col("lost"), F.col("to")).otherwise(F.col("thread")).alias("root"))
 
 
 def insert_children(parents: DataFrame, children: DataFrame) -> DataFrame:
