@@ -186,6 +186,62 @@ def test_wavelet_matrix(n):
         assert m.count(7, n // 3, n // 2) == (ids[n // 3 : n // 2] == 7).sum()
 
 
+def test_every_code_point_equals_the_library():
+    """Alone, between letters and before an apostrophe: all of planes 0 to 2 and 14, and of the others, which have no letters, every 64th."""
+    from tokenizers import Tokenizer
+
+    t, coder, encoder = Tokenizer.from_file(TOKENIZER), bpe.Bpe(TOKENIZER), wavelet.Encoder(TOKENIZER)
+    points = [c for c in [*range(0x34000), *range(0x34000, 0xE0000, 64), *range(0xE0000, 0xE0200), *range(0xE0200, 0x110000, 64)] if not 0xD800 <= c < 0xE000]
+    points += [*range(0x3D000, 0x3FC40, 3)]
+    for i in range(0, len(points), 4096):
+        texts = [f"{chr(c)} a{chr(c)}b {chr(c)}'s" for c in points[i : i + 4096]]
+        want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in coder.encode_batch(texts)] == want
+        some = slice(i // 4096 % 8, None, 8)  # the shards ask the library for every word that is not Latin
+        assert [np.frombuffer(encoder.encode(x), "<u2").tolist() for x in texts[some]] == want[some]
+
+
+def test_files_of_another_kind_are_refused(tmp_path):
+    other = tmp_path / "other.json"
+    other.write_text(open(TOKENIZER, encoding="utf-8").read().replace('"Lowercase"', '"StripAccents"'), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.Bpe(str(other))
+    assert not wavelet.Encoder(str(other)).at_space  # the library takes whole texts then
+
+
+def test_a_vocabulary_of_more_than_16_bits(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(TOKENIZER, encoding="utf-8"))
+    spec["model"]["vocab"] = {k: v + 40_000 * (v > 600) for k, v in spec["model"]["vocab"].items()}
+    for token in spec["added_tokens"]:
+        token["id"] += 40_000
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    t, coder, encoder = Tokenizer.from_file(str(path)), bpe.Bpe(str(path)), wavelet.Encoder(str(path))
+    texts = ["Some words, with l'été and 123 <|endoftext|> aaaaaaa", "unbelievable"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert max(map(max, want)) > 65535
+    assert [x.tolist() for x in coder.encode_batch(texts)] == want == [np.frombuffer(encoder.encode(x), "<u4").tolist() for x in texts]
+    ids = np.array(want[0], np.uint32)
+    assert wavelet.open_shard(wavelet.pack_shard([1], [len(ids)], ids, encoder.bits))[2].all().tolist() == want[0]
+
+
+def test_lookups_over_shards(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    shards = wavelet.write_shards(odd, f"file://{tmp_path}/shards", TOKENIZER, shard_tokens=50)
+    ids = [(d, [*t.encode(x or "", add_special_tokens=False).ids, wavelet.END_ID]) for d, x in ODD]
+    word = ids[7][1][0]
+    want = sorted(((k, d, i) for k in (word, wavelet.END_ID) for d, x in ids for i, y in enumerate(x) if y == k), key=key)
+    assert sorted(map(tuple, wavelet.find_tokens(shards, [word, wavelet.END_ID, 1 << 20]).collect()), key=key) == want
+    counts = collections.Counter(k for k, _, _ in want)
+    assert {tuple(r) for r in wavelet.count_tokens(shards, [word, wavelet.END_ID, 49405]).collect()} == {(word, counts[word]), (wavelet.END_ID, counts[wavelet.END_ID]), (49405, 0)}
+
+
 def test_merge_of_repeated_symbols():
     from tokenizers import Tokenizer
 
@@ -255,51 +311,62 @@ def test_without_labels_nothing_is_toxic(spark, odd):
 
 
 # 7
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff_against_brute_force(spark, odd, order, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "BATCH_BYTES", 2000)
-    split = [(t or "").encode().lower().split() for _, t in ODD]
+def backoff_brute(table, order, leave_out):
+    split = [(t or "").encode().lower().split() for _, t in table]
     grams = [collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in split]
     total, size = sum(grams, collections.Counter()), sum(map(len, split))
-    want = []
-    for (d, _), w, own in zip(ODD, split, grams):
-        s = 0.0
+    out = []
+    for (d, _), w, own in zip(table, split, grams):
+        own, rest, s = own if leave_out else {}, size - len(w) * leave_out, 0.0
         for i in range(len(w)):
             factor = 1.0
             for n in range(min(order, i + 1), 0, -1):
                 g = tuple(w[i - n + 1 : i + 1])
-                c = total[g] - own[g]
+                c = total[g] - own.get(g, 0)
                 if n == 1:
-                    s += math.log10(factor * max(c, 0.5) / max(size - len(w), 1))
+                    s += math.log10(factor * max(c, 0.5) / max(rest, 1))
                 elif c > 0:
-                    s += math.log10(factor * c / (total[g[:-1]] - own[g[:-1]]))
+                    s += math.log10(factor * c / (total[g[:-1]] - own.get(g[:-1], 0)))
                     break
                 factor *= ngram_lm.BACKOFF
-        want.append((d, len(w), round(s, 4)))
-    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 4)) for r in ngram_lm.score(odd, order).collect()), key=key) == sorted(want, key=key)
+        out.append((d, len(w), round(s, 4)))
+    return sorted(out, key=key)
 
 
-def test_backoff_tells_like_hashes_apart(spark):
-    """The first two words agree in 40 bits of their hash and in the next 24 modulo the session's partitions."""
-    for pair in (("w2832197", "w5636335"), ("w2848337", "w3704685"), ("w4700205", "w4817004")):
-        got = ngram_lm.score(docs(spark, *enumerate(pair)), 3).collect()
-        assert [round(r.log_score, 4) for r in got] == [round(math.log10(0.5), 4)] * 2
-    code, check = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 9, 2, 1, 9], np.uint32)
-    order, first = ngram_lm.in_order(code, check)
-    assert list(zip(code[order].tolist(), check[order].tolist())) == [(5, 9), (5, 9), (7, 1), (7, 1), (7, 2)] and first.tolist() == [0, 2, 4]
-    assert ngram_lm.part_of(np.array([0, 1 << 62, 1 << 63, (1 << 64) - 1], np.uint64), 12).tolist() == [0, 3, 6, 11]
+def scores(df):
+    return sorted(((r.doc_id, r.n_words, round(r.log_score, 4)) for r in df.collect()), key=key)
 
 
-def test_backoff_never_divides_by_nothing():
-    logs = ngram_lm.backoff_logs(np.array([2]), [np.array([0.0, 3.0]), np.array([0.0, 1.0])], 12, 0.4)
-    assert np.isfinite(logs).all()
+@pytest.mark.parametrize("order, leave_out", [(1, True), (2, True), (3, True), (3, False), (4, True)])
+def test_backoff_against_brute_force(spark, odd, order, leave_out):
+    assert scores(ngram_lm.score(odd, order, leave_out=leave_out, batch_bytes=2000)) == backoff_brute(ODD, order, leave_out)
+
+
+def test_backoff_tells_like_hashes_apart(spark, rows):
+    """Words of one length have one hash here: what is dealt and sifted by hashes is still counted by words."""
+    table = ODD + rows[:40] + [(7000 + i, t) for i, t in rows[:5]]
+    frame = docs(spark, *table)
+    want = backoff_brute(table, 3, True)
+    assert scores(ngram_lm.score(frame, hash_of=len, batch_bytes=4000, part_words=500)) == want
+    assert scores(ngram_lm.score(frame, batch_bytes=4000, part_words=500)) == want
+
+
+@pytest.mark.parametrize("partitions", [3, 31])
+def test_backoff_under_other_partitions(spark, odd, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        assert scores(ngram_lm.score(odd, batch_bytes=3000)) == backoff_brute(ODD, 3, True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.mark.parametrize("most", [0, 200, 1 << 14, 1 << 31, 1 << 39, 1 << 47, 1 << 55, (1 << 64) - 1])
 def test_backoff_numbers_in_few_bytes(most):
     x = np.array([most - i if most > i else 0 for i in range(40)] + [0, (1 << 64) - 1], np.uint64)
     assert ngram_lm._wide(ngram_lm._narrow(x)).tolist() == x.tolist() and ngram_lm._wide(ngram_lm._narrow(x[:0])).tolist() == []
-
+    rising = np.unique(np.random.default_rng(most % 97).integers(0, most, 300, np.uint64, endpoint=True))
+    assert ngram_lm.unpack_sorted(ngram_lm.pack_sorted(rising)).tolist() == rising.tolist()
 
 
 # 8

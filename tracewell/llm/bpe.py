@@ -17,39 +17,29 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import id_and_text, small_batches
 
 #: Words that a worker keeps ids for, and the longest of them in characters.
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
-# The tokenizer's own split pattern and the end-of-word mark.
+# The normaliser and the split pattern of the files that are read here, and the end-of-word mark.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-# Code points that the installed regex module counts as letters or numbers while
-# the tokenizer's pattern, by an older edition of Unicode, does not.
-NEW_LETTERS = (
-    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
-    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 "
-    "16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 "
-    "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
-    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD"
-)
-# Lower cases that the tokenizer knows and Python's tables lack yet.
-NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
-NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 _no_pair = np.iinfo(np.int32).max
 _inner_space = re.compile("[ \t\n\x0b\x0c\r]+")
 _separators = re.compile("[\x1c-\x1f]")
+#: The split pattern for lower-cased ASCII, where letters, numbers and white space are known without any edition of Unicode.
+_ascii_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
 
 
 def byte_letters() -> list[str]:
@@ -59,16 +49,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def normalise(text: str) -> str:
-    """NFC, then each letter lower-cased by itself (a capital sigma has one lower case, wherever it stands)."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(NEW_LOWER)
-
-
-def split_pattern() -> regex.Pattern:
-    new = "".join("-".join(f"\\U{int(end, 16):08X}" for end in span.split("-")) for span in NEW_LETTERS.split())
-    return regex.compile(SPLIT.replace(r"[\p{L}]", rf"[\p{{L}}--[{new}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{new}]]").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{new}]]"), regex.V1)
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer file normalises and splits so that the ids of a text are those of its parts between white space."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALISERS
+        and len(steps) == 2
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+    )
 
 
 def pieces(text: str) -> list[str]:
@@ -82,31 +71,37 @@ class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        model = spec["model"]
+        odd = [k for k in ("unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "dropout") if model.get(k)]
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or odd or not splits_at_space(spec) or spec["decoder"]:
+            raise ValueError(f"{path}: not a byte-level BPE file with word ends, split at white space")
+        self.library, vocab = Tokenizer.from_file(path), model["vocab"]
+        special = {t["content"]: self.library.token_to_id(t["content"]) for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*vocab.values(), *special.values()]) + 1)
         for token, i in (vocab | special).items():
             self.tokens[i] = token
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32)
+        small = len(self.tokens) <= 1 << 16
+        self.kind, self.shift, self.wide = ("<u2", 16, np.uint32) if small else ("<u4", 32, np.uint64)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] << self.shift | vocab[b] for a, b in merges], self.wide)
         made = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + WORD_END] for c in letters], np.int32)
-        self.split = split_pattern()
+        self.byte_of = {ord(c): b for b, c in enumerate(letters)}
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known: dict[str, bytes] = {}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+        key = left.astype(self.wide) << self.wide(self.shift) | right.astype(self.wide)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _no_pair)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (non-empty UTF-8), as little-endian 16-bit bytes."""
+        """Ids of each word (non-empty UTF-8), as little-endian numbers of ``kind``."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(sizes)
@@ -149,14 +144,21 @@ class Bpe:
             return []
         word, sym = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
         order = np.argsort(word, kind="stable")
-        flat = sym[order].astype("<u2").tobytes()
-        cut = [0, *(2 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()]
+        flat = sym[order].astype(self.kind).tobytes()
+        cut = [0, *(int(self.kind[2]) * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()]
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
+    def words(self, part: str) -> list[bytes]:
+        """The words of a part in UTF-8. What is not ASCII is normalised and split by the library itself, whatever its edition of Unicode."""
+        if part.isascii():
+            return [w.encode() for w in _ascii_words.findall(part.lower())]
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+        return [w.translate(self.byte_of).encode("latin-1") for w, _ in found]
+
     def learn(self, parts: Iterable[str]) -> dict[str, bytes]:
         """Ids of parts that are not kept yet; the words of all of them go through the rounds together."""
         parts = list(parts)
-        split = [[w.encode("utf-8", "surrogatepass") for w in self.split.findall(normalise(p))] for p in parts]
+        split = list(map(self.words, parts))
         distinct = list({w for words in split for w in words})
         ids = dict(zip(distinct, self.merge(distinct)))
         return {p: b"".join([ids[w] for w in words]) for p, words in zip(parts, split)}
@@ -176,12 +178,12 @@ class Bpe:
         known.update((p, x) for p, x in ids.items() if len(p) <= CACHE_CHARS)
         if long := {p for p in ids if len(p) > CACHE_CHARS}:
             known = known | {p: ids[p] for p in long}
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u2") for parts in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), self.kind) for parts in split]
 
     def _with_special(self, text: str) -> np.ndarray:
         runs = self.special_split.split(text)
         ids = iter(self._plain([r for i, r in enumerate(runs) if i % 2 == 0]))
-        return np.concatenate([np.array([self.special[r]], "<u2") if i % 2 else next(ids) for i, r in enumerate(runs)])
+        return np.concatenate([np.array([self.special[r]], self.kind) if i % 2 else next(ids) for i, r in enumerate(runs)])
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens of ``ids``, joined by a space: the vocabulary file names no decoder."""
@@ -201,7 +203,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         coder = bpe(path)
         for b in batches:
             ids = coder.encode_batch(b.column(1).to_pylist())
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u2")]).astype(np.int32))
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
             ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
 
@@ -251,7 +253,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         coder = bpe(path)
         for b in batches:
             ids = coder.encode_batch(b.column(1).to_pylist())
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u2")]).astype(np.int32))
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
             ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat), pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(coder.decode, ids)), pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 

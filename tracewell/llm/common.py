@@ -6,10 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whitespace of the contracts: space, tab, line feed, vertical tab, form feed, return.
@@ -20,14 +18,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint folder set in the context.
 
-    Where that is unset (tests on one machine) a temporary folder is made once for each
-    application and set as the checkpoint folder.
+    On one machine (master ``local``) where neither is set, a temporary folder is made once for each
+    application and set as the checkpoint folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
+    given = spark.sparkContext.getCheckpointDir()
+    if base or given:
+        return (base or given).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tracewell-")
@@ -47,10 +48,10 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
-    """Bound what one Arrow batch holds, so that very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that very long texts or blobs cannot fill a worker; one bound for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -63,10 +64,6 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = 200_000) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def running_start(counts: DataFrame, key: str, amount: str, out: str, block: int = 4096) -> DataFrame:
     """Exclusive running sum of ``amount`` in order of the long ``key`` (0, 1, 2, ...), in two levels.
 
@@ -81,6 +78,3 @@ def running_start(counts: DataFrame, key: str, amount: str, out: str, block: int
         .drop("_block", "_before")
     )
 
-
-def hex_sha256(c: Column) -> Column:
-    return F.sha2(c.cast("binary"), 256)

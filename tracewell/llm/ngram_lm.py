@@ -1,18 +1,21 @@
-"""Stupid-backoff scores, as joins of n-gram occurrences with count tables partitioned by hash.
+"""Stupid-backoff scores: a table of n-gram counts joined to the n-grams of documents.
 
 A word's score is c(context word) / c(context) for the longest context with a count,
 times ``backoff`` for each word that the context had to give up; a lone word has its
-share of all words, half an occurrence at least.  Counts are over all documents but
-the one that is scored, so no text vouches for itself.
-
-Documents are gathered to batches.  Each batch counts its distinct n-grams of every
-order and sends them, as sorted hashes, to the part of the count table that the
-hash names; common n-grams so arrive once from each batch.  A part sums what it
-gets and answers each batch with the totals in the order asked, and the batch, met
-again by its answers, adds up its documents.  An n-gram is known by 96 bits of two
-hashes, whatever the number of parts, and its words are not compared: among 2 billion
-different n-grams a collision has a chance of about 1 in 4 * 10**10.  The number of
-parts follows the number of words.
+share of all words, half an occurrence at least.  By default counts are over all
+documents but the one that is scored, so no text vouches for itself; with
+``leave_out=False`` they are over all documents, as in the plain form.
+
+1. Documents are gathered to batches, so that common n-grams leave a batch once.
+2. Where the scored document is left out, an n-gram of one document counts for
+   nothing.  Each batch sends short hashes of its n-grams, as sorted sets, and learns
+   which of them another batch has too.  Equal hashes of different n-grams only let
+   more through.
+3. The n-grams that are left are rows of their own words, dealt to the bucket that
+   their hash names.  Counts are summed over equal n-grams, told apart by their words,
+   and stand beside each of them: the sum is a window over the bucket's own
+   partition, which joins the table of counts to the n-grams without another shuffle.
+4. The totals go back to the batches, which add up their documents.
 
 Words are what stands between ASCII white space, ASCII letters in lower case.
 
@@ -23,14 +26,15 @@ besides doc_id and text are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, small_batches, written
@@ -38,136 +42,229 @@ from .common import id_and_text, small_batches, written
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in one batch, unless one document has more.
 BATCH_BYTES = 6 << 20
-CACHE_WORDS = 300_000
-#: Words of the corpus for each part of the count table.
+#: Words of the corpus for each part of the hashes and each bucket of the count table.
 PART_WORDS = 1 << 20
+#: Rows that a task packs by batch before they go back.
+PACK_ROWS = 1 << 21
 
 BATCHES = "batch long, n_words long, doc_ids binary, sizes binary, texts binary"
-ASKED = "part int, n int, batch long, steps binary, checks binary, counts binary"
-ANSWERS = "batch long, n int, part int, totals binary"
+HASHES = "part int, n int, batch long, hashes binary"
+SHARED = "batch long, n int, part int, bits binary"
+ASKED = "bucket int, batch long, grams array<binary>, counts array<long>, places array<int>"
+ANSWERS = "batch long, places binary, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
 _null_id = -(1 << 63)
 _mix, _mix_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
+#: 64 bits of a word; they deal and sift n-grams but never tell them apart.
+HASH: Callable[[bytes], int] = xxhash.xxh3_64_intdigest
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seq, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
-    pack = zstandard.ZstdCompressor(level=3).compress
+def _gather(batch_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        pack = zstandard.ZstdCompressor(level=3).compress
 
-    def row() -> pa.RecordBatch:
-        blob = pack(b"".join(texts))
-        n = sum(len(t.split()) for t in texts)
-        sizes = np.array([len(t) for t in texts], "<u4").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([n]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([sizes]), pa.array([blob])], ["batch", "n_words", "doc_ids", "sizes", "texts"])
+        def row() -> pa.RecordBatch:
+            blob = pack(b"".join(texts))
+            n = sum(len(t.split()) for t in texts)
+            sizes = np.array([len(t) for t in texts], "<u4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([n]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([sizes]), pa.array([blob])], ["batch", "n_words", "doc_ids", "sizes", "texts"])
 
-    for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids.append(_null_id if doc_id is None else doc_id)
-            texts.append(text.encode("utf-8", "surrogatepass"))
-            held += len(texts[-1])
-            if held >= BATCH_BYTES:
-                yield row()
-                seq, ids, texts, held = seq + 1, [], [], 0
-    if ids:
-        yield row()
-
-
-def gather(docs: DataFrame) -> DataFrame:
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(_null_id if doc_id is None else doc_id)
+                texts.append(text.encode("utf-8", "surrogatepass"))
+                held += len(texts[-1])
+                if held >= batch_bytes:
+                    yield row()
+                    seq, ids, texts, held = seq + 1, [], [], 0
+        if ids:
+            yield row()
+
+    return run
+
+
+def gather(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Documents as compressed batches in the shared folder."""
     small_batches(docs.sparkSession)
-    out = written(id_and_text(docs).mapInArrow(_gather, BATCHES), "batches")
-    small_batches(docs.sparkSession, rows=2)
-    return out
-
-
-class Words:
-    """Hashes of the words of texts; those of common words are kept for later batches."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, bytes] = {}
-
-    def hashes(self, words: list[bytes]) -> bytes:
-        """16 bytes for each word."""
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            digest = xxhash.xxh3_128_digest
-            for i, h in enumerate(found):
-                if h is None:
-                    h = known.get(words[i])
-                    if h is None:
-                        known[words[i]] = h = digest(words[i])
-                    found[i] = h
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        return b"".join(found)
-
-
-_words = Words()
-
-
-def codes(blob: bytes, sizes: bytes, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words of each document and, for each n, the codes of the n-grams ending at each word (those that begin in the document).
-
-    A code is 64 bits and a check of 32 from a second hash. The n-gram of word i stands at the n-th
-    arrays' place i - (n - 1) * (its document + 1), as the first n - 1 words of documents end none.
-    """
-    text, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
-    lists = [_words.hashes(words_of(text[a:z])) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
-    counts = np.array([len(x) // 16 for x in lists], np.int64)
-    word = np.frombuffer(b"".join(lists), "<u8").reshape(-1, 2)
-    at = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)  # place in the document
-    chains = []
-    for words, mix in zip((word[:, 0], word[:, 1]), (_mix, _mix_2)):
-        out, gram = [], words
+    return written(id_and_text(docs).mapInArrow(_gather(batch_bytes), BATCHES), "batches")
+
+
+@dataclass
+class Grams:
+    """The different n-grams of one order in a batch."""
+
+    of: np.ndarray  # of each occurrence, in order of the words that they end with: its number
+    ends: np.ndarray  # for each number, a word with which it ends
+    counts: np.ndarray
+    n_docs: np.ndarray  # documents of the batch that hold it
+    own: np.ndarray  # of each occurrence: how often its document has it
+    hashes: np.ndarray
+
+
+class Batch:
+    """Words and n-grams of the documents of a batch; n-grams are told apart by the numbers of their words."""
+
+    def __init__(self, texts: bytes, sizes: bytes, order: int, hash_of: Callable[[bytes], int] = HASH) -> None:
+        text, ends = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+        lists = [words_of(text[a:z]) for a, z in zip([0, *ends[:-1]], ends)]
+        self.counts = np.array(list(map(len, lists)), np.int64)
+        number: dict[bytes, int] = {}
+        take = number.setdefault
+        self.ids = np.fromiter((take(w, len(number)) for words in lists for w in words), np.int64, int(self.counts.sum()))
+        self.vocabulary = list(number)
+        self.doc = np.repeat(np.arange(len(lists)), self.counts)
+        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)  # place in the document
+        self.hash_of_word = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
+        self.grams: list[Grams] = []
+        before = None
         for n in range(1, order + 1):
-            if n > 1:
-                gram = (gram[:-1] ^ gram[:-1] >> np.uint64(29)) * mix + words[n - 1 :]
-            h = gram ^ gram >> np.uint64(32)
-            h = h * mix
-            out.append((h ^ h >> np.uint64(29))[at[n - 1 :] >= n - 1])
-        chains.append(out)
-    return counts, [(code, (check >> np.uint64(32)).astype(np.uint32)) for code, check in zip(*chains)]
+            where = np.flatnonzero(self.at >= n - 1)
+            key = self.ids[where] if before is None else before[where - 1] * (len(number) + 1) + self.ids[where]
+            self.grams.append(self._different(key, where, n))
+            before = np.zeros(len(self.ids), np.int64)
+            before[where] = self.grams[-1].of
+
+    def _different(self, key: np.ndarray, where: np.ndarray, n: int) -> Grams:
+        order = np.argsort(key, kind="stable")  # documents stay in order among equal ones
+        new = np.r_[len(key) > 0, key[order[1:]] != key[order[:-1]]][: len(key)]
+        first = np.flatnonzero(new)
+        of = np.empty(len(key), np.int64)
+        of[order] = np.cumsum(new) - 1
+        doc = self.doc[where][order]
+        new_doc = new | np.r_[len(doc) > 0, doc[1:] != doc[:-1]][: len(doc)]
+        runs = np.flatnonzero(new_doc)
+        own = np.empty(len(key), np.int64)
+        own[order] = np.repeat(np.diff(np.r_[runs, len(key)]), np.diff(np.r_[runs, len(key)]))
+        n_docs = np.add.reduceat(new_doc, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        ends = where[order[first]]
+        h = self.hash_of_word[self.ids[ends - (n - 1)]]
+        for back in range(n - 2, -1, -1):
+            h = (h ^ h >> np.uint64(29)) * _mix + self.hash_of_word[self.ids[ends - back]]
+        h = (h ^ h >> np.uint64(32)) * _mix_2
+        return Grams(of, ends, np.diff(np.r_[first, len(key)]), n_docs, own, h ^ h >> np.uint64(29))
+
+    def text_of(self, n: int, numbers: np.ndarray) -> list[bytes]:
+        """The n-grams themselves, words joined by a space."""
+        words, ends = self.vocabulary, self.grams[n - 1].ends[numbers]
+        columns = [[words[i] for i in self.ids[ends - back].tolist()] for back in range(n - 1, -1, -1)]
+        return columns[0] if n == 1 else list(map(b" ".join, zip(*columns)))
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as the lower bits of each and, in unary, the steps of the upper bits: some two bits above the least."""
+    v = x - x[0]
+    low = max(0, (int(v[-1]) // len(v)).bit_length() - 1)
+    up = np.zeros(int(v[-1] >> np.uint64(low)) + len(v), bool)
+    up[(v >> np.uint64(low)).astype(np.int64) + np.arange(len(v))] = True
+    bits = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
+    return len(v).to_bytes(4, "little") + bytes([low]) + int(x[0]).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes() + np.packbits(up, bitorder="little").tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    n, low, base = int.from_bytes(data[:4], "little"), data[4], int.from_bytes(data[5:13], "little")
+    raw, cut = np.frombuffer(data, np.uint8, -1, 13), -(-n * low // 8)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :low] = np.unpackbits(raw[:cut], count=n * low, bitorder="little").reshape(n, low)
+    v = np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
+    up = np.flatnonzero(np.unpackbits(raw[cut:], bitorder="little"))[:n] - np.arange(n)
+    return v + (up.astype(np.uint64) << np.uint64(low)) + np.uint64(base)
+
+
+def short_hashes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different leading ``bits`` of the hashes, rising, and the place of each hash's own among them."""
+    return np.unique(hashes >> np.uint64(64 - bits), return_inverse=True)
+
+
+def _cuts(rising: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(np.r_[len(rising) > 0, rising[1:] != rising[:-1]][: len(rising)]).tolist()
+    return list(zip(at, [*at[1:], len(rising)]))
+
+
+def _sift(order: int, parts: int, bits: int, hash_of: Callable[[bytes], int]):
+    """The hashes of each batch's n-grams of two words or more, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts"))):
+                out = []
+                for n, grams in enumerate(Batch(texts, sizes, order, hash_of).grams[1:], 2):
+                    short, _ = short_hashes(grams.hashes, bits)
+                    part = (short << np.uint64(max(0, 32 - bits)) >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(32)
+                    out += [(int(part[a]), n, batch, pack_sorted(short[a:z])) for a, z in _cuts(part)]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "n", "batch", "hashes"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of (part, n): a bit for each hash, 1 if two batches have it."""
+
+    def answer(part: int, n: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sets = [unpack_sorted(h) for _, h in rows]
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        same = every[order[1:]] == every[order[:-1]]
+        bit = np.zeros(len(every), bool)
+        bit[order[1:]] = same
+        bit[order[:-1]] |= same
+        cut = np.cumsum([0, *map(len, sets)]).tolist()
+        for i in range(0, len(rows), 500):
+            mine = range(i, min(i + 500, len(rows)))
+            packed = [np.packbits(bit[cut[j] : cut[j + 1]], bitorder="little").tobytes() for j in mine]
+            columns = [pa.array([rows[j][0] for j in mine], pa.int64()), pa.array([n] * len(mine), pa.int32()), pa.array([part] * len(mine), pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["batch", "n", "part", "bits"])
 
+    at, rows = None, []
+    for b in batches:
+        for part, n, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if (part, n) != at and rows:
+                yield from answer(*at, rows)
+                rows = []
+            at = (part, n)
+            rows.append(tuple(row))
+    if rows:
+        yield from answer(*at, rows)
 
-def in_order(code: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the pairs and the places in it where another pair begins."""
-    order = np.argsort(code, kind="stable")
-    same = np.diff(code[order]) == 0
-    if (same & (np.diff(check[order]) != 0)).any():  # one code, several checks: bring equal checks together
-        order = np.lexsort((check, code))
-        same = np.diff(code[order]) == 0
-    return order, np.flatnonzero(np.r_[len(code) > 0, ~(same & (np.diff(check[order]) == 0))])
 
+def wanted_grams(batch: Batch, n: int, parts: int, bits: int, answers: list | None) -> np.ndarray:
+    """Numbers of the n-grams that are asked for: of lone words all, of others those that two documents may have; all without ``answers``."""
+    grams = batch.grams[n - 1]
+    if n == 1 or answers is None:
+        return np.arange(len(grams.ends))
+    short, place = short_hashes(grams.hashes, bits)
+    part = (short << np.uint64(max(0, 32 - bits)) >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(32)
+    told = {a["part"]: a["bits"] for a in answers if a["n"] == n}
+    met = np.zeros(len(short), bool)
+    for a, z in _cuts(part):
+        met[a:z] = np.unpackbits(np.frombuffer(told[int(part[a])], np.uint8), count=z - a, bitorder="little")
+    return np.flatnonzero(met[place] | (grams.n_docs > 1))
 
-def part_of(code: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each code, in order of the codes."""
-    return (code >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
+def _ask(order: int, parts: int, bits: int, sifted: bool, hash_of: Callable[[bytes], int]):
+    """Each batch's n-grams as lists by bucket, with their counts and places among those of the batch."""
 
-def _ask(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for batch, sizes, texts in zip(*(c.to_pylist() for c in b.columns)):
-                for n, (code, check) in enumerate(codes(texts, sizes, order)[1], 1):
-                    if not len(code):
-                        continue
-                    place, first = in_order(code, check)
-                    count = np.diff(np.r_[first, len(code)])
-                    value, check = code[place[first]], check[place[first]]
-                    part = part_of(value, parts)
-                    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-                    step = np.diff(value, prepend=np.uint64(0))
-                    step[cut[:-1]] = value[cut[:-1]]
-                    rows = list(zip(cut.tolist(), cut[1:].tolist()))
-                    out = [(int(part[a]), n, batch, _narrow(step[a:z]), check[a:z].astype("<u4").tobytes(), _narrow(count[a:z])) for a, z in rows]
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "n", "batch", "steps", "checks", "counts"])
+            for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "answers"))):
+                batch, offset, lists = Batch(texts, sizes, order, hash_of), 0, []
+                for n, grams in enumerate(batch.grams, 1):
+                    mine = wanted_grams(batch, n, parts, bits, (answers or []) if sifted else None)
+                    bucket = (grams.hashes[mine] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                    by = np.argsort(bucket, kind="stable")
+                    mine, bucket = mine[by], bucket[by]
+                    lists += [(int(bucket[a]), name, batch.text_of(n, mine[a:z]), grams.counts[mine[a:z]], mine[a:z] + offset) for a, z in _cuts(bucket)]
+                    offset += len(grams.ends)
+                kinds = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                for i in range(0, len(lists), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in lists[i : i + 64]], t) for c, t in enumerate(kinds)], ["bucket", "batch", "grams", "counts", "places"])
 
     return run
 
@@ -194,41 +291,34 @@ def _wide(data: bytes) -> np.ndarray:
     return x
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (part, n): one slice of the count table after the other."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals by batch, in order of places."""
 
-    def answers(at: tuple[int, int], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        values = [np.cumsum(_wide(steps)) for _, steps, _, _ in rows]
-        value, count = np.concatenate(values), np.concatenate([_wide(c) for *_, c in rows])
-        order, first = in_order(value, np.concatenate([np.frombuffer(c, "<u4") for _, _, c, _ in rows]))
-        total = np.empty(len(value), np.uint64)
-        total[order] = np.repeat(np.add.reduceat(count[order], first), np.diff(np.r_[first, len(value)]))
-        cut = np.cumsum([0, *map(len, values)]).tolist()
-        for i in range(0, len(rows), 200):
-            mine = list(zip(rows[i : i + 200], cut[i:], cut[i + 1 :]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r, _, _ in mine], pa.int64()), pa.array([at[1]] * len(mine), pa.int32()), pa.array([at[0]] * len(mine), pa.int32()), pa.array([_narrow(total[a:z]) for _, a, z in mine], pa.binary())],
-                ["batch", "n", "part", "totals"],
-            )
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        batch, place, total = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((place, batch))
+        batch, place, total = batch[order], place[order], total[order].astype(np.uint64)
+        out = [(int(batch[a]), _narrow(np.diff(place[a:z], prepend=0).astype(np.uint64)), _narrow(total[a:z])) for a, z in _cuts(batch)]
+        kinds = [pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["batch", "places", "totals"])
 
-    at, rows = None, []
+    held, size = [], 0
     for b in batches:
-        for part, n, *row in zip(*(c.to_pylist() for c in b.columns)):
-            if (part, n) != at:
-                if rows:
-                    yield from answers(at, rows)
-                at, rows = (part, n), []
-            rows.append(tuple(row))
-    if rows:
-        yield from answers(at, rows)
+        held.append(tuple(b.column(c).to_numpy() for c in ("batch", "place", "total")))
+        size += b.num_rows
+        if size >= PACK_ROWS:
+            yield packed(held)
+            held, size = [], 0
+    if size:
+        yield packed(held)
 
 
-def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: int, backoff: float) -> np.ndarray:
-    """log10 of the score of each word. left: for each n, the counts in other documents of the n-gram ending there; 0 where there is none."""
+def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarray, backoff: float) -> np.ndarray:
+    """log10 of the score of each word. left: for each n, the counts that speak for the n-gram ending there; 0 where there is none. all_words: of each document."""
     n_words = int(counts.sum())
     doc = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(n_words) - np.repeat(np.cumsum(counts) - counts, counts)
-    rest = np.maximum(all_words - counts, 1)[doc]
+    rest = np.maximum(all_words, 1)[doc]
     score = np.log10(np.maximum(left[0], 0.5) / rest)
     drop = np.log10(backoff)
     score = score + drop * np.minimum(at, len(left) - 1)
@@ -239,48 +329,53 @@ def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: int, bac
     return score
 
 
-def _score(order: int, all_words: int, backoff: float):
+def _score(order: int, all_words: int, backoff: float, leave_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_ids, sizes, texts, answers in zip(*(c.to_pylist() for c in b.columns)):
-                counts, grams = codes(texts, sizes, order)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-                left = []
-                for n, (code, check) in enumerate(grams, 1):
-                    mine = sorted((a["part"], a["totals"]) for a in answers or () if a["n"] == n)
-                    place = np.flatnonzero(at >= n - 1)
-                    out = np.zeros(len(doc))
-                    if len(code):
-                        total = np.concatenate([_wide(t) for _, t in mine]).astype(np.int64)
-                        by_code, first = in_order(code, check)
-                        index = np.empty(len(code), np.int64)
-                        index[by_code] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(code)]))
-                        pair = doc[place] * len(first) + index
-                        _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-                        out[place] = total[index] - own[back]
+            for doc_ids, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "answers"))):
+                batch, left, offset = Batch(texts, sizes, order), [], 0
+                totals = np.zeros(sum(len(g.ends) for g in batch.grams), np.int64)
+                for a in answers or ():
+                    totals[np.cumsum(_wide(a["places"])).astype(np.int64)] = _wide(a["totals"])
+                for n, grams in enumerate(batch.grams, 1):
+                    out = np.zeros(len(batch.ids))
+                    total = totals[offset : offset + len(grams.ends)][grams.of]
+                    # what was not asked for has one document alone
+                    out[batch.at >= n - 1] = np.maximum(total - grams.own, 0) if leave_out else total
                     left.append(out)
-                logs = backoff_logs(counts, left, all_words, backoff)
-                sums = np.bincount(doc, logs, len(counts)) if len(doc) else np.zeros(len(counts))
+                    offset += len(grams.ends)
+                logs = backoff_logs(batch.counts, left, all_words - batch.counts * leave_out, backoff)
+                sums = np.bincount(batch.doc, logs, len(batch.counts)) if len(batch.doc) else np.zeros(len(batch.counts))
                 ids = [None if d == _null_id else d for d in np.frombuffer(doc_ids, "<i8").tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(batch.counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def score(
+    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True,
+    batch_bytes: int = BATCH_BYTES, part_words: int = PART_WORDS, hash_of: Callable[[bytes], int] = HASH,
+) -> DataFrame:
     """doc_id, n_words, log_score (sum of log10 scores) and mean_log_score (0 without words) for each row."""
-    gathered = gather(docs)
+    gathered = gather(docs, batch_bytes)
     all_words = gathered.agg(F.sum("n_words")).first()[0] or 0
-    parts = 1 + all_words // PART_WORDS
-    asked = gathered.select("batch", "sizes", "texts").mapInArrow(_ask(order, parts), ASKED)
-    dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "n")
-    answers = dealt.mapInArrow(_total, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))  # at most the n-grams of a batch
-    met = gathered.join(answers, "batch", "left").select("doc_ids", "sizes", "texts", "answers")
-    scored = met.mapInArrow(_score(order, all_words, backoff), SCORES)
+    gathered, parts = gathered.drop("n_words"), 1 + all_words // part_words
+    bits = min(60, (all_words * order).bit_length() + 6)
+    if leave_out:
+        hashes = gathered.mapInArrow(_sift(order, parts, bits, hash_of), HASHES)
+        met = hashes.repartition(parts, "part").sortWithinPartitions("part", "n").mapInArrow(_met, SHARED)
+        met = met.groupBy("batch").agg(F.collect_list(F.struct("n", "part", "bits")).alias("answers"))  # a bit for each n-gram of a batch
+        asking = gathered.join(met.hint("merge"), "batch", "left")
+    else:
+        asking = gathered.withColumn("answers", F.lit(None).cast("array<struct<n:int,part:int,bits:binary>>"))
+    lists = asking.mapInArrow(_ask(order, parts, bits, leave_out, hash_of), ASKED).repartition(parts, "bucket")
+    grams = lists.select("bucket", "batch", F.inline(F.arrays_zip("grams", "counts", "places")).alias("gram", "n", "place"))
+    counted = grams.select("batch", "place", F.sum("n").over(Window.partitionBy("bucket", "gram")).alias("total"))
+    answers = counted.mapInArrow(_pack, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("places", "totals")).alias("answers"))  # at most the n-grams of a batch
+    scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, all_words, backoff, leave_out), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 
-def report(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def report(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True) -> DataFrame:
     """``score`` with sums rounded to six digits, so that the order of adding cannot show."""
-    return score(docs, order, backoff).select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return score(docs, order, backoff, leave_out).select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))

@@ -4,7 +4,8 @@ Texts are encoded with the tokenizers library, an end id is appended to each, an
 runs of documents in doc_id order become shards.  A shard is one blob: the ids of
 its documents as bit-planes, most significant first, each plane stably sorted by
 the bits before it, with a count of ones for each block.  Access, counting and
-occurrence lookup work on the packed planes through rank and select.  Blobs are
+occurrence lookup work on the packed planes through rank and select, of one shard
+(``WaveletMatrix``) or of a table of shards (``count_tokens``, ``find_tokens``).  Blobs are
 the rows of Parquet files in the shared folder, so any store that Spark reads
 holds them and a lost task is run again without traces.
 
@@ -20,6 +21,7 @@ empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -33,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import splits_at_space
 from .common import fresh_path, id_and_text, running_start, small_batches
 
 MAGIC = b"TWM1"
@@ -49,16 +52,17 @@ DOCS = "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 lon
 
 
 class WaveletMatrix:
-    """A sequence of 16-bit ids as bit-planes with rank and select."""
+    """A sequence of ids of at most 32 bits as bit-planes with rank and select."""
 
     def __init__(self, n: int, planes: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         self.n, self.planes = n, planes  # (zeros, ones before each block, packed bits)
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
-        row, planes = ids.astype(np.uint16), []
+        kind = np.uint16 if bits <= 16 else np.uint32
+        row, planes = ids.astype(kind), []
         for level in range(bits - 1, -1, -1):
-            on = (row & np.uint16(1 << level)) != 0
+            on = (row & kind(1 << level)) != 0
             packed = np.packbits(on, bitorder="little")
             sums = np.add.reduceat(on, np.arange(0, len(on), BLOCK), dtype=np.uint32) if len(on) else np.zeros(0, np.uint32)
             before = np.concatenate([[0], np.cumsum(sums)]).astype(np.uint32)
@@ -124,6 +128,21 @@ class WaveletMatrix:
         a, b = self._range(token, low, self.n if high is None else high)
         return b - a
 
+    def _select(self, plane: tuple, rank: np.ndarray, bit: int) -> np.ndarray:
+        """Positions of the ones (zeros) of a plane with these numbers: the block by the directory, then the bit in the block."""
+        _, before, packed = plane
+        ahead = before.astype(np.int64) if bit else np.arange(len(before), dtype=np.int64) * BLOCK - before
+        block = np.searchsorted(ahead, rank, "right") - 1
+        out = np.empty(len(rank), np.int64)
+        size = BLOCK // 8
+        for i in range(0, len(rank), 4096):
+            own = block[i : i + 4096]
+            place = np.minimum(own[:, None] * size + np.arange(size), len(packed) - 1)
+            bits = np.unpackbits(packed[place], axis=1, bitorder="little") == bit
+            wanted = rank[i : i + 4096] - ahead[own] + 1
+            out[i : i + 4096] = own * BLOCK + (np.cumsum(bits, axis=1, dtype=np.int16) >= wanted[:, None]).argmax(1)
+        return out
+
     def occurrences(self, token: int, low: int = 0, high: int | None = None) -> np.ndarray:
         """All positions of ``token``: select from the last plane back to the first."""
         if token >> len(self.planes):
@@ -131,19 +150,19 @@ class WaveletMatrix:
         a, b = self._range(token, low, self.n if high is None else high)
         at = np.arange(a, b)
         for i in range(len(self.planes) - 1, -1, -1):
-            zeros, _, packed = self.planes[i]
-            on = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
-            at = np.flatnonzero(on)[at - zeros] if token >> (len(self.planes) - 1 - i) & 1 else np.flatnonzero(~on)[at]
+            bit = token >> (len(self.planes) - 1 - i) & 1
+            at = self._select(self.planes[i], at - self.planes[i][0] if bit else at, bit)
         return np.sort(at)
 
     def all(self) -> np.ndarray:
         """The whole sequence: each plane, from the last, puts its two halves back in place."""
-        row = np.zeros(self.n, np.uint16)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        row = np.zeros(self.n, kind)
         for level, (zeros, _, packed) in enumerate(reversed(self.planes)):
             on = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(row)
             back[np.flatnonzero(~on)] = row[:zeros]
-            back[np.flatnonzero(on)] = row[zeros:] | np.uint16(1 << level)
+            back[np.flatnonzero(on)] = row[zeros:] | kind(1 << level)
             row = back
         return row
 
@@ -165,7 +184,8 @@ def open_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 class Encoder:
     """The tokenizers library over the parts between white space, with a bounded table of parts met.
 
-    White space is a boundary for this tokenizer, so ids of a text are those of its parts in a row.
+    Where white space is a boundary for the tokenizer, ids of a text are those of its parts in a row;
+    of any other file the library takes the text as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -175,6 +195,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.at_space = splits_at_space(json.load(f))
+        self.bits = max(1, (max(self.tokenizer.get_vocab(with_added_tokens=True).values()) | END_ID).bit_length())
+        self.code, self.kind = ("H", "<u2") if self.bits <= 16 else ("I", "<u4")
         letters = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha())
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
@@ -185,12 +209,12 @@ class Encoder:
 
     def _model(self, word: str) -> bytes:
         """One word, lower-cased: the library's model alone."""
-        return array("H", [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.as_bytes))]).tobytes()
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.as_bytes))]).tobytes()
 
     def _ids(self, part: str) -> bytes:
         known, m = self.known, self.word.fullmatch(part)
         if m is None:
-            found = array("H", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            found = array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         else:
             word, marks = m.groups()
             found = known.get(word) or self._model(word)
@@ -203,7 +227,9 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 16-bit ids."""
+        """Little-endian ids of ``kind``."""
+        if not self.at_space:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = self.inner_space.split(text.strip(" \t\n\x0b\x0c\r")) if self.separators.search(text) else text.split()
         found = list(map(self.known.get, parts))
         if None in found:
@@ -221,20 +247,21 @@ def encoder(path: str) -> Encoder:
 
 def _writer(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u2").tobytes()
+        part, coder = TaskContext.get().partitionId(), encoder(path)
+        end, size = np.array([end_id], coder.kind).tobytes(), int(coder.kind[2])
         seq, doc_ids, counts, parts, held = 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            blob = pack_shard(doc_ids, counts, np.frombuffer(b"".join(parts), "<u2"))
+            blob = pack_shard(doc_ids, counts, np.frombuffer(b"".join(parts), coder.kind), coder.bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int32()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "blob"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = coder.encode(text) + end
                 doc_ids.append(NULL_ID if doc_id is None else doc_id)
-                counts.append(len(ids) // 2)
+                counts.append(len(ids) // size)
                 parts.append(ids)
-                held += len(ids) // 2
+                held += len(ids) // size
                 if held >= shard_tokens:
                     yield shard()
                     seq, doc_ids, counts, parts, held = seq + 1, [], [], [], 0
@@ -274,8 +301,6 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_report(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for each document, from the shards alone."""
-    spark = shards.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a shard here
     sizes = shards.select("part", "seq", "n_tokens")
     parts = running_start(sizes.groupBy("part").agg(F.sum("n_tokens").alias("_n")), "part", "_n", "_part_start").drop("_n")
     within = F.expr("coalesce(sum(n_tokens) over (partition by part order by seq rows between unbounded preceding and 1 preceding), 0)")
@@ -287,3 +312,36 @@ def read_report(shards: DataFrame) -> DataFrame:
 def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Write the shards of ``docs`` to the shared folder and report on them as read back."""
     return read_report(write_shards(docs, fresh_path(docs.sparkSession, "tokens"), tokenizer_path, end_id))
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """token and n, its places in all shards, for each of ``tokens``; by rank alone. A token of no shard has 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                matrix = open_shard(blob)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([matrix.count(t) for t in tokens], pa.int64())], ["token", "n"])
+
+    spark = shards.sparkSession
+    none = spark.createDataFrame([(t, 0) for t in tokens], "token long, n long")
+    return shards.select("blob").mapInArrow(run, "token long, n long").unionByName(none).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """token, doc_id and place within the document of every occurrence of ``tokens``; by rank and select."""
+    kinds = [pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                doc_ids, counts, matrix = open_shard(blob)
+                ends = np.cumsum(counts, dtype=np.int64)
+                for t in tokens:
+                    at = matrix.occurrences(t)
+                    doc = np.searchsorted(ends, at, "right")
+                    ids = [None if d == NULL_ID else d for d in doc_ids[doc].tolist()]
+                    columns = [[t] * len(at), ids, (at - (ends - counts)[doc]).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "doc_id", "place"])
+
+    return shards.select("blob").mapInArrow(run, "token long, doc_id long, place long")
