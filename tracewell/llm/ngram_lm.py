@@ -6,7 +6,10 @@ share of all words, half an occurrence at least.  By default counts are over all
 documents but the one that is scored, so no text vouches for itself; with
 ``leave_out=False`` they are over all documents, as in the plain form.
 
-1. Documents are gathered to batches, so that common n-grams leave a batch once.
+1. Documents are gathered to batches, so that common n-grams leave a batch once.  A
+   batch is named by its content and dealt out once, in a shuffle that all later steps
+   read; if lost files of it were made again in another order of rows, the names would
+   not meet and the job would fail rather than count wrongly.
 2. Where the scored document is left out, an n-gram of one document counts for
    nothing.  Each batch sends short hashes of its n-grams, as sorted sets, and learns
    which of them another batch has too.  Equal hashes of different n-grams only let
@@ -15,7 +18,8 @@ documents but the one that is scored, so no text vouches for itself; with
    their hash names.  Counts are summed over equal n-grams, told apart by their words,
    and stand beside each of them: the sum is a window over the bucket's own
    partition, which joins the table of counts to the n-grams without another shuffle.
-4. The totals go back to the batches, which add up their documents.
+4. The totals go back to the batches, in the order asked, and these add up their
+   documents.
 
 Words are what stands between ASCII white space, ASCII letters in lower case.
 
@@ -37,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, written
+from .common import id_and_text, small_batches
 
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in one batch, unless one document has more.
@@ -47,11 +51,11 @@ PART_WORDS = 1 << 20
 #: Rows that a task packs by batch before they go back.
 PACK_ROWS = 1 << 21
 
-BATCHES = "batch long, n_words long, doc_ids binary, sizes binary, texts binary"
+BATCHES = "batch long, doc_ids binary, sizes binary, texts binary"
 HASHES = "part int, n int, batch long, hashes binary"
 SHARED = "batch long, n int, part int, bits binary"
-ASKED = "bucket int, batch long, grams array<binary>, counts array<long>, places array<int>"
-ANSWERS = "batch long, places binary, totals binary"
+ASKED = "bucket int, batch long, n int, grams string, counts array<long>"
+ANSWERS = "batch long, n int, bucket int, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
 _null_id = -(1 << 63)
@@ -65,16 +69,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = sum(len(t.encode("utf-8", "surrogatepass").split()) for t in b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+
 def _gather(batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
 
         def row() -> pa.RecordBatch:
-            blob = pack(b"".join(texts))
-            n = sum(len(t.split()) for t in texts)
-            sizes = np.array([len(t) for t in texts], "<u4").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([n]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([sizes]), pa.array([blob])], ["batch", "n_words", "doc_ids", "sizes", "texts"])
+            data = [np.array(ids, "<i8").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), pack(b"".join(texts))]
+            name = xxhash.xxh3_64(seq.to_bytes(8, "little"))
+            for part in data:
+                name.update(part)
+            return pa.RecordBatch.from_arrays([pa.array([name.intdigest() >> 1]), *(pa.array([x]) for x in data)], ["batch", "doc_ids", "sizes", "texts"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -91,9 +102,9 @@ def _gather(batch_bytes: int):
 
 
 def gather(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Documents as compressed batches in the shared folder."""
+    """Documents as compressed batches, dealt out by their names."""
     small_batches(docs.sparkSession)
-    return written(id_and_text(docs).mapInArrow(_gather(batch_bytes), BATCHES), "batches")
+    return id_and_text(docs).mapInArrow(_gather(batch_bytes), BATCHES).repartition("batch")
 
 
 @dataclass
@@ -150,11 +161,11 @@ class Batch:
         h = (h ^ h >> np.uint64(32)) * _mix_2
         return Grams(of, ends, np.diff(np.r_[first, len(key)]), n_docs, own, h ^ h >> np.uint64(29))
 
-    def text_of(self, n: int, numbers: np.ndarray) -> list[bytes]:
-        """The n-grams themselves, words joined by a space."""
+    def text_of(self, n: int, numbers: np.ndarray) -> str:
+        """The n-grams themselves, words joined by a space, a line for each."""
         words, ends = self.vocabulary, self.grams[n - 1].ends[numbers]
         columns = [[words[i] for i in self.ids[ends - back].tolist()] for back in range(n - 1, -1, -1)]
-        return columns[0] if n == 1 else list(map(b" ".join, zip(*columns)))
+        return b"\n".join(map(b" ".join, zip(*columns))).decode("utf-8")
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -196,7 +207,7 @@ def _sift(order: int, parts: int, bits: int, hash_of: Callable[[bytes], int]):
                 out = []
                 for n, grams in enumerate(Batch(texts, sizes, order, hash_of).grams[1:], 2):
                     short, _ = short_hashes(grams.hashes, bits)
-                    part = (short << np.uint64(max(0, 32 - bits)) >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(32)
+                    part = _part_of(short, bits, parts)
                     out += [(int(part[a]), n, batch, pack_sorted(short[a:z])) for a, z in _cuts(part)]
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "n", "batch", "hashes"])
@@ -234,37 +245,44 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answer(*at, rows)
 
 
-def wanted_grams(batch: Batch, n: int, parts: int, bits: int, answers: list | None) -> np.ndarray:
-    """Numbers of the n-grams that are asked for: of lone words all, of others those that two documents may have; all without ``answers``."""
-    grams = batch.grams[n - 1]
-    if n == 1 or answers is None:
-        return np.arange(len(grams.ends))
-    short, place = short_hashes(grams.hashes, bits)
-    part = (short << np.uint64(max(0, 32 - bits)) >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(32)
-    told = {a["part"]: a["bits"] for a in answers if a["n"] == n}
-    met = np.zeros(len(short), bool)
-    for a, z in _cuts(part):
-        met[a:z] = np.unpackbits(np.frombuffer(told[int(part[a])], np.uint8), count=z - a, bitorder="little")
-    return np.flatnonzero(met[place] | (grams.n_docs > 1))
+def _part_of(short: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    return (short << np.uint64(max(0, 32 - bits)) >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(32)
+
+
+def asked_grams(batch: Batch, parts: int, bits: int, answers: list | None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """n, bucket and the numbers of the n-grams that are asked for there: of lone words all, of others those that two documents may have; all without ``answers``."""
+    for n, grams in enumerate(batch.grams, 1):
+        mine = np.arange(len(grams.ends))
+        if n > 1 and answers is not None:
+            short, place = short_hashes(grams.hashes, bits)
+            told = {a["part"]: a["bits"] for a in answers if a["n"] == n}
+            met = np.zeros(len(short), bool)
+            for a, z in _cuts(part := _part_of(short, bits, parts)):
+                met[a:z] = np.unpackbits(np.frombuffer(told[int(part[a])], np.uint8), count=z - a, bitorder="little")
+            mine = np.flatnonzero(met[place] | (grams.n_docs > 1))
+        bucket = (grams.hashes[mine] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        by = np.argsort(bucket, kind="stable")
+        for a, z in _cuts(bucket[by]):
+            yield n, int(bucket[by[a]]), mine[by[a:z]]
 
 
 def _ask(order: int, parts: int, bits: int, sifted: bool, hash_of: Callable[[bytes], int]):
-    """Each batch's n-grams as lists by bucket, with their counts and places among those of the batch."""
+    """Each batch's n-grams as lists by bucket, with their counts."""
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "n", "grams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "answers"))):
-                batch, offset, lists = Batch(texts, sizes, order, hash_of), 0, []
-                for n, grams in enumerate(batch.grams, 1):
-                    mine = wanted_grams(batch, n, parts, bits, (answers or []) if sifted else None)
-                    bucket = (grams.hashes[mine] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                    by = np.argsort(bucket, kind="stable")
-                    mine, bucket = mine[by], bucket[by]
-                    lists += [(int(bucket[a]), name, batch.text_of(n, mine[a:z]), grams.counts[mine[a:z]], mine[a:z] + offset) for a, z in _cuts(bucket)]
-                    offset += len(grams.ends)
-                kinds = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                for i in range(0, len(lists), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in lists[i : i + 64]], t) for c, t in enumerate(kinds)], ["bucket", "batch", "grams", "counts", "places"])
+            for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "bits"))):
+                batch, rows = Batch(texts, sizes, order, hash_of), []
+                for n, bucket, mine in asked_grams(batch, parts, bits, (answers or []) if sifted else None):
+                    rows.append((bucket, name, n, batch.text_of(n, mine), batch.grams[n - 1].counts[mine]))
+                    if len(rows) == 64:
+                        yield packed(rows)
+                        rows = []
+                yield packed(rows)
 
     return run
 
@@ -292,19 +310,22 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals by batch, in order of places."""
+    """Totals by batch, order and bucket, in the order asked."""
+    kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ("batch", "n", "bucket", "place", "total")
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        batch, place, total = (np.concatenate([h[i] for h in held]) for i in range(3))
-        order = np.lexsort((place, batch))
-        batch, place, total = batch[order], place[order], total[order].astype(np.uint64)
-        out = [(int(batch[a]), _narrow(np.diff(place[a:z], prepend=0).astype(np.uint64)), _narrow(total[a:z])) for a, z in _cuts(batch)]
-        kinds = [pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["batch", "places", "totals"])
+        batch, n, bucket, place, total = (np.concatenate([h[i] for h in held]) for i in range(5))
+        order = np.lexsort((place, bucket, n, batch))
+        batch, n, bucket, place, total = (x[order] for x in (batch, n, bucket, place, total.astype(np.uint64)))
+        new = np.flatnonzero(np.r_[True, (batch[1:] != batch[:-1]) | (n[1:] != n[:-1]) | (bucket[1:] != bucket[:-1]), True]).tolist()
+        # the places are 0, 1, 2 ... unless the list was parted between two packs
+        out = [(int(batch[a]), int(n[a]), int(bucket[a]), _narrow(place[a:z].astype(np.uint64)) if z - a <= place[z - 1] else b"", _narrow(total[a:z])) for a, z in zip(new, new[1:])]
+        rows = [(b, o, k, len(p).to_bytes(4, "little") + p + t) for b, o, k, p, t in out]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["batch", "n", "bucket", "totals"])
 
     held, size = [], 0
     for b in batches:
-        held.append(tuple(b.column(c).to_numpy() for c in ("batch", "place", "total")))
+        held.append(tuple(b.column(c).to_numpy() for c in names))
         size += b.num_rows
         if size >= PACK_ROWS:
             yield packed(held)
@@ -313,6 +334,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(held)
 
 
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and totals of a pack."""
+    size = int.from_bytes(data[:4], "little")
+    totals = _wide(data[4 + size :]).astype(np.int64)
+    return _wide(data[4 : 4 + size]).astype(np.int64) if size else np.arange(len(totals)), totals
+
+
 def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarray, backoff: float) -> np.ndarray:
     """log10 of the score of each word. left: for each n, the counts that speak for the n-gram ending there; 0 where there is none. all_words: of each document."""
     n_words = int(counts.sum())
@@ -329,21 +357,26 @@ def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarr
     return score
 
 
-def _score(order: int, all_words: int, backoff: float, leave_out: bool):
+def _score(order: int, parts: int, bits: int, all_words: int, backoff: float, leave_out: bool, hash_of: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_ids, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "answers"))):
-                batch, left, offset = Batch(texts, sizes, order), [], 0
-                totals = np.zeros(sum(len(g.ends) for g in batch.grams), np.int64)
+            for doc_ids, sizes, texts, sifted, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "bits", "answers"))):
+                batch = Batch(texts, sizes, order, hash_of)
+                totals = [np.full(len(g.ends), -1, np.int64) for g in batch.grams]
+                told: dict[tuple[int, int], list[bytes]] = {}
                 for a in answers or ():
-                    totals[np.cumsum(_wide(a["places"])).astype(np.int64)] = _wide(a["totals"])
+                    told.setdefault((a["n"], a["bucket"]), []).append(a["totals"])
+                for n, bucket, mine in asked_grams(batch, parts, bits, (sifted or []) if leave_out else None):
+                    for places, found in map(unpacked, told[n, bucket]):
+                        totals[n - 1][mine[places]] = found
+                    if (totals[n - 1][mine] < 0).any():
+                        raise ValueError("an n-gram has no total")
+                left = []
                 for n, grams in enumerate(batch.grams, 1):
                     out = np.zeros(len(batch.ids))
-                    total = totals[offset : offset + len(grams.ends)][grams.of]
-                    # what was not asked for has one document alone
+                    total = totals[n - 1][grams.of]  # what was not asked for has one document alone
                     out[batch.at >= n - 1] = np.maximum(total - grams.own, 0) if leave_out else total
                     left.append(out)
-                    offset += len(grams.ends)
                 logs = backoff_logs(batch.counts, left, all_words - batch.counts * leave_out, backoff)
                 sums = np.bincount(batch.doc, logs, len(batch.counts)) if len(batch.doc) else np.zeros(len(batch.counts))
                 ids = [None if d == _null_id else d for d in np.frombuffer(doc_ids, "<i8").tolist()]
@@ -358,21 +391,23 @@ def score(
 ) -> DataFrame:
     """doc_id, n_words, log_score (sum of log10 scores) and mean_log_score (0 without words) for each row."""
     gathered = gather(docs, batch_bytes)
-    all_words = gathered.agg(F.sum("n_words")).first()[0] or 0
-    gathered, parts = gathered.drop("n_words"), 1 + all_words // part_words
+    all_words = id_and_text(docs).mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
+    parts = 1 + all_words // part_words
     bits = min(60, (all_words * order).bit_length() + 6)
     if leave_out:
         hashes = gathered.mapInArrow(_sift(order, parts, bits, hash_of), HASHES)
         met = hashes.repartition(parts, "part").sortWithinPartitions("part", "n").mapInArrow(_met, SHARED)
-        met = met.groupBy("batch").agg(F.collect_list(F.struct("n", "part", "bits")).alias("answers"))  # a bit for each n-gram of a batch
-        asking = gathered.join(met.hint("merge"), "batch", "left")
+        met = met.groupBy("batch").agg(F.collect_list(F.struct("n", "part", "bits")).alias("bits"))  # a bit for each n-gram of a batch
+        gathered = gathered.join(met.hint("merge"), "batch", "left")
     else:
-        asking = gathered.withColumn("answers", F.lit(None).cast("array<struct<n:int,part:int,bits:binary>>"))
-    lists = asking.mapInArrow(_ask(order, parts, bits, leave_out, hash_of), ASKED).repartition(parts, "bucket")
-    grams = lists.select("bucket", "batch", F.inline(F.arrays_zip("grams", "counts", "places")).alias("gram", "n", "place"))
-    counted = grams.select("batch", "place", F.sum("n").over(Window.partitionBy("bucket", "gram")).alias("total"))
-    answers = counted.mapInArrow(_pack, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("places", "totals")).alias("answers"))  # at most the n-grams of a batch
-    scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, all_words, backoff, leave_out), SCORES)
+        gathered = gathered.withColumn("bits", F.lit(None).cast("array<struct<n:int,part:int,bits:binary>>"))
+    lists = gathered.mapInArrow(_ask(order, parts, bits, leave_out, hash_of), ASKED).repartition(parts, "bucket")
+    counts = F.transform("counts", lambda c, i: F.struct(c.alias("count"), i.alias("place")))
+    lists = lists.select("bucket", "batch", "n", F.arrays_zip(F.split("grams", "\n", -1).alias("gram"), counts.alias("own")).alias("grams"))
+    grams = lists.select("bucket", "batch", "n", F.inline("grams")).select("bucket", "batch", "n", "gram", "own.*")
+    counted = grams.select("batch", "n", "bucket", "place", F.sum("count").over(Window.partitionBy("bucket", "n", "gram")).alias("total"))
+    answers = counted.mapInArrow(_pack, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))  # at most the n-grams of a batch
+    scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, parts, bits, all_words, backoff, leave_out, hash_of), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 
