@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracewell.llm import bpe, decontaminate, exact_dedup, ngram_lm, queries, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet
@@ -89,19 +91,24 @@ def test_decontamination_against_brute_force(spark):
             item[rng.randrange(len(item))] = rng.choice("abcxyz")
         table.append((i, " ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(20)) + " " + "".join(item) + " end"))
     table += [(100, None), (101, ""), (102, bench[0][1].upper().replace(" ", "  \n")), (102, bench[0][1])]
-    bench += [(900, None), (901, ""), (902, "tiny"), (903, bench[0][1])]
-    items = decontaminate.Items([i for i, t in bench if t], [decontaminate.letters(decontaminate.normalise(t)) for _, t in bench if t])
+    bench += [(900, None), (901, ""), (902, "tiny"), (903, bench[0][1]), (904, "nine char"), (905, "some words of no renown in thirty"), (906, "a middling item")]
+    table += [(103, "Tiny!"), (104, "so tiny"), (105, "xx nine  chxr yy"), (106, "of no use: somme wrds of no renon in thirty, then a midling item"), (107, "x" * 50_000 + " a middling item " + "y " * 20_000)]
     for d, text in table:
         norm = decontaminate.normalise(text or "")
-        for place, (item, words) in enumerate([b for b in bench if b[1]]):
+        for item, words in [b for b in bench if b[1]]:
             w = decontaminate.normalise(words)
-            if len(w) >= decontaminate.Q and (edits := best_edits(w, norm)) <= items.edits[place]:
+            if len(norm) > 50_000:
+                edits = 0 if w in norm else 99  # too long for the brute force; nothing near is planted there
+            else:
+                edits = best_edits(w, norm) if len(w) >= decontaminate.Q else 99 * (w != norm)
+            if edits <= int(len(w) * decontaminate.EDIT_SHARE):
                 planted.append((d, item, edits))
     frame = spark.createDataFrame(table, "doc_id long, text string")
     found = decontaminate.matches(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert sorted(collections.Counter((r.doc_id, r.item_id, r.edits) for r in found).items()) == sorted(collections.Counter(planted).items()) and planted
     whole = next(r for r in found if r.doc_id == 102 and r.item_id == 903 and r.edits == 0)
-    assert decontaminate.normalise(table[-1][1][whole.start : whole.stop]) == decontaminate.normalise(bench[0][1]) or whole.stop > 0
+    assert {(103, 902, 0), (106, 905, 3), (106, 906, 1), (107, 906, 0)} <= set(planted)
+    assert decontaminate.normalise(next(t for d, t in table[::-1] if d == 102)[whole.start : whole.stop]) == decontaminate.normalise(bench[0][1]) or whole.stop > 0
 
 
 # 2
@@ -114,14 +121,19 @@ def test_secrets_of_odd_texts(spark, odd):
 
 
 def test_ledger_scans_only_what_is_new(spark, odd, tmp_path):
-    first, entered = secrets.scan(odd)
-    again, more = secrets.scan(odd, ledger=entered)
-    assert entered.count() == odd.select("text").na.fill("").distinct().count() and more.count() == 0
-    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
-    _, other = secrets.scan(odd, ledger=entered, rule_version="2")
-    assert other.count() == entered.count()
-    _, new = secrets.scan(odd.unionByName(docs(spark, (50, "fresh"), (51, "fresh"))), ledger=entered)
-    assert [r.rule_version for r in new.collect()] == ["1"]
+    path = f"file://{tmp_path}/ledger"
+    first, ledger = secrets.scan(odd, ledger_path=path)
+    n = odd.select("text").na.fill("").distinct().count()
+    assert ledger.count() == n
+    again, ledger = secrets.scan(odd, ledger_path=path)
+    assert ledger.count() == n and sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    versions = odd.unionByName(docs(spark, (9, "password = other1234"), (50, "fresh"), (51, "fresh")))  # path 9 has a second version now
+    found, ledger = secrets.scan(versions, ledger_path=path)
+    assert ledger.count() == n + 2 and sorted(len(r.findings) for r in found.where("doc_id = 9").collect()) == [1, 3]
+    changed = (secrets.Rule("assign", "passw[a-z]+", 0, 4), *secrets.RULES[1:])
+    assert secrets.rule_version(changed) != secrets.rule_version(secrets.RULES)
+    found, ledger = secrets.scan(odd, ledger_path=path, rules=changed)  # other rules: every blob is new again
+    assert ledger.count() == 2 * n + 2 and found.where("doc_id = 9").first().findings[0].stop == 8
 
 
 # 3
@@ -136,6 +148,36 @@ def test_url_rules(spark):
     ]
 
 
+def test_url_fields_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{DIR}/pages.parquet'")
+    rules = " union all ".join(f"select '{v}' as verdict, '{h}' as h, '{p}' as p" for v, h, p in url_filter.LISTED)
+    want = con.sql(rf"""
+        with u as (select page_id, coalesce(url, '') as url, strpos(url, '://') as i from pages),
+        r as (select page_id, case when i > 0 then substr(url, i + 3) else '' end as rest from u),
+        f as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+        l as ({rules}),
+        m as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict from f join l on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+        select page_id, host, path, rule, verdict from f left join m using (page_id)""").fetchall()
+    judged = url_filter.judge_pages(queries.table(spark, DIR, "pages"), queries.table(spark, DIR, "labels"))
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict if r.by == "list" else None) for r in judged.collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def rules_brute(examples, least, sure):
+    """Every set of tokens that enough examples of a verdict have, with confidence and lift."""
+    out, met = {}, collections.Counter(v for _, v in examples)
+    sets = {frozenset(c) for t, _ in examples for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    for tokens in sets:
+        has = collections.Counter(v for t, v in examples if tokens <= t)
+        for verdict, n in has.items():
+            confidence = n / sum(has.values())
+            lift = confidence / (met[verdict] / len(examples))
+            if n >= least and confidence >= sure and lift >= 1 - 1e-9:
+                out[tokens, verdict] = (confidence, n / len(examples), lift)
+    return out
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = random.Random(2)
     pages, labels = [], []
@@ -143,15 +185,25 @@ def test_mined_rules_against_brute_force(spark):
         spam, other = rng.random() < 0.3, rng.choice(["news", "wiki"])
         pages.append((i, f"https://{'spam' if spam else other}.site.org/{rng.choice(['a', 'b'])}/{i}"))
         if i % 2:
-            labels.append((i, 1, int(spam and "/a/" in pages[-1][1])))
-    p, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {r.page_id: (r.verdict, r.by) for r in url_filter.judge_pages(p, lab, min_examples=10).collect()}
-    assert all(v == (("block", "mined") if "spam" in url and "/a/" in url else ("allow", "default")) for i, url in pages for v in [got[i]])
-    rules = [(frozenset(r.tokens), r.confidence) for r in url_filter.mine(url_filter.labelled(p, lab), min_examples=10).collect()]
+            labels.append((i, 1, int(spam and "/a/" in pages[-1][1] or rng.random() < 0.05)))
+    pages += [(500, pages[0][1]), (500, pages[0][1]), (501, None), (502, "no scheme")]  # repeated rows
+    p = spark.createDataFrame([(i, u, "x", "x", "x", ["x"], "x") for i, u in pages], "page_id long, url string, host string, rule string, verdict string, tokens array<string>, _token string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    judged = url_filter.judge_pages(p, lab, min_examples=10).collect()
+    assert collections.Counter(r.page_id for r in judged) == collections.Counter(i for i, _ in pages)
     examples = [(frozenset(r.tokens), r.verdict) for r in url_filter.labelled(p, lab).collect()]
-    for tokens, confidence in rules:
-        has = [v for t, v in examples if tokens <= t]
-        assert math.isclose(has.count("block") / len(has), confidence) and has.count("block") >= 10
+    want = rules_brute(examples, max(10, url_filter.MIN_SUPPORT * len(examples)), url_filter.MIN_CONFIDENCE)
+    mined = url_filter.mine(url_filter.labelled(p, lab), min_examples=10).collect()
+    assert {(frozenset(r.tokens), r.verdict) for r in mined} == set(want) and {r.verdict for r in mined} == {"allow", "block"}
+    for r in mined:
+        assert np.allclose((r.confidence, r.support, r.lift), want[frozenset(r.tokens), r.verdict])
+    rank = {k: max(x[2], *(y[2] for j, y in want.items() if j[0] <= k[0] and y[0] < x[0]), x[2]) for k, x in want.items()}
+    of = {r.page_id: frozenset(r.tokens) for r in p.select("page_id", url_filter.tokens_of(F.col("url")).alias("tokens")).collect()}
+    for r in judged:
+        fits = [(round(rank[k], 9), round(x[0], 9), round(x[1], 9), k[1]) for k, x in want.items() if k[0] <= of[r.page_id]]
+        assert (r.verdict, r.by) == ((max(fits)[3], "mined") if fits else ("allow", "default"))
+        assert (r.mined_rule is not None) == bool(fits)
+    assert {r.verdict for r in judged if r.by == "mined"} == {"allow", "block"}
 
 
 # 4 and 10
@@ -266,6 +318,7 @@ def test_directory_doubles():
     fine[5] = 100
     fine[12] = 3
     d = exact_dedup.Directory.of(fine, 10)
+    assert max(d.local) == d.depth
     assert d.depth == 4 and len(d.slots) == 16 and d.bucket_of(5 << 60) != d.bucket_of(4 << 60) and d.bucket_of(12 << 60) == d.bucket_of(8 << 60)
 
 
@@ -292,6 +345,33 @@ def test_toxicity_finds_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].predicted}
 
 
+def test_toxicity_reads_texts_to_their_end(spark):
+    """The only telling word of a toxic text stands behind many that clean texts have too."""
+    rng = random.Random(9)
+    plain = [f"w{i}" for i in range(200)]
+    table, marks = [], []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(300)]
+        if toxic := i % 3 == 0:
+            words.append("vilest")
+        table.append((i, " ".join(words)))
+        marks.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.report(spark.createDataFrame(table, "doc_id long, text string"), labels).collect()}
+    assert all(got[i].predicted == t for i, _, t in marks)
+    assert {len(got[i].spans) for i, _, t in marks if t} == {1}
+
+
+def test_field_of_windows_against_enumeration():
+    """The gradient's marginals: equal windows counted twice fit as two windows do."""
+    x = np.array([[[0, 2, 2], [2, 2, 2]], [[1, 2, 2], [2, 2, 2]], [[1, 2, 2], [2, 2, 2]]], np.int32)
+    y = np.array([[1, 0], [0, 0], [0, 0]], np.int8)
+    live = np.ones((3, 2), bool)
+    one = toxicity._fit_chain(x, y, live, np.ones(3), 2, rounds=30)
+    two = toxicity._fit_chain(x[:2], y[:2], live[:2], np.array([1.0, 2.0]), 2, rounds=30)
+    assert np.allclose(one[0], two[0]) and np.isclose(one[1], two[1]) and np.allclose(one[2], two[2])
+
+
 def test_field_marginals_against_enumeration():
     m = toxicity.Model({"x": 1.3, "y": 2.1}, -1.0, ((0.0, -0.5), (0.2, 0.4)), (0.0, 1.0, 0.0))
     words = ["a", "x", "b", "b", "y", "c"]
@@ -394,7 +474,9 @@ def test_suffix_dedup_against_brute_force(spark):
     passages = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 40))) for _ in range(10)]
     table = [(i, "".join(rng.choice([rng.choice(passages), " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))]) for _ in range(rng.randint(0, 6)))) for i in range(80)]
     table += [(200, "a" * 300), (201, "a" * 60), (202, "ab" * 99), (203, "ba" * 99), (204, passages[0]), (204, passages[0] + "z"), *ODD]
-    assert sorted(map(tuple, suffix_dedup.report(docs(spark, *table)).collect()), key=key) == cut_brute(table, 50)
+    want = cut_brute(table, 50)
+    for anchor_bytes in (suffix_dedup.ANCHOR_BYTES, 300, 60):  # the last two: most anchors are too large to be gathered
+        assert sorted(map(tuple, suffix_dedup.report(docs(spark, *table), anchor_bytes=anchor_bytes).collect()), key=key) == want
 
 
 def test_common_prefixes():
@@ -452,6 +534,9 @@ def test_links_are_complete(spark, bits):
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (200, 200)], "a long, b long")
     assert {tuple(r) for r in components(edges).collect()} == {*((i, 0) for i in range(21)), (100, 100), (101, 100), (102, 100)}
+    hub = [(1000, 1001 + i) for i in range(300)] + [(5, 5000 - i) for i in range(200)] + [(1100, 4900)]
+    assert {tuple(r) for r in components(spark.createDataFrame(hub, "a long, b long")).collect()} == {(i, 5) for e in hub for i in e}
+    assert components(edges.limit(0)).count() == 0
 
 
 # the pipeline

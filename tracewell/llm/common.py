@@ -64,6 +64,18 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = 200_000) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, n_rows: int, most: int = 10_000) -> DataFrame:
+    """``rows`` with the one row of ``totals`` of their key, which has how many rows that is (column ``n_of_key``).
+
+    Keys of more than ``n_rows / most`` rows are at most ``most``, so they are broadcast and their rows
+    stay where they are; all others are shuffled, and none of them can fill a task.
+    """
+    share = max(64, n_rows // most)
+    hot = F.broadcast(totals.where(F.col("n_of_key") > share))
+    rest = rows.join(hot.select(key), key, "left_anti").join(totals.where(F.col("n_of_key") <= share).hint("merge"), key)
+    return rows.join(hot, key).unionByName(rest).drop("n_of_key")
+
+
 def running_start(counts: DataFrame, key: str, amount: str, out: str, block: int = 4096) -> DataFrame:
     """Exclusive running sum of ``amount`` in order of the long ``key`` (0, 1, 2, ...), in two levels.
 

@@ -12,8 +12,8 @@ Texts and items are compared as their words (letters and digits) in lower case,
 joined by one space.
 
 Defined results: null and empty texts have no match; an item of fewer than q
-characters is no evidence and is never matched, one too short for its share of edits
-has the budget that the lemma still bounds; equal items match alike; every place of an
+characters is found only where it is the whole text, one too short for its share of
+edits is looked for by shorter grams, for which the lemma still has a bound; equal items match alike; every place of an
 item that does not overlap a better one is a row; repeated rows repeat; columns
 besides doc_id and text (item_id and text) are ignored; empty tables give no rows.
 """
@@ -42,7 +42,6 @@ MATCHES = "doc_id long, item_id long, start int, stop int, edits int"
 
 _words = re.compile(r"[^\W_]+")
 _factor = 0x9E3779B97F4A7C15
-_table_bits = 20
 
 
 def normalise(text: str) -> str:
@@ -114,13 +113,13 @@ class Items:
         self.item = np.repeat(np.arange(len(found)), [len(g) for g in found])[order]
         self.place = np.concatenate([*[np.arange(len(g)) for g in found], np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.first = np.r_[first, len(gram)].astype(np.int64)
-        self.table = np.zeros(1 << _table_bits, bool)
+        self.table_bits = max(20, (8 * len(self.gram)).bit_length())  # at most one slot of four is taken
+        self.table = np.zeros(1 << self.table_bits, bool)
         self.table[self.slot(self.gram)] = True
 
-    @staticmethod
-    def slot(gram: np.ndarray) -> np.ndarray:
+    def slot(self, gram: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((gram ^ gram >> np.uint64(29)) * np.uint64(_factor) >> np.uint64(64 - _table_bits)).astype(np.int64)
+            return ((gram ^ gram >> np.uint64(29)) * np.uint64(_factor) >> np.uint64(64 - self.table_bits)).astype(np.int64)
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text position, item and item position of every shared q-gram."""
@@ -196,26 +195,50 @@ def banded(wanted: np.ndarray, text: np.ndarray, low: int, high: int, anchored:
     return min(max(0, at + low + len(wanted)), len(text)), int(row[at])
 
 
-def search(text: str, items: Items) -> list[tuple[int, int, int, int]]:
-    """(item number, start, stop, edits) in the original text; of overlapping places of an item the best stays."""
-    codes = letters(normalise(text))
-    if len(codes) < items.q or not len(items.gram):
-        return []
-    found: dict[int, list] = {}
-    for item, diagonal in items.regions(codes):
-        if (place := items.align(codes, item, diagonal)) is not None:
-            found.setdefault(item, []).append(place)
-    out = []
-    for item, places in found.items():
-        chosen: list[tuple[int, int, int]] = []
-        for start, stop, edits in sorted(set(places), key=lambda p: (p[2], p[0], p[1])):
-            if all(stop <= a or start >= z for a, z, _ in chosen):
-                chosen.append((start, stop, edits))
-        out += [(item, *original_span(text, start, stop), edits) for start, stop, edits in chosen]
+@dataclass
+class Block:
+    """The items of a block: those that are searched, by the length of their q-grams, and those that must be the whole text."""
+
+    sets: list[Items]
+    whole: dict[str, list[int]]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, str]], q: int = Q, edit_share: float = EDIT_SHARE) -> Block:
+        by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
+        whole: dict[str, list[int]] = {}
+        for item_id, text in rows:
+            words = normalise(text)
+            if len(words) >= q:
+                # m characters with k edits share a gram of q or fewer for certain only if q <= m / (k + 1)
+                own = min(q, len(words) // (int(len(words) * edit_share) + 1))
+                by_q.setdefault(max(1, own), []).append((item_id, letters(words)))
+            elif words:
+                whole.setdefault(words, []).append(item_id)
+        return cls([Items([i for i, _ in found], [c for _, c in found], own, edit_share) for own, found in sorted(by_q.items())], whole)
+
+
+def search(text: str, block: Block) -> list[tuple[int, int, int, int]]:
+    """(item_id, start, stop, edits) in the original text; of overlapping places of an item the best stays."""
+    words = normalise(text)
+    codes, out = letters(words), []
+    for items in block.sets:
+        if len(codes) < items.q:
+            continue
+        found: dict[int, list] = {}
+        for item, diagonal in items.regions(codes):
+            if (place := items.align(codes, item, diagonal)) is not None:
+                found.setdefault(item, []).append(place)
+        for item, places in found.items():
+            chosen: list[tuple[int, int, int]] = []
+            for start, stop, edits in sorted(set(places), key=lambda p: (p[2], p[0], p[1])):
+                if all(stop <= a or start >= z for a, z, _ in chosen):
+                    chosen.append((start, stop, edits))
+            out += [(items.ids[item], *original_span(text, start, stop), edits) for start, stop, edits in chosen]
+    out += [(item_id, *original_span(text, 0, len(words)), 0) for item_id in block.whole.get(words, ())]
     return sorted(out)
 
 
-def _blocks(benchmark: DataFrame, q: int, edit_share: float) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, q: int, edit_share: float) -> Iterator[Block]:
     """The items in blocks; each holds about ``BLOCK_CHARS`` characters, whatever their number."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -223,7 +246,7 @@ def _blocks(benchmark: DataFrame, q: int, edit_share: float) -> Iterator[Items]:
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()  # one block
         if rows:
-            yield Items([r.item_id for r in rows], [letters(normalise(r.text)) for r in rows], q, edit_share)
+            yield Block.of([(r.item_id, r.text) for r in rows], q, edit_share)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
@@ -231,16 +254,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float
     spark = docs.sparkSession
     small_batches(spark)
 
-    def scan(items: Items) -> DataFrame:
+    def scan(block: Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(d, items.ids[i], a, z, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, a, z, e in search(t, items)]
+                rows = [(d, *place) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for place in search(t, block)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "start", "stop", "edits"])
 
         return id_and_text(docs).mapInArrow(run, MATCHES)
 
-    found = [scan(items) for items in _blocks(benchmark, q, edit_share)]
+    found = [scan(block) for block in _blocks(benchmark, q, edit_share)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], MATCHES)
 
 
@@ -249,13 +272,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: fl
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
-    def without(items: Items):
+    def without(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not search(t or "", items) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not search(t or "", block) for t in b.column(at).to_pylist()], pa.bool_()))
 
         return run
 
-    for items in _blocks(benchmark, q, edit_share):
-        docs = docs.mapInArrow(without(items), docs.schema)
+    for block in _blocks(benchmark, q, edit_share):
+        docs = docs.mapInArrow(without(block), docs.schema)
     return docs

@@ -4,9 +4,9 @@ A key is the text without white space.  Each row first becomes a narrow entry
 (64-bit hash, SHA-256, length); the histogram of hash prefixes decides the
 directory: it starts with one bucket and, while a bucket is overfull, splits that
 bucket by one more bit of the hash, doubling the directory when the bucket was
-already as deep as it.  Texts then go to the owner task of their bucket.  An owner
-meets its keys in hash order, chains the keys that collide and compares their
-bytes.  Map tasks combine equal texts first, so a text that fills a third of the
+already as deep as it.  Owner tasks take equal ranges of the hashes, as many as the
+bytes ask for, whatever the number of buckets.  An owner meets its keys in hash
+order, chains the keys that collide and compares their bytes.  Map tasks combine equal texts first, so a text that fills a third of the
 rows arrives once from each of them.  The buckets are written as files to the
 shared folder and the entries joined to them give every row its group.
 
@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, fresh_path, id_and_text, small_batches, written
 
-#: Distinct keys that a bucket holds before it is split.
+#: Distinct keys that a bucket holds before it is split, at least; more where the directory would pass 2**MAX_DEPTH slots.
 BUCKET_CAPACITY = 8192
-#: Depth at which splitting ends; also bounds the histogram that the driver reads.
+#: Bounds the histogram and the directory on the driver. Keys with equal leading bits to this depth stay in one bucket, in order.
 MAX_DEPTH = 16
+#: Code points for each owner task.
+OWNER_CHARS = 32 << 20
 #: Bytes of text that a map task keeps for combining before it hands them on.
 COMBINE_BYTES = 48 << 20
 
 ENTRY = "doc_id long, h long, sha string, n_chars long"
-KEPT = "bucket int, h long, sha string, n_chars long, doc_id long, rows long, key binary"
+KEPT = "owner int, bucket int, h long, sha string, n_chars long, doc_id long, rows long, key binary"
 
 
 def key_bytes(text: str) -> bytes:
@@ -102,12 +104,12 @@ def _better(a: tuple[int, int | None], b: tuple[int, int | None]) -> bool:
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["bucket", "h", "sha", "n_chars", "doc_id", "rows", "key"]
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["owner", "bucket", "h", "sha", "n_chars", "doc_id", "rows", "key"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _combiner(directory: Directory):
+def _combiner(directory: Directory, owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         size = 0
@@ -118,7 +120,7 @@ def _combiner(directory: Directory):
                 out = []
                 for key, (best, n) in items[i : i + 500]:
                     h = xxhash.xxh64_intdigest(key)
-                    out.append((directory.bucket_of(h), h - (1 << 64) if h >> 63 else h, hashlib.sha256(key).hexdigest(), best[0], best[1], n, key))
+                    out.append((h * owners >> 64, directory.bucket_of(h), h - (1 << 64) if h >> 63 else h, hashlib.sha256(key).hexdigest(), best[0], best[1], n, key))
                 yield _emit(out)
 
         for b in batches:
@@ -140,27 +142,27 @@ def _combiner(directory: Directory):
 
 
 def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (bucket, h); keys of one hash form a chain and are told apart by their bytes."""
+    """Rows come in order of h; keys of one hash form a chain and are told apart by their bytes."""
     at, chain = None, []
 
     def chained() -> list[tuple]:
-        if len({r[2] for r in chain}) < len(chain):
+        if len({r[3] for r in chain}) < len(chain):
             raise ValueError("two different texts have one SHA-256")
         return [tuple(r) for r in chain]
 
     for b in batches:
         out = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
-            if (row[0], row[1]) != at:
+            if row[2] != at:
                 out += chained()
-                at, chain = (row[0], row[1]), []
-            same = next((r for r in chain if r[6] == row[6]), None)
+                at, chain = row[2], []
+            same = next((r for r in chain if r[7] == row[7]), None)
             if same is None:
                 chain.append(list(row))
             else:
-                same[5] += row[5]
-                if _better((row[3], row[4]), (same[3], same[4])):
-                    same[3], same[4] = row[3], row[4]
+                same[6] += row[6]
+                if _better((row[4], row[5]), (same[4], same[5])):
+                    same[4], same[5] = row[4], row[5]
         if out:
             yield _emit(out)
     if chain:
@@ -173,18 +175,15 @@ def directory_of(entries: DataFrame, capacity: int, max_depth: int = MAX_DEPTH)
     fine = np.zeros(1 << max_depth, np.int64)
     for slot, n in slots.collect():  # at most 2**max_depth rows
         fine[slot] = n
-    return Directory.of(fine, capacity)
+    return Directory.of(fine, max(capacity, 4 * int(fine.sum()) >> max_depth))
 
 
-def build_index(docs: DataFrame, directory: Directory, path: str) -> DataFrame:
+def build_index(docs: DataFrame, directory: Directory, path: str, owners: int) -> DataFrame:
     """Write the bucket files of ``docs`` to ``path``: a row for each distinct key, in its bucket."""
-    spark = docs.sparkSession
-    buckets = len(directory.local)
-    parts = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    combined = docs.mapInArrow(_combiner(directory), KEPT)
-    owned = combined.repartition(parts, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(_owner, KEPT)
+    combined = docs.mapInArrow(_combiner(directory, owners), KEPT)
+    owned = combined.repartitionById(owners, "owner").sortWithinPartitions("h").mapInArrow(_owner, KEPT)
     owned.write.parquet(path)
-    return spark.read.schema(KEPT).parquet(path)
+    return docs.sparkSession.read.schema(KEPT).parquet(path)
 
 
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
@@ -196,7 +195,10 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     entries = written(docs.mapInArrow(_entries, ENTRY), "entries")
-    index = build_index(docs, directory_of(entries, capacity), fresh_path(docs.sparkSession, "index"))
+    spark = docs.sparkSession
+    chars = entries.agg(F.sum("n_chars")).first()[0] or 0
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // OWNER_CHARS))
+    index = build_index(docs, directory_of(entries, capacity), fresh_path(spark, "index"), owners)
     groups = index.select("h", "sha", F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("rows").alias("group_size"))
     return entries.join(groups, ["h", "sha"]).select(
         "doc_id", "keep_id", "group_size",

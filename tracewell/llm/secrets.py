@@ -17,9 +17,11 @@ empty ledger.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
@@ -41,7 +43,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
-RULE_VERSION = "1"
+
+
+def rule_version(rules: tuple[Rule, ...]) -> str:
+    """A name that changes with the rules, so that findings of other rules are never taken for theirs."""
+    return hashlib.sha256(repr(tuple((r.kind, r.pattern, r.group, r.least) for r in rules)).encode()).hexdigest()[:16]
+
 
 LEDGER = "blob string, rule_version string, findings array<struct<start:int,rank:int,kind:string,stop:int>>"
 
@@ -81,33 +88,38 @@ def findings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(_spans(text, r, i) for i, r in enumerate(rules))))
 
 
-def scan(
-    versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None,
-    rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, ledger_path: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Scan the blobs of ``versions`` that ``ledger`` lacks under ``rule_version``.
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept under ``path``; an empty one where none was begun."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], LEDGER)
+
 
-    Returns a row for each version (path, blob, findings) and the rows that were entered into
-    the ledger, written to ``ledger_path`` (a new folder in the shared one by default).  A
-    later call takes them, with those before, as ``ledger``.
+def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scan the blobs of ``versions`` (every version of every path is a row) that the ledger lacks under these rules.
+
+    Returns a row for each version (path, blob, findings) and the ledger, which stays under
+    ``ledger_path`` for later calls (a new folder in the shared one by default). What is new is
+    appended in one commit; two writers at once may enter a blob twice, which does no harm.
     """
-    spark = versions.sparkSession
+    spark, version = versions.sparkSession, rule_version(rules)
+    ledger_path = ledger_path or fresh_path(spark, "ledger")
     body = F.coalesce(F.col(text), F.lit(""))
     paths = versions.select(F.col(path), hex_of(body).alias("blob"))
     blobs = versions.select(hex_of(body).alias("blob"), body.alias("_body"))
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version)
+    known = open_ledger(spark, ledger_path).where(F.col("rule_version") == version)
+    if not known.isEmpty():
         blobs = blobs.join(known.select("blob"), "blob", "left_anti")
     blobs = blobs.groupBy("blob").agg(F.first("_body").alias("_body"))
-    entered = blobs.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("_body"), rules).alias("findings"))
-    ledger_path = ledger_path or fresh_path(spark, "ledger")
+    entered = blobs.select("blob", F.lit(version).alias("rule_version"), findings(F.col("_body"), rules).alias("findings"))
     entered.write.mode("append").parquet(ledger_path)
-    entered = spark.read.schema(LEDGER).parquet(ledger_path)
-    every = entered if known is None else known.select("blob", "rule_version", "findings").unionByName(entered).dropDuplicates(["blob"])
-    hits = every.where(F.size("findings") > 0).select("blob", "findings")
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path)
+    hits = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
     none = F.lit([]).cast(hits.schema["findings"].dataType)
-    return paths.join(hits, "blob", "left").select(path, "blob", F.coalesce("findings", none).alias("findings")), entered
+    return paths.join(hits, "blob", "left").select(path, "blob", F.coalesce("findings", none).alias("findings")), ledger
 
 
 def hex_of(body: Column) -> Column:
@@ -119,8 +131,8 @@ def spans_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["stop"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame) -> DataFrame:
-    """The digest columns for each row of ``docs``."""
-    found, _ = scan(docs)
+def secret_report(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
+    """The digest columns for each row of ``docs``. Without ``ledger_path`` every blob is new and is scanned."""
+    found, _ = scan(docs, ledger_path=ledger_path)
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(r.kind) for r in RULES), F.sha2(spans_text(F.col("findings")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))

@@ -8,11 +8,13 @@ of a smaller id.  Equal strings have the same least k-gram, their anchor, so:
    that two different texts share come back to their documents;
 3. those documents are cut into segments, runs of windows with one shared anchor;
    equal segments of a bundle are combined, keeping the smallest id, and compressed together before they are shuffled;
-4. the owner of an anchor joins its different segments to one text, builds the
+4. the owner of some anchors joins their different segments to one text, builds the
    transform and extends all intervals backward, breadth first: the boundaries that
    level l adds are the places where the common prefix is l, and expansion stops at
    ``length``.  What is then still one interval is one string, and gets the smallest
    id among its holders;
+   An anchor with more than ``ANCHOR_BYTES`` of different segments is not gathered: its
+   windows become rows and the smallest holder of each is an aggregate;
 5. segments meet their occurrences again, which lose what a smaller id holds.
 
 Defined results: a null text is an empty one; offsets and lengths are bytes of
@@ -34,11 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, written
+from .common import id_and_text, join_totals, small_batches, written
 
 LENGTH, GRAM = 50, 16
-#: Bytes of joined segments that one transform takes, unless one anchor has more.
-BLOCK_BYTES = 2 << 20
+#: Bytes of joined segments that one transform takes, and those that one anchor may add to it.
+BLOCK_BYTES, ANCHOR_BYTES = 2 << 20, 2 << 20
 #: Bytes of segments that a task bundles by owner before they are shuffled.
 BUNDLE_BYTES = 16 << 20
 #: A byte that UTF-8 never holds stands between segments.
@@ -50,7 +52,7 @@ OF_DOC = "doc_id long, tag long, anchors binary"
 SEGMENTS = "doc_id long, tag long, start int, anchor long, key long, body binary, holder long, alone boolean"
 BUNDLES = "part int, anchors binary, sizes binary, bodies binary, holders binary, alone binary"
 OWNED = "anchor long, body binary, holder long, alone boolean"
-LEAST = "anchor long, key long, stops array<int>, holders array<long>"
+LEAST = "anchor long, key long, stops array<int>, holders array<long>, body binary, holder long"
 
 _a, _b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -386,8 +388,8 @@ def combined(group: list[tuple]) -> list[tuple]:
     return list(held.values())
 
 
-def _expand(length: int, k: int):
-    """Rows (anchor, body, holder, alone) come in order of anchor; whole anchors fill a block."""
+def _expand(length: int, k: int, anchor_bytes: int):
+    """Rows (anchor, body, holder, alone) come in order of anchor; whole anchors fill a block. Those of a larger anchor go on as they are."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         anchors, holder, alone = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], bool)
@@ -404,41 +406,68 @@ def _expand(length: int, k: int):
         for i in np.flatnonzero(~able & ~alone).tolist():  # one string that several documents hold
             by_row[i] = ([len(rows[i][1]) - length + 1], [int(holder[i])])
         found = sorted(by_row.items())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i, _ in found], pa.int64()), pa.array(body_keys([rows[i][1] for i, _ in found])), pa.array([x[0] for _, x in found], pa.list_(pa.int32())), pa.array([x[1] for _, x in found], pa.list_(pa.int64()))],
-            ["anchor", "key", "stops", "holders"],
-        )
+        return out([(rows[i][0], int(key), x[0], x[1], None, None) for (i, x), key in zip(found, body_keys([rows[i][1] for i, _ in found]))])
+
+    def apart(rows: list[tuple]) -> pa.RecordBatch:
+        return out([(r[0], int(key), None, None, r[1], r[2]) for r, key in zip(rows, body_keys([r[1] for r in rows]))])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["anchor", "key", "stops", "holders", "body", "holder"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, group, at = [], 0, [], None
+        block, size, group, held, at, large = [], 0, [], 0, None, False
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != at:
-                    group = combined(group)
-                    if len(group) > 1 or (group and not group[0][3]):  # else one document holds the anchor: a chance agreement
-                        if size > BLOCK_BYTES:
-                            yield solve(block)
-                            block, size = [], 0
-                        block += group
-                        size += sum(len(r[1]) for r in group)
-                    at, group = row[0], []
+                    if large:
+                        yield apart(group)
+                    else:
+                        group = combined(group)
+                        if len(group) > 1 or (group and not group[0][3]):  # else one document holds the anchor: a chance agreement
+                            if size > BLOCK_BYTES:
+                                yield solve(block)
+                                block, size = [], 0
+                            block += group
+                            size += sum(len(r[1]) for r in group)
+                    at, group, held, large = row[0], [], 0, False
                 group.append(row)
-                if len(group) % 4096 == 0:  # a passage of many documents comes once from each batch
+                held += len(row[1])
+                if held > anchor_bytes:  # a passage of many documents comes once from each bundle
                     group = combined(group)
-        group = combined(group)
-        if len(group) > 1 or (group and not group[0][3]):
-            block += group
+                    held = sum(len(r[1]) for r in group)
+                    if large or held > anchor_bytes // 2:
+                        yield apart(group)
+                        group, held, large = [], 0, True
+        if large:
+            yield apart(group)
+        else:
+            group = combined(group)
+            if len(group) > 1 or (group and not group[0][3]):
+                block += group
         if block:
             yield solve(block)
 
     return run
 
 
+def windows_apart(rows: DataFrame, length: int) -> DataFrame:
+    """anchor, key, holder and window range [a, z) for the segments (anchor, key, body, holder) of large anchors: every window is a row."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("a")
+    windows = rows.select("anchor", "key", "body", "holder", at).select("anchor", "key", "a", "holder", F.substring("body", F.col("a") + 1, length).alias("window"))
+    windows = written(windows, "windows", "zstd")
+    n = windows.count()
+    if not n:
+        return windows.select("anchor", "key", "holder", "a", F.col("a").alias("z"))
+    least = windows.groupBy("window").agg(F.min("holder").alias("least"), F.count("*").alias("n_of_key"))
+    return join_totals(windows.drop("holder"), least, "window", n).select("anchor", "key", F.col("least").alias("holder"), "a", (F.col("a") + 1).alias("z")).distinct()
+
+
 def squeezed(tagged: DataFrame) -> DataFrame:
     return tagged.select("doc_id", "tag", "text").mapInArrow(_squeeze, "doc_id long, tag long, packed binary")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, anchor_bytes: int = ANCHOR_BYTES) -> tuple[DataFrame, DataFrame]:
     """The narrow table of all rows (doc_id, tag, n_bytes, sha, first) and the byte ranges that go (doc_id, tag, start, stop).
 
     ``first`` is the smallest id of an equal text; ranges are of first texts only and may overlap.
@@ -448,8 +477,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = id_and_text(docs).withColumn("tag", F.xxhash64("text"))
     base = written(tagged.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
-    firsts = base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    base = written(base.join(firsts, "sha", "left"), "firsts")
+    firsts = base.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_of_key"))
+    base = written(join_totals(base, firsts, "sha", base.count()), "firsts")
     packed = tagged.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(_pack(parts, length, k), PACKED)
     shared = packed.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_share(parts), SHARED)
     of_doc = shared.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(_unpack), OF_DOC)
@@ -458,9 +487,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataF
     segments = written(texts.mapInArrow(_cut(parts, length, k), SEGMENTS), "segments", "zstd")
     bundles = segments.where("body is not null").select("anchor", "key", "body", "holder", "alone").mapInArrow(_bundle(parts), BUNDLES)
     owned = bundles.repartitionById(parts, "part").mapInArrow(_unbundle, OWNED).sortWithinPartitions("anchor")
-    least = written(owned.mapInArrow(_expand(length, k), LEAST), "least")
-    runs = least.select("anchor", "key", F.posexplode("holders").alias("i", "holder"), "stops")
+    least = written(owned.mapInArrow(_expand(length, k, anchor_bytes), LEAST), "least")
+    runs = least.where("body is null").select("anchor", "key", F.posexplode("holders").alias("i", "holder"), "stops")
     runs = runs.select("anchor", "key", "holder", F.when(F.col("i") > 0, F.col("stops")[F.col("i") - 1]).otherwise(0).alias("a"), F.col("stops")[F.col("i")].alias("z"))
+    runs = runs.unionByName(windows_apart(least.where("body is not null").select("anchor", "key", "body", "holder"), length))
     gone = segments.select("doc_id", "tag", "start", "anchor", "key").join(runs, ["anchor", "key"]).where("holder < doc_id")
     return base, gone.select("doc_id", "tag", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("z") + (length - 1)).alias("stop"))
 
@@ -488,9 +518,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "tag", "n_removed", "n_spans", "kept_sha256"])
 
 
-def report(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, k: int = GRAM, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    base, gone = repeats(docs, length, k)
+    base, gone = repeats(docs, length, k, anchor_bytes)
     ranges = gone.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # at most the windows of a text
     tagged = id_and_text(docs).withColumn("tag", F.xxhash64("text"))
     stripped = squeezed(tagged).join(ranges, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "ranges").mapInArrow(_strip, "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string")

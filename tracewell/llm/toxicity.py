@@ -1,10 +1,12 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labels are given for documents, so labelled words are derived from a bounded sample
-of labelled rows: word and prefix features that mark toxic documents are picked
-greedily until they explain the toxic ones, and the words that carry a picked
-feature in a toxic document are the toxic words.  A field with two states is fitted
-to windows of those words.  Over a whole text, forward and backward sums give each
+of labelled rows (``SAMPLE``), whose texts are read whole: word and prefix features
+that mark toxic documents are counted in Spark, picked greedily until they explain
+the toxic ones, and the words that carry a picked feature in a toxic document are the
+toxic words.  All of the sampled texts are cut to windows on the executors, equal
+windows are counted, and a field with two states is fitted to them: the driver gets
+features, different windows and two numbers for each sampled text, never a text.  Over a whole text, forward and backward sums give each
 word's marginal; words without any feature of the model all have one potential, so
 stretches of them are one power of the 2x2 step and only the others are visited.
 The peak and the sum of the marginals become a document score by a logistic
@@ -23,23 +25,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches
+from .common import id_and_text, small_batches, written
 
 #: Labelled rows of each class that the fit reads at most; a bound on the fit, not on what is scored.
 SAMPLE = 2000
 PREDICT_AT = 0.7
 PREFIXES = (4, 5)
-MOST_FEATURES = 5000
-WINDOW, WINDOWS_A_DOC = 24, 4
+#: Words of a window; a text is cut to as many as it has.
+WINDOW = 24
 CACHE_WORDS = 600_000
 
 SCORED = "doc_id long, score double, spans array<struct<start:int,stop:int>>"
@@ -147,61 +148,51 @@ class Model:
         return score, spans
 
 
-def _numbers(words: Iterable[str]) -> np.ndarray:
-    """Sorted hashes of the features of words: all that the choice of features keeps of a text."""
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(f) for w in set(words) for f in features(w)], np.uint64))
-
-
-def _unlike(of_doc: list[np.ndarray], share: float = 0.3) -> list[int]:
+def _unlike(of_doc: list[list[str]], share: float = 0.3) -> list[int]:
     """Documents that have less than ``share`` of their features in common with each one chosen before: copies count once."""
     holders: dict[int, list[int]] = {}
     chosen = []
     for i, found in enumerate(of_doc):
-        met = Counter(j for f in found.tolist() for j in holders.get(f, ()))
+        met = Counter(j for f in found for j in holders.get(f, ()))
         if all(c < share * min(len(found), len(of_doc[j])) for j, c in met.items()):
             chosen.append(i)
-            for f in found.tolist():
+            for f in found:
                 holders.setdefault(f, []).append(i)
     return chosen
 
 
-def _pick(of_doc: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, set[int]]:
-    """Candidate features, and those that mark a toxic word.
+def _least(n_toxic: int) -> int:
+    """Toxic documents that a feature must be in, so that it may mark a word."""
+    return max(3, n_toxic // 500)
+
 
-    These are what is too common in unlike toxic documents to be chance, and what is picked
-    greedily to explain the documents that are left.
+def _pick(own: list[list[str]], harm: dict[str, int], n: int, n_toxic: int, n_tried: int) -> set[str]:
+    """Features that mark a toxic word. own: the able features of each toxic document; harm: clean documents that have them.
+
+    These are what is too common in unlike toxic documents to be chance among the ``n_tried``
+    features, and what is picked greedily to explain the documents that are left.
     """
-    n, n_toxic = len(of_doc), int(toxic.sum())
-    bad, n_bad = np.unique(np.concatenate([f for f, t in zip(of_doc, toxic) if t]), return_counts=True)
-    clean, n_clean = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for f, t in zip(of_doc, toxic) if not t)]), return_counts=True)
-    at = np.minimum(np.searchsorted(clean, bad), max(len(clean) - 1, 0))
-    good = np.where(clean[at] == bad, n_clean[at], 0) if len(clean) else np.zeros(len(bad), int)
-    rate = n_toxic / max(n - n_toxic, 1)
-    least = max(3, n_toxic // 500)
-    fit = np.flatnonzero((n_bad >= least) & (n_bad >= 9 * rate * good))
-    fit = fit[np.argsort(-n_bad[fit], kind="stable")][:MOST_FEATURES]
-    able, harm = bad[fit], dict(zip(bad[fit].tolist(), good[fit].tolist()))
-    known = np.sort(able)
-    own = [f[np.isin(f, known, assume_unique=True)] for f, t in zip(of_doc, toxic) if t]
-    chance = math.log(n / n_toxic) if n_toxic < n else 0.7
-    apart = Counter(f for i in _unlike(own) for f in own[i].tolist())
-    picked = {f for f in able.tolist() if apart[f] * chance >= math.log(2 * len(bad)) and apart[f] >= 9 * rate * harm[f]}
-    left = {i for i, found in enumerate(own) if picked.isdisjoint(found.tolist())}
-    docs_of: dict[int, set[int]] = {}
+    rate, chance = n_toxic / max(n - n_toxic, 1), math.log(n / n_toxic) if n_toxic < n else 0.7
+    apart = Counter(f for i in _unlike(own) for f in own[i])
+    picked = {f for f in sorted(harm) if apart[f] * chance >= math.log(2 * n_tried) and apart[f] >= 9 * rate * harm[f]}
+    left = {i for i, found in enumerate(own) if picked.isdisjoint(found)}
+    docs_of: dict[str, set[int]] = {}
     for i in left:
-        for f in own[i].tolist():
+        for f in own[i]:
             docs_of.setdefault(f, set()).add(i)
     while left and docs_of:
         best = max(docs_of, key=lambda f: (len(docs_of[f] & left) - rate * harm[f], len(docs_of[f]), f))
-        if len(docs_of[best] & left) < least:
+        if len(docs_of[best] & left) < _least(n_toxic):
             break
         left -= docs_of.pop(best)
         picked.add(best)
-    return able, picked
+    return picked
 
 
-def _fit_chain(x: np.ndarray, y: np.ndarray, live: np.ndarray, n_features: int, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood of windows. x: feature numbers (n_features: none) of each word; y: states; live: words that are there."""
+def _fit_chain(
+    x: np.ndarray, y: np.ndarray, live: np.ndarray, times: np.ndarray, n_features: int, rounds: int = 120, ridge: float = 1e-3
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum likelihood of windows. x: feature numbers (n_features: none) of each word; y: states; live: words that are there; times: of each window."""
     w, bias, steps = np.zeros(n_features + 1), -2.0, np.zeros((2, 2))
     square_w, square_b, square_s = np.full(n_features + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     size, length = y.shape
@@ -224,11 +215,11 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, live: np.ndarray, n_features: int,
             for i in (0, 1):
                 for j in (0, 1):
                     pair = np.exp(before[:, i] + steps[i, j] + into[:, j] - total)
-                    grad_s[i, j] += (((prior == i) & (y[:, t] == j)) * 1.0 - pair)[live[:, t]].sum()
+                    grad_s[i, j] += (times * (((prior == i) & (y[:, t] == j)) * 1.0 - pair))[live[:, t]].sum()
             nxt = np.stack([np.logaddexp(steps[i, 0] + into[:, 0], steps[i, 1] + into[:, 1]) for i in (0, 1)], 1)
             back = np.where(live[:, t, None], nxt, back)
-        residual = np.where(live, y - m, 0)
-        grad_w = np.bincount(x.ravel(), np.repeat(residual.ravel(), x.shape[2]), n_features + 1) - ridge * size * w / max(length, 1)
+        residual = np.where(live, y - m, 0) * times[:, None]
+        grad_w = np.bincount(x.ravel(), np.repeat(residual.ravel(), x.shape[2]), n_features + 1) - ridge * times.sum() * w / max(length, 1)
         grad_w[n_features] = 0
         grad_b = residual.sum()
         square_w += grad_w**2
@@ -251,61 +242,93 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return tuple(map(float, c))
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
-    """A model from (text, toxic) rows; of equal texts one is used. Texts are gone through one at a time."""
-    rows = sorted(dict(rows).items())
-    toxic = np.array([t for _, t in rows], bool)
-    if not toxic.any():
-        return Model()
-    able, picked = _pick([_numbers(text.split()) for text, _ in rows], toxic)
-    number = {f: i for i, f in enumerate(able.tolist())}
-    none, names, seen = len(able), {}, {}
-    rng = np.random.default_rng(seed)
-    width = 1 + len(PREFIXES)
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different features of each text, a row for each."""
+    for b in batches:
+        for i, text, toxic in zip(*(b.column(c).to_pylist() for c in ("row", "text", "toxic"))):
+            found = sorted({f for w in set(text.split()) for f in features(w)})
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], ["row", "toxic", "feature"])
 
-    def known(word: str) -> list[int]:
-        """Numbers of the word's features that the model may use."""
-        if (out := seen.get(word)) is None:
-            if len(seen) > 100_000:
-                seen.clear()
-            found = [(xxhash.xxh3_64_intdigest(f), f) for f in features(word)]
-            names.update((number[h], f) for h, f in found if h in number)
-            out = seen[word] = [number[h] for h, _ in found if h in number]
-        return out
-
-    marks = {number[f] for f in picked}
-    xs, ys, alive = [], [], []
-    for (text, _), t in zip(rows, toxic):
-        if not (words := text.split()):
-            continue
-        y = [int(not marks.isdisjoint(known(w))) for w in words] if t else [0] * len(words)
-        starts = {max(0, i - int(rng.integers(WINDOW))) for i in [i for i, v in enumerate(y) if v][:WINDOWS_A_DOC]}
-        starts.add(int(rng.integers(max(1, len(words) - WINDOW))))
-        for s in sorted(starts):
-            own = words[s : s + WINDOW]
-            pad = WINDOW - len(own)
-            xs.append([(known(w) + [none] * width)[:width] for w in own] + [[none] * width] * pad)
-            ys.append(y[s : s + WINDOW] + [0] * pad)
-            alive.append([True] * len(own) + [False] * pad)
-    w, bias, steps = _fit_chain(np.array(xs, np.int32), np.array(ys, np.int8), np.array(alive), none)
-    model = Model({names[i]: float(v) for i, v in enumerate(w) if abs(v) > 1e-3 and i in names}, float(bias), tuple(map(tuple, steps.tolist())))
-    sums = []
-    for text, _ in rows:
-        words = text.split()
-        sums.append(model.summary(model.marks(words), len(words))[:2])
-    model.calibration = _calibrate(np.array(sums), toxic * 1.0)
-    model.known.clear()
+
+def _windows_of(number: dict[str, int], marks: set[int], window: int = WINDOW):
+    """Windows of whole texts, packed: feature numbers and states of their words."""
+    none, width = len(number), 1 + len(PREFIXES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        for b in batches:
+            found: Counter[tuple[bytes, bytes]] = Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                words = text.split()
+                if len(seen) > CACHE_WORDS:
+                    seen.clear()
+                for w in set(words) - seen.keys():
+                    seen[w] = [number[f] for f in features(w) if f in number]
+                for s in range(0, len(words), window):
+                    own = [seen[w] for w in words[s : s + window]]
+                    x = np.array([(f + [none] * width)[:width] for f in own], "<i4").tobytes()
+                    y = bytes(int(bool(toxic) and not marks.isdisjoint(f)) for f in own)
+                    found[x, y] += 1
+            rows = list(found.items())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.binary()), pa.array([k[1] for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["x", "y", "n"])
+
+    return run
+
+
+def _summaries_of(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [t.split() for t in b.column("text").to_pylist()]
+            found = [model.summary(model.marks(words), len(words)) for words in split]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("toxic"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], ["row", "toxic", "odds", "total"])
+
+    return run
+
+
+def _unpacked(windows: list, none: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    width = 1 + len(PREFIXES)
+    x = np.full((len(windows), window, width), none, np.int32)
+    y, live = np.zeros((len(windows), window), np.int8), np.zeros((len(windows), window), bool)
+    for i, r in enumerate(windows):
+        n = len(r.y)
+        x[i, :n], y[i, :n], live[i, :n] = np.frombuffer(r.x, "<i4").reshape(n, width), np.frombuffer(r.y, np.int8), True
+    return x, y, live, np.array([r.n for r in windows], float)
+
+
+def fit(sample: DataFrame) -> Model:
+    """A model from the different texts of ``sample`` (row, text, toxic), read several times."""
+    sizes = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic")).first()
+    n, n_toxic = sizes["n"], sizes["n_toxic"] or 0
+    if not n_toxic:
+        return Model()
+    found = sample.mapInArrow(_features_of, "row long, toxic int, feature string")
+    counts = found.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where("bad > 0")
+    counts = written(counts, "features")
+    able = counts.where((F.col("bad") >= _least(n_toxic)) & (F.col("bad") >= 9 * n_toxic / max(n - n_toxic, 1) * F.col("good"))).select("feature", "good")
+    harm = {r.feature: r.good for r in able.collect()}  # of a bounded sample
+    holds = found.where("toxic = 1").join(able.select("feature"), "feature").groupBy("row").agg(F.sort_array(F.collect_list("feature")).alias("own"))
+    own = [r.own for r in sorted(holds.collect())]
+    picked = _pick(own + [[]] * (n_toxic - len(own)), harm, n, n_toxic, counts.count())
+    number = {f: i for i, f in enumerate(sorted(harm))}
+    cut = sample.mapInArrow(_windows_of(number, {number[f] for f in picked}), "x binary, y binary, n long")
+    windows = sorted(cut.groupBy("x", "y").agg(F.sum("n").alias("n")).collect())  # different ones alone
+    w, bias, steps = _fit_chain(*_unpacked(windows, len(number)), len(number))
+    model = Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, float(bias), tuple(map(tuple, steps.tolist())))
+    sums = sorted(sample.mapInArrow(_summaries_of(model), "row long, toxic int, odds double, total double").collect())  # numbers of a bounded sample
+    model.calibration = _calibrate(np.array([(r.odds, r.total) for r in sums]), np.array([r.toxic for r in sums], float))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of each class, drawn by a hash of their ids among those not held out."""
+    """Fit on at most ``sample`` labelled rows of each class, drawn by a hash of their ids among those not held out; of equal texts one is used."""
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = lambda kind: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     drawn = F.broadcast(draw(0).unionByName(draw(1)))  # at most 2 * sample pairs of numbers
-    rows = id_and_text(docs).join(drawn, "doc_id").select("text", "toxic").collect()
-    return fit([(r.text, r.toxic) for r in rows])
+    rows = id_and_text(docs).join(drawn, "doc_id").groupBy("text").agg(F.min("doc_id").alias("row"), F.max("toxic").alias("toxic"))
+    small_batches(docs.sparkSession)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fit(written(rows.repartition(parts, "row"), "sample"))
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,12 +3,16 @@
 Listed rules name a host, with its subdomains, and the beginning of a path; of those
 that fit, the longest decides.  All other URLs are judged by association rules: the
 tokens of labelled URLs (scheme, host labels and suffixes, path words, query keys,
-file type) are mined by Spark's FP-growth together with the label, rules that lead
-to a block are kept if their support and confidence suffice (allow is what stays without them), and each rule is posted
-in an inverted index under its rarest token.  A URL meets only the rules posted
-under its own tokens and a rule applies if the URL has all its tokens; the most
-confident one decides, then the one with more support, then block.  URLs with equal
-token sets are judged once.
+file type) are mined by Spark's FP-growth together with the label.  Rules that lead
+to either verdict are kept if their support and confidence suffice and they are right
+more often than the verdict is anyway (lift of 1 or more).  Each rule is posted in an
+inverted index under its rarest token.  A URL meets only the rules posted under its
+own tokens and a rule applies if the URL has all its tokens.  The one with the
+highest rank decides, then the more confident, then the one with more support, then
+block.  The rank of a rule is its lift, but not below that of a less confident rule
+whose tokens are among its own: the exception beats what it is an exception to.
+URLs with equal token sets are judged once.  The support floor is a share of the labelled
+URLs, so a host with fewer labelled URLs than that has no rule of its own.
 
 Labels belong to documents; a page shows the document whose id is the last number
 of its path.
@@ -36,7 +40,7 @@ LISTED = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "ww
 MIN_SUPPORT, MIN_EXAMPLES, MIN_CONFIDENCE = 0.002, 20, 0.6
 DEFAULT = "allow"
 
-RULES = "rule_id long, tokens array<string>, verdict string, confidence double, support double, rarest string"
+RULES = "rule_id long, tokens array<string>, verdict string, confidence double, support double, lift double, rank double, rarest string"
 
 _upper, _lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,7 +88,7 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_examples: int = MIN_EXAMPLES) -> DataFrame:
-    """Rules (see ``RULES``) from tokens to a block, mined from all of ``examples`` (tokens, verdict)."""
+    """Rules (see ``RULES``) from tokens to a verdict, mined from all of ``examples`` (tokens, verdict)."""
     spark = examples.sparkSession
     baskets = examples.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     if not (n := baskets.count()):
@@ -93,29 +97,38 @@ def mine(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     ones = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("_token"), F.col("freq").alias("_freq"))
     told = F.col("consequent")[0]
-    rules = model.associationRules.where(told == "verdict:block")
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(told, 9, 100).alias("verdict"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens", "verdict"))
+    rules = model.associationRules.where(F.startswith(told, F.lit("verdict:")) & (F.col("lift") >= 1))
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(told, 9, 100).alias("verdict"), "confidence", "support", "lift").withColumn("rule_id", F.xxhash64("tokens", "verdict"))
     rarest = rules.select("rule_id", F.explode("tokens").alias("_token")).join(ones, "_token").groupBy("rule_id").agg(F.min_by("_token", F.struct("_freq", "_token")).alias("rarest"))
-    return written(rules.join(rarest, "rule_id").select("rule_id", "tokens", "verdict", "confidence", "support", "rarest"), "rules")
+    rules = written(rules.join(rarest, "rule_id"), "rules")
+    within = fitting(rules.select("tokens", F.col("confidence").alias("_sure")), rules).where(F.col("confidence") < F.col("_sure"))
+    beaten = within.groupBy("tokens").agg(F.max("lift").alias("_beaten"))
+    ranked = rules.join(beaten, "tokens", "left").withColumn("rank", F.greatest("lift", F.coalesce("_beaten", "lift")))
+    return written(ranked.select("rule_id", "tokens", "verdict", "confidence", "support", "lift", "rank", "rarest"), "rules")
+
+
+def fitting(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """``token_sets`` (sorted ``tokens`` and other columns) with each rule that applies, found under its rarest token."""
+    index = rules.select(F.col("rarest").alias("_token"), F.col("tokens").alias("needs"), *(c for c in ("verdict", "confidence", "support", "lift", "rank") if c in rules.columns))
+    met = token_sets.withColumn("_token", F.explode("tokens")).join(bounded_broadcast(index, rules.count()), "_token").drop("_token")
+    return met.where(F.size(F.array_except("needs", "tokens")) == 0)
 
 
 def judge(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens and verdict for the token sets to which a rule applies; ``token_sets`` has distinct sorted ``tokens``."""
-    index = rules.select(F.col("rarest").alias("_token"), F.col("tokens").alias("_needs"), "verdict", "confidence", "support")
-    met = token_sets.select("tokens", F.explode("tokens").alias("_token")).join(bounded_broadcast(index, rules.count()), "_token")
-    fits = met.where(F.size(F.array_except("_needs", "tokens")) == 0)
-    return fits.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict")).alias("_best")).select("tokens", F.col("_best.verdict").alias("verdict"))
+    """tokens, verdict and the deciding rule (its tokens) for the token sets to which a rule applies; ``token_sets`` has distinct sorted ``tokens``."""
+    best = fitting(token_sets.select("tokens"), rules).groupBy("tokens").agg(F.max(F.struct("rank", "confidence", "support", "verdict", "needs")).alias("_best"))
+    return best.select("tokens", F.col("_best.verdict").alias("verdict"), F.col("_best.needs").alias("needs"))
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, listed: Sequence[tuple[str, str, str]] = LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_examples: int = MIN_EXAMPLES) -> DataFrame:
-    """page_id, host, path, rule, verdict and what decided (``by``: list, mined or default) for each page."""
+    """page_id, host, path, rule, verdict, what decided (``by``: list, mined or default) and the tokens of a mined rule for each page."""
     rules = mine(labelled(pages, labels), min_support, min_confidence, min_examples)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_listed", listed_rule(F.col("host"), F.col("path"), listed))
-    by_list = ruled.where("_listed is not null").select("page_id", "host", "path", F.col("_listed.rule").alias("rule"), F.col("_listed.verdict").alias("verdict"), F.lit("list").alias("by"))
+    by_list = ruled.where("_listed is not null").select("page_id", "host", "path", F.col("_listed.rule").alias("rule"), F.col("_listed.verdict").alias("verdict"), F.lit("list").alias("by"), F.lit(None).cast("array<string>").alias("mined_rule"))
     rest = ruled.where("_listed is null").select("page_id", "host", "path", tokens_of(F.col("url")).alias("tokens"))
     mined = judge(rest.select("tokens").distinct(), rules).withColumnRenamed("verdict", "_mined")
     by_rule = rest.join(mined, "tokens", "left").select(
-        "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("_mined", F.lit(DEFAULT)).alias("verdict"), F.when(F.col("_mined").isNotNull(), "mined").otherwise("default").alias("by")
+        "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("_mined", F.lit(DEFAULT)).alias("verdict"), F.when(F.col("_mined").isNotNull(), "mined").otherwise("default").alias("by"), F.col("needs").alias("mined_rule"),
     )
     return by_list.unionByName(by_rule)
