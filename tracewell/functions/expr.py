@@ -109,13 +109,14 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def version_key(c: Column | str, parts: int = 8) -> Column:
-    """Sort key of dotted versions: numbers by value with missing ones 0, others after them by text."""
+def version_key(c: Column | str) -> Column:
+    """Sort key of dotted versions of any length: numbers by value with missing ones 0, others after them by text."""
     bare = F.regexp_replace(F.trim(col(c)), "^v", "")
     numbers = F.transform(F.split(bare, r"\."), lambda p: p.try_cast("long"))
     parsed = (bare != "") & ~F.exists(numbers, lambda n: n.isNull())
-    padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), parts)), 1, parts)
-    return F.struct((~parsed).alias("unparsed"), F.when(parsed, padded).alias("numbers"), F.when(~parsed, col(c)).alias("label"))
+    last = F.array_position(F.reverse(F.transform(numbers, lambda n: n != 0)), True)  # zeros at the end say nothing
+    kept = F.slice(numbers, 1, F.when(last > 0, F.size(numbers) - last + 1).otherwise(0).cast("int"))
+    return F.struct((~parsed).alias("unparsed"), F.when(parsed, kept).alias("numbers"), F.when(~parsed, col(c)).alias("label"))
 
 
 def truncated(c: Column | str, n: int, one_line: bool = True) -> Column:

@@ -88,6 +88,14 @@ def first_plans(plans: DataFrame, *keys: str) -> DataFrame:
     return plans.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def by_lookup(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sessions with a file path, session id or cache key that ``wanted`` (provider, kind, value) names; a row once."""
+    keys = wanted.select("provider", "kind", "value").distinct()
+    named = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("file_path", "session_id", "cache_key")))
+    rows = sessions.withColumn("_named", F.explode(named)).withColumns({"kind": F.col("_named.kind"), "value": F.col("_named.value")}).drop("_named")
+    return rows.join(keys, ["provider", "kind", "value"], "left_semi").drop("kind", "value").dropDuplicates(["provider", "file_path"])
+
+
 def replaced(old: DataFrame, new: DataFrame, keys: DataFrame, key: str = "cache_key") -> DataFrame:
     """Old rows but those of ``keys``, and the new rows."""
     return old.join(keys.select(key).distinct(), key, "left_anti").unionByName(new)
@@ -108,7 +116,7 @@ def paired(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame
 def in_version_order(df: DataFrame, version: str = "version") -> DataFrame:
     """Rows with their place in version order."""
     places = df.select(version).distinct().withColumn("place", F.row_number().over(Window.orderBy(version_key(version), version)))
-    return df.join(F.broadcast(places), version)
+    return df.join(places, version)
 
 
 def without_adjacent_repeats(messages: DataFrame, *keys: str, order: str = "ordinal") -> DataFrame:
