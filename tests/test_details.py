@@ -107,7 +107,7 @@ def test_performance_maps_and_plans(spark, tmp_path):
         (tmp_path / name / "p").mkdir(parents=True)
         (tmp_path / name / "p/f.jsonl").write_text("\n".join(map(json.dumps, rows)))
     record = provider_a.records(spark, str(tmp_path / "a"))
-    first = provider_a.grouped(provider_a.sessions(record, provider_a.messages(record)))
+    first = provider_a.grouped(provider_a.sessions(record, provider_a.messages(record).persist())).persist()
     p = first.first().performance
     assert p.api_error_counts == {"overloaded": 1, "status_500": 1} and p.stop_reason_counts == {"end_turn": 1}
     assert p.service_tier_counts == {"standard": 1} and p.speed_counts == {"fast": 1} and p.server_tool_use_counts == {"web_search_requests": 2} and (p.duration_ms, p.max_retry_delay_ms) == (30, 1.5)
