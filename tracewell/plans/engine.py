@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,17 @@ from tracewell.functions.expr import TOKENS
 from tracewell.operators import activity, cache, catalogue, overview, performance, search, sequence, tools
 from tracewell.operators import sessions as session_ops
 from tracewell.operators.filters import Filter, choices
+from tracewell.plans import splice
+from tracewell.plans.affected import HEAD, affected
 from tracewell.plans.timeframe import TimeRange
 from tracewell.plans.transcript import blocks
 from tracewell.sources import provider_a, provider_b
 from tracewell.sources.jsonl import lines, malformed
-from tracewell.sources.store import Store, ensure_checkpoints
+from tracewell.sources.store import Store, changes, ensure_checkpoints, manifest, shared_folder
 
-SESSION_TABLES = ("sessions", "conversations", "messages", "turns", "sequences", "rollup", "chunks")
+#: Tables whose rows belong to one conversation each, and all tables.
+KEYED = ("sessions", "conversations", "messages", "transcripts", "turns", "sequences", "chunks", "postings")
+SESSION_TABLES = (*KEYED, "rollup")
 
 
 @dataclass
@@ -32,38 +37,93 @@ class Engine:
     def build(self) -> dict[str, int]:
         """Read all logs and write every table anew; returns their rows."""
         ensure_checkpoints(self.spark)
-        made, message = [], None
+        files = self._files().checkpoint()  # as they are before they are read
+        rows = self._fill(self.store)
+        self.store.write("files", files)
+        return rows
+
+    def refresh(self) -> bool:
+        """Bring all tables up to the logs; returns whether anything was done.
+
+        Only conversations that changed files touch are made anew, from their own files, and take the place of
+        their earlier rows; the rollup is added up from the stored rows. Without current tables all is built.
+        """
+        ensure_checkpoints(self.spark)
+        if any(self.store.current(name) is None for name in (*SESSION_TABLES, "files")):
+            self.build()
+            return True
+        files = self._files().checkpoint()
+        state = changes(files, self.store.read("files")).where("state <> 'same'").checkpoint()
+        if state.isEmpty():
+            return False
+        fresh = state.where("state <> 'gone'").select("path")
+        held: list[DataFrame] = []
+        heads = self._parsed(held, fresh)[0].select(*HEAD).checkpoint()
+        for df in held:
+            df.unpersist()
+        bad = reduce(DataFrame.unionByName, [malformed(lines(self.spark, root, fresh)) for _, root in self._roots()])
+        keys, paths = affected(self.store.read("sessions"), heads, state, bad.checkpoint())
+        made = Store(self.spark, shared_folder(self.spark, "refresh"))
+        self._fill(made, paths)
+        for name in KEYED:
+            self.store.replace(name, made.read(name), keys)
+        self.store.write("rollup", self._rollup(self.store))
+        self.store.write("files", files)
+        return True
+
+    def _roots(self) -> list[tuple[str, str]]:
+        return [(name, root) for name, root in (("claude", self.a), ("codex", self.b)) if root]
+
+    def _files(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [manifest(self.spark, root) for _, root in self._roots()])
+
+    def _parsed(self, held: list[DataFrame], only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Sessions and messages of both providers, of the paths in ``only``; what is persisted for them is added to ``held``."""
+        made, message, none = [], [], F.lit(None).cast("string")
+        hold = lambda df: held.append(df.persist()) or held[-1]
         if self.a:
-            record = provider_a.records(self.spark, self.a).persist()
-            said = provider_a.messages(record).persist()
-            made.append(provider_a.grouped(provider_a.sessions(record, said)))
-            message = said
+            record = hold(provider_a.records(self.spark, self.a, only))
+            said = hold(provider_a.messages(record))
+            made.append(provider_a.grouped(provider_a.sessions(record, said)).withColumns({"parent": none, "agent_label": none}))
+            message.append(said)
         if self.b:
-            record = provider_b.records(self.spark, self.b).persist()
-            made.append(provider_b.grouped(provider_b.sessions(record)).drop("parent"))
-            said = provider_b.messages(record)
-            message = said if message is None else message.unionByName(said)
+            record = hold(provider_b.records(self.spark, self.b, only))
+            made.append(provider_b.grouped(hold(provider_b.sessions(record))))  # the search for roots reads them many times
+            message.append(provider_b.messages(record))
         fields = sorted({f for df in made for f in df.schema["performance"].dataType.names})
         even = [df.withColumn("performance", F.struct(*(F.col(f"performance.{f}").alias(f) for f in fields))) for df in made]
-        sessions = even[0] if len(even) == 1 else even[0].unionByName(even[1])
-        rows = {"sessions": self.store.write("sessions", sessions)}
-        sessions = self.store.read("sessions")
-        rows["conversations"] = self.store.write("conversations", catalogue.rolled_up(sessions).join(sessions.groupBy("cache_key").agg(F.sum("plan_count").alias("plan_count")), "cache_key"))
-        if message is not None:
-            owner = sessions.select("file_path", "cache_key", F.col("ordinal").alias("session_ordinal"), "provider", "version", "model", "project", "is_subagent", F.col("ts").alias("session_ts"))
-            rows["messages"] = self.store.write("messages", message.drop("is_subagent").join(owner, "file_path"))
-            messages = self.store.read("messages")
-            writes = F.aggregate("tool_calls", F.lit(0).cast("long"), lambda n, c: n + session_ops.memory_writes(c["action"]["targets"], c["action"]["type"]))
-            turns = session_ops.build_turns(messages.where("not is_subagent").withColumn("memory_writes", writes), "file_path")
-            rows["turns"] = self.store.write("turns", turns.join(owner.withColumnRenamed("session_ts", "ts"), "file_path"))
-            tokens = messages.withColumn("tokens", sum(F.col(c) for c in TOKENS))
-            behaviour = sequence.collect(sequence.events_of(tokens, "file_path"), "file_path")
-            rows["sequences"] = self.store.write("sequences", behaviour.join(owner.withColumnRenamed("session_ts", "ts"), "file_path"))
-            spent = messages.select("provider", "version", "model", "project", "ts", "session_ts", *TOKENS)
-            rows["rollup"] = self.store.write("rollup", activity.minute_rollup(sessions, spent))
-            rows["chunks"] = self.store.write("chunks", search.chunks(search.message_texts(messages.withColumn("ordinal", F.struct("session_ordinal", "ordinal")), "cache_key"), "cache_key"))
+        return reduce(DataFrame.unionByName, even), reduce(DataFrame.unionByName, message)
+
+    def _fill(self, store: Store, only: DataFrame | None = None) -> dict[str, int]:
+        """Write the tables of the logs, or of the paths in ``only``, to ``store``; each is read back for the next."""
+        held: list[DataFrame] = []
+        found, message = self._parsed(held, only)
+        rows = {"sessions": store.write("sessions", found)}
+        sessions = store.read("sessions")
+        plans = sessions.groupBy("cache_key").agg(F.sum("plan_count").alias("plan_count"))
+        rows["conversations"] = store.write("conversations", catalogue.rolled_up(sessions).join(plans, "cache_key"))
+        owner = sessions.select("file_path", "cache_key", F.col("ordinal").alias("session_ordinal"), "provider", "version", "model", "project", "is_subagent", F.col("ts").alias("session_ts"))
+        rows["messages"] = store.write("messages", message.drop("is_subagent").join(owner, "file_path"))
+        for df in held:
+            df.unpersist()
+        messages = store.read("messages")
+        writes = F.aggregate("tool_calls", F.lit(0).cast("long"), lambda n, c: n + session_ops.memory_writes(c["action"]["targets"], c["action"]["type"]))
+        turns = session_ops.build_turns(messages.where("not is_subagent").withColumn("memory_writes", writes), "file_path")
+        rows["turns"] = store.write("turns", turns.join(owner.withColumnRenamed("session_ts", "ts"), "file_path"))
+        tokens = messages.withColumn("tokens", sum(F.col(c) for c in TOKENS))
+        behaviour = sequence.collect(sequence.events_of(tokens, "file_path"), "file_path")
+        rows["sequences"] = store.write("sequences", behaviour.join(owner.withColumnRenamed("session_ts", "ts"), "file_path"))
+        rows["rollup"] = store.write("rollup", self._rollup(store))
+        rows["transcripts"] = store.write("transcripts", splice.spliced(messages, sessions))
+        texts = search.message_texts(store.read("transcripts").withColumn("ordinal", F.col("place")), "cache_key")
+        rows["chunks"] = store.write("chunks", search.chunks(texts, "cache_key"))
+        rows["postings"] = store.write("postings", search.by_term(search.postings(store.read("chunks"), "cache_key")))
         return rows
 
+    def _rollup(self, store: Store) -> DataFrame:
+        spent = store.read("messages").select("provider", "version", "model", "project", "ts", "session_ts", *TOKENS)
+        return activity.minute_rollup(store.read("sessions"), spent)
+
     def drift(self) -> DataFrame:
         """Unknown kinds and fields in the logs."""
         found = [provider.drift(lines(self.spark, root).where("is_object")) for provider, root in ((provider_a, self.a), (provider_b, self.b)) if root]
@@ -84,7 +144,7 @@ class Engine:
         return choices(self.table("conversations"), self.table("sessions"))
 
     def transcript(self, cache_key: str, **options: bool) -> DataFrame:
-        mine = self.table("messages").where(F.col("cache_key") == cache_key).withColumn("ordinal", F.struct("session_ordinal", "ordinal"))
+        mine = self.table("transcripts").where(F.col("cache_key") == cache_key).withColumn("ordinal", F.col("place"))
         return blocks(mine, **options).orderBy("ordinal")
 
     def search(self, query: str, chosen: Filter = Filter()) -> DataFrame:
@@ -92,9 +152,8 @@ class Engine:
         catalogue_rows = chosen.apply(self.table("conversations"), self.table("sessions"))
         if not search.query_terms(query):
             return catalogue_rows.select("cache_key", "last_ts").orderBy(F.desc("last_ts"), "cache_key")
-        pieces = self.table("chunks")
-        hits = search.matching_chunks(search.postings(pieces, "cache_key"), query, "cache_key")
-        return search.ranked(hits, pieces, catalogue_rows, query, "cache_key")
+        hits = search.matching_chunks(self.table("postings"), query, "cache_key")
+        return search.ranked(hits, self.table("chunks"), catalogue_rows, query, "cache_key")
 
     def snapshot(self, within: TimeRange = TimeRange(), chosen: Filter = Filter()) -> dict[str, DataFrame]:
         """All statistics of a range, one DataFrame for each."""
