@@ -10,14 +10,14 @@ documents but the one that is scored, so no text vouches for itself; with
    batch is named by its content and dealt out once, in a shuffle that all later steps
    read; if lost files of it were made again in another order of rows, the names would
    not meet and the job would fail rather than count wrongly.
-2. Where the scored document is left out, an n-gram of one document counts for
-   nothing.  Each batch sends short hashes of its n-grams, as sorted sets, and learns
-   which of them another batch has too.  Equal hashes of different n-grams only let
-   more through.
-3. The n-grams that are left are rows of their own words, dealt to the bucket that
-   their hash names.  Counts are summed over equal n-grams, told apart by their words,
-   and stand beside each of them: the sum is a window over the bucket's own
-   partition, which joins the table of counts to the n-grams without another shuffle.
+2. Each batch sends its different words as rows.  Over each word's bucket a window sums
+   its counts and ranks it among the bucket's words; rank and bucket make its number,
+   which stands for this word alone.  Batches get back the words that others have too.
+3. An n-gram with a word of one batch alone has all its occurrences there.  The others
+   are rows of the numbers of their words, dealt to buckets.  Counts are summed over
+   equal n-grams and stand beside each of them: the sum is a window over the bucket's
+   own partition, which joins the table of counts to the n-grams without another
+   shuffle.
 4. The totals go back to the batches, in the order asked, and these add up their
    documents.
 
@@ -46,22 +46,20 @@ from .common import id_and_text, small_batches
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in one batch, unless one document has more.
 BATCH_BYTES = 6 << 20
-#: Words of the corpus for each part of the hashes and each bucket of the count table.
+#: Words of the corpus for each bucket of the tables of words and of n-grams.
 PART_WORDS = 1 << 20
 #: Rows that a task packs by batch before they go back.
-PACK_ROWS = 1 << 21
+PACK_ROWS = 1 << 20
 
 BATCHES = "batch long, doc_ids binary, sizes binary, texts binary"
-HASHES = "part int, n int, batch long, hashes binary"
-SHARED = "batch long, n int, part int, bits binary"
-ASKED = "bucket int, batch long, n int, grams string, counts array<long>"
+WORDS = "bucket int, batch long, words array<string>, places array<int>, counts array<int>"
 ANSWERS = "batch long, n int, bucket int, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
 _null_id = -(1 << 63)
 _mix, _mix_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: 64 bits of a word; they deal and sift n-grams but never tell them apart.
+#: 64 bits of a word; they deal words to buckets but never tell them apart.
 HASH: Callable[[bytes], int] = xxhash.xxh3_64_intdigest
 
 
@@ -114,83 +112,51 @@ class Grams:
     of: np.ndarray  # of each occurrence, in order of the words that they end with: its number
     ends: np.ndarray  # for each number, a word with which it ends
     counts: np.ndarray
-    n_docs: np.ndarray  # documents of the batch that hold it
     own: np.ndarray  # of each occurrence: how often its document has it
-    hashes: np.ndarray
 
 
-class Batch:
-    """Words and n-grams of the documents of a batch; n-grams are told apart by the numbers of their words."""
+class Words:
+    """The words of the documents of a batch, numbered as they come."""
 
-    def __init__(self, texts: bytes, sizes: bytes, order: int, hash_of: Callable[[bytes], int] = HASH) -> None:
+    def __init__(self, texts: bytes, sizes: bytes) -> None:
         text, ends = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
         lists = [words_of(text[a:z]) for a, z in zip([0, *ends[:-1]], ends)]
-        self.counts = np.array(list(map(len, lists)), np.int64)
+        self.sizes = np.array(list(map(len, lists)), np.int64)
         number: dict[bytes, int] = {}
         take = number.setdefault
-        self.ids = np.fromiter((take(w, len(number)) for words in lists for w in words), np.int64, int(self.counts.sum()))
+        self.ids = np.fromiter((take(w, len(number)) for words in lists for w in words), np.int64, int(self.sizes.sum()))
         self.vocabulary = list(number)
-        self.doc = np.repeat(np.arange(len(lists)), self.counts)
-        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)  # place in the document
-        self.hash_of_word = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
+        self.counts = np.bincount(self.ids, minlength=len(number))
+
+
+class Batch:
+    """The n-grams of a batch, told apart by the numbers of their words."""
+
+    def __init__(self, words: Words, order: int) -> None:
+        self.ids, self.sizes = words.ids, words.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)  # place in the document
         self.grams: list[Grams] = []
         before = None
         for n in range(1, order + 1):
             where = np.flatnonzero(self.at >= n - 1)
-            key = self.ids[where] if before is None else before[where - 1] * (len(number) + 1) + self.ids[where]
-            self.grams.append(self._different(key, where, n))
+            key = self.ids[where] if before is None else before[where - 1] * (len(words.vocabulary) + 1) + self.ids[where]
+            self.grams.append(self._different(key, where))
             before = np.zeros(len(self.ids), np.int64)
             before[where] = self.grams[-1].of
 
-    def _different(self, key: np.ndarray, where: np.ndarray, n: int) -> Grams:
+    def _different(self, key: np.ndarray, where: np.ndarray) -> Grams:
         order = np.argsort(key, kind="stable")  # documents stay in order among equal ones
         new = np.r_[len(key) > 0, key[order[1:]] != key[order[:-1]]][: len(key)]
         first = np.flatnonzero(new)
         of = np.empty(len(key), np.int64)
         of[order] = np.cumsum(new) - 1
         doc = self.doc[where][order]
-        new_doc = new | np.r_[len(doc) > 0, doc[1:] != doc[:-1]][: len(doc)]
-        runs = np.flatnonzero(new_doc)
+        runs = np.flatnonzero(new | np.r_[len(doc) > 0, doc[1:] != doc[:-1]][: len(doc)])
+        times = np.diff(np.r_[runs, len(key)])
         own = np.empty(len(key), np.int64)
-        own[order] = np.repeat(np.diff(np.r_[runs, len(key)]), np.diff(np.r_[runs, len(key)]))
-        n_docs = np.add.reduceat(new_doc, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
-        ends = where[order[first]]
-        h = self.hash_of_word[self.ids[ends - (n - 1)]]
-        for back in range(n - 2, -1, -1):
-            h = (h ^ h >> np.uint64(29)) * _mix + self.hash_of_word[self.ids[ends - back]]
-        h = (h ^ h >> np.uint64(32)) * _mix_2
-        return Grams(of, ends, np.diff(np.r_[first, len(key)]), n_docs, own, h ^ h >> np.uint64(29))
-
-    def text_of(self, n: int, numbers: np.ndarray) -> str:
-        """The n-grams themselves, words joined by a space, a line for each."""
-        words, ends = self.vocabulary, self.grams[n - 1].ends[numbers]
-        columns = [[words[i] for i in self.ids[ends - back].tolist()] for back in range(n - 1, -1, -1)]
-        return b"\n".join(map(b" ".join, zip(*columns))).decode("utf-8")
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Rising 64-bit numbers as the lower bits of each and, in unary, the steps of the upper bits: some two bits above the least."""
-    v = x - x[0]
-    low = max(0, (int(v[-1]) // len(v)).bit_length() - 1)
-    up = np.zeros(int(v[-1] >> np.uint64(low)) + len(v), bool)
-    up[(v >> np.uint64(low)).astype(np.int64) + np.arange(len(v))] = True
-    bits = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
-    return len(v).to_bytes(4, "little") + bytes([low]) + int(x[0]).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes() + np.packbits(up, bitorder="little").tobytes()
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    n, low, base = int.from_bytes(data[:4], "little"), data[4], int.from_bytes(data[5:13], "little")
-    raw, cut = np.frombuffer(data, np.uint8, -1, 13), -(-n * low // 8)
-    bits = np.zeros((n, 64), np.uint8)
-    bits[:, :low] = np.unpackbits(raw[:cut], count=n * low, bitorder="little").reshape(n, low)
-    v = np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
-    up = np.flatnonzero(np.unpackbits(raw[cut:], bitorder="little"))[:n] - np.arange(n)
-    return v + (up.astype(np.uint64) << np.uint64(low)) + np.uint64(base)
-
-
-def short_hashes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different leading ``bits`` of the hashes, rising, and the place of each hash's own among them."""
-    return np.unique(hashes >> np.uint64(64 - bits), return_inverse=True)
+        own[order] = np.repeat(times, times)
+        return Grams(of, where[order[first]], np.diff(np.r_[first, len(key)]), own)
 
 
 def _cuts(rising: np.ndarray) -> list[tuple[int, int]]:
@@ -198,87 +164,68 @@ def _cuts(rising: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(rising)]))
 
 
-def _sift(order: int, parts: int, bits: int, hash_of: Callable[[bytes], int]):
-    """The hashes of each batch's n-grams of two words or more, by part."""
+def _send_words(parts: int, hash_of: Callable[[bytes], int]):
+    """The different words of each batch by bucket, with their places in the batch's vocabulary and their counts."""
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for batch, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts"))):
-                out = []
-                for n, grams in enumerate(Batch(texts, sizes, order, hash_of).grams[1:], 2):
-                    short, _ = short_hashes(grams.hashes, bits)
-                    part = _part_of(short, bits, parts)
-                    out += [(int(part[a]), n, batch, pack_sorted(short[a:z])) for a, z in _cuts(part)]
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["part", "n", "batch", "hashes"])
+            for name, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts"))):
+                words = Words(texts, sizes)
+                bucket = np.fromiter((hash_of(w) * parts >> 64 for w in words.vocabulary), np.int64, len(words.vocabulary))
+                by = np.argsort(bucket, kind="stable")
+                rows = []
+                for a, z in _cuts(bucket[by]):
+                    mine = by[a:z]
+                    rows.append((int(bucket[mine[0]]), name, [words.vocabulary[i].decode("utf-8") for i in mine.tolist()], mine, words.counts[mine]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "words", "places", "counts"])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (part, n): a bit for each hash, 1 if two batches have it."""
-
-    def answer(part: int, n: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sets = [unpack_sorted(h) for _, h in rows]
-        every = np.concatenate(sets)
-        order = np.argsort(every, kind="stable")
-        same = every[order[1:]] == every[order[:-1]]
-        bit = np.zeros(len(every), bool)
-        bit[order[1:]] = same
-        bit[order[:-1]] |= same
-        cut = np.cumsum([0, *map(len, sets)]).tolist()
-        for i in range(0, len(rows), 500):
-            mine = range(i, min(i + 500, len(rows)))
-            packed = [np.packbits(bit[cut[j] : cut[j + 1]], bitorder="little").tobytes() for j in mine]
-            columns = [pa.array([rows[j][0] for j in mine], pa.int64()), pa.array([n] * len(mine), pa.int32()), pa.array([part] * len(mine), pa.int32()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["batch", "n", "part", "bits"])
-
-    at, rows = None, []
-    for b in batches:
-        for part, n, *row in zip(*(c.to_pylist() for c in b.columns)):
-            if (part, n) != at and rows:
-                yield from answer(*at, rows)
-                rows = []
-            at = (part, n)
-            rows.append(tuple(row))
-    if rows:
-        yield from answer(*at, rows)
-
-
-def _part_of(short: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    return (short << np.uint64(max(0, 32 - bits)) >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(32)
-
-
-def asked_grams(batch: Batch, parts: int, bits: int, answers: list | None) -> Iterator[tuple[int, int, np.ndarray]]:
-    """n, bucket and the numbers of the n-grams that are asked for there: of lone words all, of others those that two documents may have; all without ``answers``."""
-    for n, grams in enumerate(batch.grams, 1):
-        mine = np.arange(len(grams.ends))
-        if n > 1 and answers is not None:
-            short, place = short_hashes(grams.hashes, bits)
-            told = {a["part"]: a["bits"] for a in answers if a["n"] == n}
-            met = np.zeros(len(short), bool)
-            for a, z in _cuts(part := _part_of(short, bits, parts)):
-                met[a:z] = np.unpackbits(np.frombuffer(told[int(part[a])], np.uint8), count=z - a, bitorder="little")
-            mine = np.flatnonzero(met[place] | (grams.n_docs > 1))
-        bucket = (grams.hashes[mine] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        by = np.argsort(bucket, kind="stable")
+def told_words(words: Words, answers: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a batch its number, 0 if no other batch has it, and its count in the corpus."""
+    numbers, totals = np.zeros(len(words.vocabulary), np.int64), words.counts.copy()
+    for a in answers or ():
+        places, found, number = unpacked(a["totals"], 3)
+        numbers[places], totals[places] = number, found
+    return numbers, totals
+
+
+def asked_grams(batch: Batch, numbers: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """n, bucket, the n-grams asked for there (those of two words or more, each of which another batch has) and the numbers of their words."""
+    for n, grams in enumerate(batch.grams[1:], 2):
+        mine = np.flatnonzero(np.logical_and.reduce([numbers[batch.ids[grams.ends - back]] > 0 for back in range(n)]))
+        gram = np.stack([numbers[batch.ids[grams.ends[mine] - back]] for back in range(n - 1, -1, -1)])
+        h = np.zeros(len(mine), np.uint64)
+        for number in gram.astype(np.uint64):
+            h = (h ^ h >> np.uint64(29)) * _mix + (number + np.uint64(1)) * _mix_2
+        h = (h ^ h >> np.uint64(32)) * _mix_2
+        bucket = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        by = np.lexsort((*gram[::-1], bucket))
         for a, z in _cuts(bucket[by]):
-            yield n, int(bucket[by[a]]), mine[by[a:z]]
+            yield n, int(bucket[by[a]]), mine[by[a:z]], gram[:, by[a:z]]
 
 
-def _ask(order: int, parts: int, bits: int, sifted: bool, hash_of: Callable[[bytes], int]):
-    """Each batch's n-grams as lists by bucket, with their counts."""
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+def _word_columns(order: int) -> list[str]:
+    return [f"w{i}" for i in range(1, order + 1)]
+
+
+def _ask(order: int, parts: int, wide: bool):
+    """Each batch's n-grams as lists by bucket, with their counts; 0 stands before the words of the shorter ones."""
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64() if wide else pa.int32())] * order]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "n", "grams", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "n", "counts", *_word_columns(order)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "bits"))):
-                batch, rows = Batch(texts, sizes, order, hash_of), []
-                for n, bucket, mine in asked_grams(batch, parts, bits, (answers or []) if sifted else None):
-                    rows.append((bucket, name, n, batch.text_of(n, mine), batch.grams[n - 1].counts[mine]))
+            for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "words"))):
+                words = Words(texts, sizes)
+                batch, rows = Batch(words, order), []
+                for n, bucket, mine, gram in asked_grams(batch, told_words(words, answers)[0], parts):
+                    none = [np.zeros(len(mine), np.int64)] * (order - n)
+                    rows.append((bucket, name, n, batch.grams[n - 1].counts[mine], *none, *gram))
                     if len(rows) == 64:
                         yield packed(rows)
                         rows = []
@@ -309,36 +256,49 @@ def _wide(data: bytes) -> np.ndarray:
     return x
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals by batch, order and bucket, in the order asked."""
-    kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ("batch", "n", "bucket", "place", "total")
+def _pack(values: tuple[str, ...]):
+    """Values by batch, order and bucket, in order of their places."""
+    kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ("batch", "n", "bucket", "place", *values)
+
+    def blob(parts: list[bytes]) -> bytes:
+        return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        batch, n, bucket, place, total = (np.concatenate([h[i] for h in held]) for i in range(5))
-        order = np.lexsort((place, bucket, n, batch))
-        batch, n, bucket, place, total = (x[order] for x in (batch, n, bucket, place, total.astype(np.uint64)))
+        columns = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        batch, n, bucket, place, *rest = (x[order] for x in columns)
         new = np.flatnonzero(np.r_[True, (batch[1:] != batch[:-1]) | (n[1:] != n[:-1]) | (bucket[1:] != bucket[:-1]), True]).tolist()
-        # the places are 0, 1, 2 ... unless the list was parted between two packs
-        out = [(int(batch[a]), int(n[a]), int(bucket[a]), _narrow(place[a:z].astype(np.uint64)) if z - a <= place[z - 1] else b"", _narrow(total[a:z])) for a, z in zip(new, new[1:])]
-        rows = [(b, o, k, len(p).to_bytes(4, "little") + p + t) for b, o, k, p, t in out]
+        rows = []
+        for a, z in zip(new, new[1:]):
+            # the places are 0, 1, 2 ... unless others of the list are elsewhere
+            places = _narrow(place[a:z].astype(np.uint64)) if z - a <= place[z - 1] else b""
+            rows.append((int(batch[a]), int(n[a]), int(bucket[a]), blob([places, *(_narrow(x[a:z].astype(np.uint64)) for x in rest)])))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["batch", "n", "bucket", "totals"])
 
-    held, size = [], 0
-    for b in batches:
-        held.append(tuple(b.column(c).to_numpy() for c in names))
-        size += b.num_rows
-        if size >= PACK_ROWS:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(tuple(b.column(c).to_numpy() for c in names))
+            size += b.num_rows
+            if size >= PACK_ROWS:
+                yield packed(held)
+                held, size = [], 0
+        if size:
             yield packed(held)
-            held, size = [], 0
-    if size:
-        yield packed(held)
 
+    return run
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and totals of a pack."""
-    size = int.from_bytes(data[:4], "little")
-    totals = _wide(data[4 + size :]).astype(np.int64)
-    return _wide(data[4 : 4 + size]).astype(np.int64) if size else np.arange(len(totals)), totals
+
+def unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` columns of a pack, places first."""
+    out, at = [], 0
+    for _ in range(n):
+        size = int.from_bytes(data[at : at + 4], "little")
+        out.append(_wide(data[at + 4 : at + 4 + size]).astype(np.int64) if size else None)
+        at += 4 + size
+    if out[0] is None:
+        out[0] = np.arange(len(out[1]))
+    return out
 
 
 def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarray, backoff: float) -> np.ndarray:
@@ -357,34 +317,45 @@ def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarr
     return score
 
 
-def _score(order: int, parts: int, bits: int, all_words: int, backoff: float, leave_out: bool, hash_of: Callable[[bytes], int]):
+def _score(order: int, parts: int, all_words: int, backoff: float, leave_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_ids, sizes, texts, sifted, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "bits", "answers"))):
-                batch = Batch(texts, sizes, order, hash_of)
-                totals = [np.full(len(g.ends), -1, np.int64) for g in batch.grams]
+            for doc_ids, sizes, texts, known, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "words", "answers"))):
+                words = Words(texts, sizes)
+                batch = Batch(words, order)
+                numbers, of_word = told_words(words, known)
+                totals = [of_word[words.ids[batch.grams[0].ends]], *(g.counts.copy() for g in batch.grams[1:])]
                 told: dict[tuple[int, int], list[bytes]] = {}
                 for a in answers or ():
                     told.setdefault((a["n"], a["bucket"]), []).append(a["totals"])
-                for n, bucket, mine in asked_grams(batch, parts, bits, (sifted or []) if leave_out else None):
-                    for places, found in map(unpacked, told[n, bucket]):
+                for n, bucket, mine, _ in asked_grams(batch, numbers, parts):
+                    totals[n - 1][mine] = -1
+                    for places, found in (unpacked(data, 2) for data in told.get((n, bucket), ())):
                         totals[n - 1][mine[places]] = found
                     if (totals[n - 1][mine] < 0).any():
                         raise ValueError("an n-gram has no total")
                 left = []
-                for n, grams in enumerate(batch.grams, 1):
+                for total, grams, n in zip(totals, batch.grams, range(order)):
                     out = np.zeros(len(batch.ids))
-                    total = totals[n - 1][grams.of]  # what was not asked for has one document alone
-                    out[batch.at >= n - 1] = np.maximum(total - grams.own, 0) if leave_out else total
+                    out[batch.at >= n] = total[grams.of] - grams.own if leave_out else total[grams.of]
                     left.append(out)
-                logs = backoff_logs(batch.counts, left, all_words - batch.counts * leave_out, backoff)
-                sums = np.bincount(batch.doc, logs, len(batch.counts)) if len(batch.doc) else np.zeros(len(batch.counts))
+                logs = backoff_logs(batch.sizes, left, all_words - batch.sizes * leave_out, backoff)
+                sums = np.bincount(batch.doc, logs, len(batch.sizes)) if len(batch.doc) else np.zeros(len(batch.sizes))
                 ids = [None if d == _null_id else d for d in np.frombuffer(doc_ids, "<i8").tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(batch.counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(batch.sizes), pa.array(sums)], ["doc_id", "n_words", "log_score"])
 
     return run
 
 
+def numbered_words(gathered: DataFrame, parts: int, hash_of: Callable[[bytes], int] = HASH) -> DataFrame:
+    """batch, bucket, place, count, total and number of each word of a batch; numbers follow from the words alone, not from the batches."""
+    lists = gathered.mapInArrow(_send_words(parts, hash_of), WORDS).repartition(parts, "bucket")
+    rows = lists.select("bucket", "batch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("place"), F.col("counts").alias("count"))))
+    total = F.sum("count").over(Window.partitionBy("bucket", "word"))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long")
+    return rows.select("bucket", "batch", "place", "count", total.alias("total"), (rank * parts + F.col("bucket")).alias("number"))
+
+
 def score(
     docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True,
     batch_bytes: int = BATCH_BYTES, part_words: int = PART_WORDS, hash_of: Callable[[bytes], int] = HASH,
@@ -393,21 +364,17 @@ def score(
     gathered = gather(docs, batch_bytes)
     all_words = id_and_text(docs).mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     parts = 1 + all_words // part_words
-    bits = min(60, (all_words * order).bit_length() + 6)
-    if leave_out:
-        hashes = gathered.mapInArrow(_sift(order, parts, bits, hash_of), HASHES)
-        met = hashes.repartition(parts, "part").sortWithinPartitions("part", "n").mapInArrow(_met, SHARED)
-        met = met.groupBy("batch").agg(F.collect_list(F.struct("n", "part", "bits")).alias("bits"))  # a bit for each n-gram of a batch
-        gathered = gathered.join(met.hint("merge"), "batch", "left")
-    else:
-        gathered = gathered.withColumn("bits", F.lit(None).cast("array<struct<n:int,part:int,bits:binary>>"))
-    lists = gathered.mapInArrow(_ask(order, parts, bits, leave_out, hash_of), ASKED).repartition(parts, "bucket")
-    counts = F.transform("counts", lambda c, i: F.struct(c.alias("count"), i.alias("place")))
-    lists = lists.select("bucket", "batch", "n", F.arrays_zip(F.split("grams", "\n", -1).alias("gram"), counts.alias("own")).alias("grams"))
-    grams = lists.select("bucket", "batch", "n", F.inline("grams")).select("bucket", "batch", "n", "gram", "own.*")
-    counted = grams.select("batch", "n", "bucket", "place", F.sum("count").over(Window.partitionBy("bucket", "n", "gram")).alias("total"))
-    answers = counted.mapInArrow(_pack, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))  # at most the n-grams of a batch
-    scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, parts, bits, all_words, backoff, leave_out, hash_of), SCORES)
+    wide = (all_words + 1) * parts >= 1 << 31 and all_words >= 1 << 29  # a bucket has its share of the words, give or take
+    shared = numbered_words(gathered, parts, hash_of).where("total > count").withColumn("n", F.lit(1))
+    known = shared.mapInArrow(_pack(("total", "number")), ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("words"))  # at most the words of a batch
+    gathered = gathered.join(known.hint("merge"), "batch", "left")
+    columns = _word_columns(order)
+    kind = "array<bigint>" if wide else "array<int>"
+    lists = gathered.mapInArrow(_ask(order, parts, wide), f"bucket int, batch long, n int, counts array<int>, {', '.join(f'{c} {kind}' for c in columns)}").repartition(parts, "bucket")
+    grams = lists.select("bucket", "batch", "n", F.posexplode(F.arrays_zip("counts", *columns)).alias("place", "gram")).select("bucket", "batch", "n", "place", "gram.*")
+    counted = grams.select("batch", "n", "bucket", "place", F.sum("counts").over(Window.partitionBy(*columns, "bucket")).alias("total"))
+    answers = counted.mapInArrow(_pack(("total",)), ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))  # at most the n-grams of a batch
+    scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, parts, all_words, backoff, leave_out), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 
