@@ -12,12 +12,13 @@ documents but the one that is scored, so no text vouches for itself; with
    not meet and the job would fail rather than count wrongly.
 2. Each batch sends its different words as rows.  Over each word's bucket a window sums
    its counts and ranks it among the bucket's words; rank and bucket make its number,
-   which stands for this word alone.  Batches get back the words that others have too.
-3. An n-gram with a word of one batch alone has all its occurrences there.  The others
-   are rows of the numbers of their words, dealt to buckets.  Counts are summed over
-   equal n-grams and stand beside each of them: the sum is a window over the bucket's
-   own partition, which joins the table of counts to the n-grams without another
-   shuffle.
+   which stands for this word alone.
+3. For each longer order in turn, the n-grams of a batch are rows of the numbers of their
+   words, dealt to buckets.  An n-gram of which the first or the last words but one are
+   in no other batch has all its occurrences in this one and is not asked for.  Counts
+   are summed over equal n-grams and stand beside each of them: the sum is a window over
+   the bucket's own partition, which joins the table of counts to the n-grams without
+   another shuffle.
 4. The totals go back to the batches, in the order asked, and these add up their
    documents.
 
@@ -52,7 +53,8 @@ PART_WORDS = 1 << 20
 PACK_ROWS = 1 << 20
 
 BATCHES = "batch long, doc_ids binary, sizes binary, texts binary"
-WORDS = "bucket int, batch long, words array<string>, places array<int>, counts array<int>"
+WORDS = "bucket int, batch long, words string, counts array<int>"
+LISTS = "bucket int, batch long, n int, counts array<int>, planes array<array<tinyint>>"
 ANSWERS = "batch long, n int, bucket int, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
@@ -113,6 +115,7 @@ class Grams:
     ends: np.ndarray  # for each number, a word with which it ends
     counts: np.ndarray
     own: np.ndarray  # of each occurrence: how often its document has it
+    at_word: np.ndarray  # of each word: the number of the n-gram that ends with it, if it has so many words
 
 
 class Words:
@@ -137,16 +140,13 @@ class Batch:
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)  # place in the document
         self.grams: list[Grams] = []
-        before = None
         for n in range(1, order + 1):
             where = np.flatnonzero(self.at >= n - 1)
-            key = self.ids[where] if before is None else before[where - 1] * (len(words.vocabulary) + 1) + self.ids[where]
+            key = self.ids[where] if n == 1 else self.grams[-1].at_word[where - 1] * len(words.vocabulary) + self.ids[where]
             self.grams.append(self._different(key, where))
-            before = np.zeros(len(self.ids), np.int64)
-            before[where] = self.grams[-1].of
 
     def _different(self, key: np.ndarray, where: np.ndarray) -> Grams:
-        order = np.argsort(key, kind="stable")  # documents stay in order among equal ones
+        order = np.argsort(key * len(self.sizes) + self.doc[where])  # by n-gram, then by document
         new = np.r_[len(key) > 0, key[order[1:]] != key[order[:-1]]][: len(key)]
         first = np.flatnonzero(new)
         of = np.empty(len(key), np.int64)
@@ -156,7 +156,9 @@ class Batch:
         times = np.diff(np.r_[runs, len(key)])
         own = np.empty(len(key), np.int64)
         own[order] = np.repeat(times, times)
-        return Grams(of, where[order[first]], np.diff(np.r_[first, len(key)]), own)
+        at_word = np.zeros(len(self.ids), np.int64)
+        at_word[where] = of
+        return Grams(of, where[order[first]], np.diff(np.r_[first, len(key)]), own, at_word)
 
 
 def _cuts(rising: np.ndarray) -> list[tuple[int, int]]:
@@ -164,68 +166,95 @@ def _cuts(rising: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(rising)]))
 
 
+def by_bucket(words: Words, parts: int, hash_of: Callable[[bytes], int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets and the places of their words in the vocabulary, in order of the words."""
+    bucket = np.fromiter((hash_of(w) * parts >> 64 for w in words.vocabulary), np.int64, len(words.vocabulary))
+    rising = np.array(sorted(range(len(bucket)), key=words.vocabulary.__getitem__), np.int64)
+    by = rising[np.argsort(bucket[rising], kind="stable")]
+    return ((int(bucket[by[a]]), by[a:z]) for a, z in _cuts(bucket[by]))
+
+
 def _send_words(parts: int, hash_of: Callable[[bytes], int]):
-    """The different words of each batch by bucket, with their places in the batch's vocabulary and their counts."""
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    """The different words of each batch by bucket, a line for each, with their counts."""
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts"))):
                 words = Words(texts, sizes)
-                bucket = np.fromiter((hash_of(w) * parts >> 64 for w in words.vocabulary), np.int64, len(words.vocabulary))
-                by = np.argsort(bucket, kind="stable")
-                rows = []
-                for a, z in _cuts(bucket[by]):
-                    mine = by[a:z]
-                    rows.append((int(bucket[mine[0]]), name, [words.vocabulary[i].decode("utf-8") for i in mine.tolist()], mine, words.counts[mine]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "words", "places", "counts"])
+                rows = [(k, name, b"\n".join(words.vocabulary[i] for i in mine.tolist()).decode("utf-8"), words.counts[mine]) for k, mine in by_bucket(words, parts, hash_of)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "words", "counts"])
 
     return run
 
 
-def told_words(words: Words, answers: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of a batch its number, 0 if no other batch has it, and its count in the corpus."""
-    numbers, totals = np.zeros(len(words.vocabulary), np.int64), words.counts.copy()
+def _by_list(answers: list | None) -> dict[tuple[int, int], list[bytes]]:
+    told: dict[tuple[int, int], list[bytes]] = {}
     for a in answers or ():
-        places, found, number = unpacked(a["totals"], 3)
-        numbers[places], totals[places] = number, found
-    return numbers, totals
-
-
-def asked_grams(batch: Batch, numbers: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """n, bucket, the n-grams asked for there (those of two words or more, each of which another batch has) and the numbers of their words."""
-    for n, grams in enumerate(batch.grams[1:], 2):
-        mine = np.flatnonzero(np.logical_and.reduce([numbers[batch.ids[grams.ends - back]] > 0 for back in range(n)]))
-        gram = np.stack([numbers[batch.ids[grams.ends[mine] - back]] for back in range(n - 1, -1, -1)])
+        told.setdefault((a["n"], a["bucket"]), []).append(a["totals"])
+    return told
+
+
+class Told:
+    """What a batch knows of its n-grams: the numbers of its words and the counts in the corpus, order by order."""
+
+    def __init__(self, words: Words, batch: Batch, parts: int, hash_of: Callable[[bytes], int], answers: list) -> None:
+        self.batch, self.parts, told = batch, parts, _by_list(answers[0])
+        self.numbers, of_word = np.full(len(words.vocabulary), -1, np.int64), np.zeros(len(words.vocabulary), np.int64)
+        for bucket, mine in by_bucket(words, parts, hash_of):
+            for places, found, rank in (unpacked(data, 3) for data in told.get((1, bucket), ())):
+                of_word[mine[places]] = found
+                self.numbers[mine[places]] = np.cumsum(rank) * parts + bucket
+        if (self.numbers < 0).any():
+            raise ValueError("a word has no number")
+        self.totals = [of_word[batch.ids[batch.grams[0].ends]]]
+        for n, more in enumerate(answers[1:], 2):
+            told, total = _by_list(more), batch.grams[n - 1].counts.copy()
+            for bucket, mine, _ in self.asked(n):
+                total[mine] = -1
+                for places, found in (unpacked(data, 2) for data in told.get((n, bucket), ())):
+                    total[mine[places]] = found
+            if (total < 0).any():
+                raise ValueError("an n-gram has no total")
+            self.totals.append(total)
+
+    def asked(self, n: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Buckets, the n-grams asked for there and the numbers of their words; totals of the order below are known."""
+        batch, below = self.batch, self.batch.grams[n - 2]
+        ends, met = batch.grams[n - 1].ends, self.totals[n - 2] > below.counts
+        mine = np.flatnonzero(met[below.at_word[ends - 1]] & met[below.at_word[ends]])
+        gram = [self.numbers[batch.ids[ends[mine] - back]] for back in range(n - 1, -1, -1)]
         h = np.zeros(len(mine), np.uint64)
-        for number in gram.astype(np.uint64):
-            h = (h ^ h >> np.uint64(29)) * _mix + (number + np.uint64(1)) * _mix_2
+        for number in gram:
+            h = (h ^ h >> np.uint64(29)) * _mix + (number.astype(np.uint64) + np.uint64(1)) * _mix_2
         h = (h ^ h >> np.uint64(32)) * _mix_2
-        bucket = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        by = np.lexsort((*gram[::-1], bucket))
+        bucket = (h >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)
+        by = np.lexsort((gram[0], bucket))
         for a, z in _cuts(bucket[by]):
-            yield n, int(bucket[by[a]]), mine[by[a:z]], gram[:, by[a:z]]
+            yield int(bucket[by[a]]), mine[by[a:z]], [x[by[a:z]] for x in gram]
 
 
-def _word_columns(order: int) -> list[str]:
-    return [f"w{i}" for i in range(1, order + 1)]
+def _planes(numbers: np.ndarray, width: int) -> list[np.ndarray]:
+    """Bytes of the numbers, highest first, each kind in an array of its own: among rising numbers most are alike."""
+    if len(numbers) and numbers.max() >> 8 * width:
+        raise ValueError("the number of a word is too large")
+    return [np.ascontiguousarray(x) for x in numbers.astype(">i8").view(np.int8).reshape(-1, 8)[:, 8 - width :].T]
 
 
-def _ask(order: int, parts: int, wide: bool):
-    """Each batch's n-grams as lists by bucket, with their counts; 0 stands before the words of the shorter ones."""
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64() if wide else pa.int32())] * order]
+def _ask(n: int, parts: int, width: int, hash_of: Callable[[bytes], int]):
+    """Each batch's n-grams as lists by bucket: their counts and the bytes of their words' numbers."""
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int8()))]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "n", "counts", *_word_columns(order)])
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "n", "counts", "planes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "words"))):
+            for name, sizes, texts, *answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", *_told_columns(n - 1)))):
                 words = Words(texts, sizes)
-                batch, rows = Batch(words, order), []
-                for n, bucket, mine, gram in asked_grams(batch, told_words(words, answers)[0], parts):
-                    none = [np.zeros(len(mine), np.int64)] * (order - n)
-                    rows.append((bucket, name, n, batch.grams[n - 1].counts[mine], *none, *gram))
+                batch, rows = Batch(words, n), []
+                for bucket, mine, gram in Told(words, batch, parts, hash_of, answers).asked(n):
+                    rows.append((bucket, name, n, batch.grams[n - 1].counts[mine], [plane for x in gram for plane in _planes(x, width)]))
                     if len(rows) == 64:
                         yield packed(rows)
                         rows = []
@@ -234,9 +263,18 @@ def _ask(order: int, parts: int, wide: bool):
     return run
 
 
+def _told_columns(order: int) -> list[str]:
+    return [f"told_{n}" for n in range(1, order + 1)]
+
+
+def _blob(columns: list[np.ndarray]) -> bytes:
+    parts = [_narrow(x.astype(np.uint64)) for x in columns]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers in the least of 1, 2, 4, 5, 6, 7 or 8 bytes that hold all but a few, the few set apart."""
-    for width in (1, 2, 4, 5, 6, 7):
+    """Numbers in the least of 1 to 8 bytes that hold all but a few, the few set apart."""
+    for width in range(1, 8):
         most = (1 << 8 * width) - 1
         big = np.flatnonzero(x >= most)
         if len(big) * 12 <= len(x) * width // 4:
@@ -260,9 +298,6 @@ def _pack(values: tuple[str, ...]):
     """Values by batch, order and bucket, in order of their places."""
     kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ("batch", "n", "bucket", "place", *values)
 
-    def blob(parts: list[bytes]) -> bytes:
-        return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
     def packed(held: list[tuple]) -> pa.RecordBatch:
         columns = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
         order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
@@ -271,8 +306,9 @@ def _pack(values: tuple[str, ...]):
         rows = []
         for a, z in zip(new, new[1:]):
             # the places are 0, 1, 2 ... unless others of the list are elsewhere
-            places = _narrow(place[a:z].astype(np.uint64)) if z - a <= place[z - 1] else b""
-            rows.append((int(batch[a]), int(n[a]), int(bucket[a]), blob([places, *(_narrow(x[a:z].astype(np.uint64)) for x in rest)])))
+            places = _blob([place[a:z]]) if z - a <= place[z - 1] else bytes(4)
+            rest_of = [np.diff(x[a:z], prepend=0) if name == "rank" else x[a:z] for name, x in zip(values, rest)]  # ranks rise
+            rows.append((int(batch[a]), int(n[a]), int(bucket[a]), places + _blob(rest_of)))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["batch", "n", "bucket", "totals"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,25 +353,14 @@ def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarr
     return score
 
 
-def _score(order: int, parts: int, all_words: int, backoff: float, leave_out: bool):
+def _score(order: int, parts: int, all_words: int, backoff: float, leave_out: bool, hash_of: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_ids, sizes, texts, known, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "words", "answers"))):
+            for doc_ids, sizes, texts, *answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", *_told_columns(order)))):
                 words = Words(texts, sizes)
                 batch = Batch(words, order)
-                numbers, of_word = told_words(words, known)
-                totals = [of_word[words.ids[batch.grams[0].ends]], *(g.counts.copy() for g in batch.grams[1:])]
-                told: dict[tuple[int, int], list[bytes]] = {}
-                for a in answers or ():
-                    told.setdefault((a["n"], a["bucket"]), []).append(a["totals"])
-                for n, bucket, mine, _ in asked_grams(batch, numbers, parts):
-                    totals[n - 1][mine] = -1
-                    for places, found in (unpacked(data, 2) for data in told.get((n, bucket), ())):
-                        totals[n - 1][mine[places]] = found
-                    if (totals[n - 1][mine] < 0).any():
-                        raise ValueError("an n-gram has no total")
-                left = []
-                for total, grams, n in zip(totals, batch.grams, range(order)):
+                told, left = Told(words, batch, parts, hash_of, answers), []
+                for n, (total, grams) in enumerate(zip(told.totals, batch.grams)):
                     out = np.zeros(len(batch.ids))
                     out[batch.at >= n] = total[grams.of] - grams.own if leave_out else total[grams.of]
                     left.append(out)
@@ -347,13 +372,23 @@ def _score(order: int, parts: int, all_words: int, backoff: float, leave_out: bo
     return run
 
 
-def numbered_words(gathered: DataFrame, parts: int, hash_of: Callable[[bytes], int] = HASH) -> DataFrame:
-    """batch, bucket, place, count, total and number of each word of a batch; numbers follow from the words alone, not from the batches."""
+def ranked_words(gathered: DataFrame, parts: int, hash_of: Callable[[bytes], int] = HASH) -> DataFrame:
+    """batch, n (1), bucket, place, total and rank of each word of a batch; ranks follow from the words alone, not from the batches."""
     lists = gathered.mapInArrow(_send_words(parts, hash_of), WORDS).repartition(parts, "bucket")
-    rows = lists.select("bucket", "batch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("place"), F.col("counts").alias("count"))))
+    rows = lists.select("bucket", "batch", F.posexplode(F.arrays_zip(F.split("words", "\n", -1).alias("word"), F.col("counts").alias("count"))).alias("place", "of"))
+    rows = rows.select("bucket", "batch", "place", "of.*")
     total = F.sum("count").over(Window.partitionBy("bucket", "word"))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long")
-    return rows.select("bucket", "batch", "place", "count", total.alias("total"), (rank * parts + F.col("bucket")).alias("number"))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return rows.select("batch", F.lit(1).alias("n"), "bucket", "place", total.alias("total"), rank.cast("long").alias("rank"))
+
+
+def counted_grams(gathered: DataFrame, n: int, parts: int, width: int, hash_of: Callable[[bytes], int] = HASH) -> DataFrame:
+    """batch, n, bucket, place and total of each n-gram that a batch asks for."""
+    lists = gathered.mapInArrow(_ask(n, parts, width, hash_of), LISTS).repartition(parts, "bucket")
+    rows = lists.select("bucket", "batch", "n", "planes", F.posexplode("counts").alias("place", "count"))
+    words = [F.expr(" | ".join(f"shiftleft(cast(planes[{i * width + j}][place] & 255 as bigint), {8 * (width - 1 - j)})" for j in range(width))).alias(f"w{i + 1}") for i in range(n)]
+    total = F.sum("count").over(Window.partitionBy(*(f"w{i + 1}" for i in range(n)), "bucket"))
+    return rows.select("batch", "n", "bucket", "place", "count", *words).select("batch", "n", "bucket", "place", total.alias("total"))
 
 
 def score(
@@ -364,17 +399,12 @@ def score(
     gathered = gather(docs, batch_bytes)
     all_words = id_and_text(docs).mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     parts = 1 + all_words // part_words
-    wide = (all_words + 1) * parts >= 1 << 31 and all_words >= 1 << 29  # a bucket has its share of the words, give or take
-    shared = numbered_words(gathered, parts, hash_of).where("total > count").withColumn("n", F.lit(1))
-    known = shared.mapInArrow(_pack(("total", "number")), ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("words"))  # at most the words of a batch
-    gathered = gathered.join(known.hint("merge"), "batch", "left")
-    columns = _word_columns(order)
-    kind = "array<bigint>" if wide else "array<int>"
-    lists = gathered.mapInArrow(_ask(order, parts, wide), f"bucket int, batch long, n int, counts array<int>, {', '.join(f'{c} {kind}' for c in columns)}").repartition(parts, "bucket")
-    grams = lists.select("bucket", "batch", "n", F.posexplode(F.arrays_zip("counts", *columns)).alias("place", "gram")).select("bucket", "batch", "n", "place", "gram.*")
-    counted = grams.select("batch", "n", "bucket", "place", F.sum("counts").over(Window.partitionBy(*columns, "bucket")).alias("total"))
-    answers = counted.mapInArrow(_pack(("total",)), ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))  # at most the n-grams of a batch
-    scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, parts, all_words, backoff, leave_out), SCORES)
+    width = max(4, ((8 * all_words).bit_length() + 7) // 8)  # bytes of a word's number
+    for n in range(1, order + 1):
+        totals, values = (ranked_words(gathered, parts, hash_of), ("total", "rank")) if n == 1 else (counted_grams(gathered, n, parts, width, hash_of), ("total",))
+        answers = totals.mapInArrow(_pack(values), ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias(f"told_{n}"))  # at most the n-grams of a batch
+        gathered = gathered.join(answers.hint("merge"), "batch", "left")
+    scored = gathered.mapInArrow(_score(order, parts, all_words, backoff, leave_out, hash_of), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 
