@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_lm, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet
+from . import (
+    bpe, decontaminate, exact_dedup, fill_in_middle, ngram_lm, packing, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet, whitening,
+)
 
 
-def tokenizer_path() -> str:
-    """The production vocabulary; a file of the installed package, never copied here."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A production vocabulary; a file of the installed package, never copied here."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +62,24 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op7_stupid_backoff, op8_suffix_dedup, op9_simhash, op10_bpe_round_trip)}
+    made = (
+        op1_decontamination, op2_secret_scan, op3_url_filter, op4_token_shards, op5_exact_dedup, op6_toxicity, op7_stupid_backoff,
+        op8_suffix_dedup, op9_simhash, op10_bpe_round_trip, op11_whitening, op12_best_fit_packing, op13_fill_in_middle,
+    )
+    return {f.__name__: f for f in made}
 
 
 def _secret_sql() -> str:
@@ -124,5 +142,17 @@ select d.doc_id, len(h) // 2 as n_bytes, cast(coalesce(gone, 0) as bigint) as n_
 from d left join b using (doc_id)"""
 
 
+FILL_IN_MIDDLE_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents),
+r as (select *, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as z,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from r),
+p as (select *, substr(t, 1, a) as prefix, substr(t, a + 1, z - a) as middle, substr(t, z + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then z - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_stupid_backoff": STUPID_BACKOFF_SQL, "op8_suffix_dedup": SUFFIX_SQL, "op2_secret_scan": _secret_sql(), "op5_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op13_fill_in_middle": FILL_IN_MIDDLE_SQL, "op7_stupid_backoff": STUPID_BACKOFF_SQL, "op8_suffix_dedup": SUFFIX_SQL, "op2_secret_scan": _secret_sql(), "op5_exact_dedup": EXACT_DEDUP_SQL}
