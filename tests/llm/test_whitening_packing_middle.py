@@ -115,10 +115,10 @@ def library():
 
 def test_ids_are_those_of_the_library(library):
     coder, draw = packing.Encoder(BYTES), random.Random(4)
-    assert coder.by_part
+    assert coder.by_rank is not None
     for _ in range(6000):
         text = "".join(draw.choice(" \n\t\x0b\x1c\x85\xa0 　ab'1!é世\U0001f600  ") for _ in range(draw.randint(0, 12))) + draw.choice(["", "<|endoftext|>", " <|endoftext|>a", "don't", " word,\nNext."])
-        assert coder.encode(text) == coder._ask(text), repr(text)
+        assert coder.encode(text) == coder.ask(text), repr(text)
 
 
 def test_tokens_added_to_the_file(library, tmp_path):
@@ -127,10 +127,23 @@ def test_tokens_added_to_the_file(library, tmp_path):
     other.save(path := str(tmp_path / "t.json"))
     coder = packing.Encoder(path)
     for text in ("say hello there", "xhellox [MASK] hello, [MASK]hello", "hello"):
-        assert coder.encode(text) == coder._ask(text)
+        assert coder.encode(text) == coder.ask(text)
     other.add_tokens(["two words"])
     other.save(path)
-    assert not packing.Encoder(path).by_part
+    coder = packing.Encoder(path)
+    assert coder.by_rank is not None and all(coder.encode(t) == coder.ask(t) for t in ("two words here", "xtwo wordsx"))
+    assert packing.Encoder(queries.tokenizer_path()).by_rank is None  # word ends and a normaliser: the library alone
+    assert packing.Encoder(BYTES).encode(" " * 500_000) == packing.Encoder(BYTES).ask(" " * 500_000)
+
+
+def test_merges_that_are_no_ranks(library):
+    import json
+
+    spec = json.loads(library.to_str())
+    assert len(packing.ranks_of(spec, library)) == 50256
+    merges = spec["model"]["merges"]
+    merges[5], merges[900] = merges[900], merges[5]
+    assert packing.ranks_of(spec, library) is None
 
 
 def check_packing(rows, wanted, library, capacity=packing.CAPACITY):
