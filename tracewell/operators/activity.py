@@ -68,23 +68,23 @@ def heatmap_rows(cells: DataFrame) -> DataFrame:
     return grouped.withColumn("most", most).select("weekday", "interval", "n", level.alias("level"))
 
 
-def minute_rollup(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+def minute_rollup(sessions: DataFrame, messages: DataFrame, *within: str) -> DataFrame:
     """Counts at the minute a session starts and tokens at the minute of their message (of the session if it has none).
 
-    ``messages``: the five keys but the minute, ts, session_ts and the token columns.
+    ``messages``: the five keys but the minute, ts, session_ts and the token columns. ``within``: further keys, such as the conversation.
     """
-    keys = [F.col(k) for k in ROLLUP_KEYS[1:]]
+    keys = [F.col(k) for k in (*within, *ROLLUP_KEYS[1:])]
     zero = F.lit(0).cast("long")
     starts = sessions.where("ts is not null").select(
         minute("ts").alias("bucket_start"), *keys, F.lit(1).cast("long").alias("session_count"), session_messages().cast("long").alias("message_count"),
         F.col("user_message_count").cast("long"), F.col("assistant_message_count").cast("long"), *(zero.alias(c) for c in TOKENS),
     )
     spent = messages.where(total_tokens() > 0).select(minute(F.coalesce("ts", "session_ts")).alias("bucket_start"), *keys, *(zero.alias(c) for c in ROLLUP_COUNTS), *(F.col(c).cast("long") for c in TOKENS)).where("bucket_start is not null")
-    return reaggregate(starts.unionByName(spent))
+    return reaggregate(starts.unionByName(spent), *within)
 
 
-def reaggregate(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*ROLLUP_KEYS).agg(*(F.sum(c).alias(c) for c in (*ROLLUP_COUNTS, *TOKENS)))
+def reaggregate(rows: DataFrame, *within: str) -> DataFrame:
+    return rows.groupBy(*within, *ROLLUP_KEYS).agg(*(F.sum(c).alias(c) for c in (*ROLLUP_COUNTS, *TOKENS)))
 
 
 def daily_by_split(rollup: DataFrame, name: str, within: TimeRange, allowed: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,11 +19,11 @@ from tracewell.plans.timeframe import TimeRange
 from tracewell.plans.transcript import blocks
 from tracewell.sources import provider_a, provider_b
 from tracewell.sources.jsonl import lines, malformed
-from tracewell.sources.store import Store, changes, ensure_checkpoints, manifest, shared_folder
+from tracewell.sources.store import Conflict, Draft, Store, changes, ensure_checkpoints, manifest
 
-#: Tables whose rows belong to one conversation each, and all tables.
-KEYED = ("sessions", "conversations", "messages", "transcripts", "turns", "sequences", "chunks", "postings")
-SESSION_TABLES = (*KEYED, "rollup")
+#: Tables whose rows belong to one conversation each.
+SESSION_TABLES = ("sessions", "conversations", "messages", "transcripts", "turns", "sequences", "rollup", "chunks", "postings")
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -34,24 +35,48 @@ class Engine:
     a: str | None = None
     b: str | None = None
 
+    def __post_init__(self) -> None:
+        self.store.layouts.setdefault("postings", search.by_term)  # segments of the index stay sorted when they are merged
+
     def build(self) -> dict[str, int]:
-        """Read all logs and write every table anew; returns their rows."""
+        """Read all logs and write every table anew, in one commit; returns their rows."""
         ensure_checkpoints(self.spark)
         files = self._files().checkpoint()  # as they are before they are read
-        rows = self._fill(self.store)
-        self.store.write("files", files)
+        draft = self.store.draft()
+        rows = self._fill(draft)
+        draft.write("files", files, key="path")
+        self._checked(rows, draft)
+        draft.commit(whole=True)
         return rows
 
-    def refresh(self) -> bool:
+    def refresh(self, fallback: bool = True) -> bool:
         """Bring all tables up to the logs; returns whether anything was done.
 
-        Only conversations that changed files touch are made anew, from their own files, and take the place of
-        their earlier rows; the rollup is added up from the stored rows. Without current tables all is built.
+        Only conversations that changed files touch are made anew, from their own files. Their rows of all tables, the
+        rollup and the index included, are added as segments and their earlier ones give way, in one commit: a refresh that stops leaves the store
+        as it was. Without current tables, or where this fails (``fallback``), all is built.
         """
         ensure_checkpoints(self.spark)
         if any(self.store.current(name) is None for name in (*SESSION_TABLES, "files")):
             self.build()
             return True
+        try:
+            done = self._refresh()
+        except Conflict:
+            raise
+        except Exception:
+            if not fallback:
+                raise
+            log.exception("the refresh failed; all tables are built")
+            self.build()
+            return True
+        if done:
+            self.store.merge()
+            self.store.vacuum()
+        return done
+
+    def _refresh(self) -> bool:
+        draft = self.store.draft()
         files = self._files().checkpoint()
         state = changes(files, self.store.read("files")).where("state <> 'same'").checkpoint()
         if state.isEmpty():
@@ -63,14 +88,20 @@ class Engine:
             df.unpersist()
         bad = reduce(DataFrame.unionByName, [malformed(lines(self.spark, root, fresh)) for _, root in self._roots()])
         keys, paths = affected(self.store.read("sessions"), heads, state, bad.checkpoint())
-        made = Store(self.spark, shared_folder(self.spark, "refresh"))
-        self._fill(made, paths)
-        for name in KEYED:
-            self.store.replace(name, made.read(name), keys)
-        self.store.write("rollup", self._rollup(self.store))
-        self.store.write("files", files)
+        self._checked(self._fill(draft, paths), draft)
+        draft.gone("cache_key", keys)
+        draft.write("files", files.join(fresh, "path", "left_semi"), key="path")
+        draft.gone("path", state.select("path"))
+        draft.commit()
         return True
 
+    def _checked(self, rows: dict[str, int], draft: Draft) -> None:
+        """Numbers that must agree, from counts taken while the tables were written; a commit is stopped where they do not."""
+        found = draft.read("conversations").agg(F.coalesce(F.sum("session_count"), F.lit(0)), F.coalesce(F.sum("message_count"), F.lit(0))).first()
+        want = (rows["sessions"], rows["messages"])
+        if tuple(found) != want:
+            raise RuntimeError(f"conversations have {tuple(found)} sessions and messages, the tables {want}")
+
     def _roots(self) -> list[tuple[str, str]]:
         return [(name, root) for name, root in (("claude", self.a), ("codex", self.b)) if root]
 
@@ -94,19 +125,21 @@ class Engine:
         even = [df.withColumn("performance", F.struct(*(F.col(f"performance.{f}").alias(f) for f in fields))) for df in made]
         return reduce(DataFrame.unionByName, even), reduce(DataFrame.unionByName, message)
 
-    def _fill(self, store: Store, only: DataFrame | None = None) -> dict[str, int]:
+    def _fill(self, store: Draft, only: DataFrame | None = None) -> dict[str, int]:
         """Write the tables of the logs, or of the paths in ``only``, to ``store``; each is read back for the next."""
         held: list[DataFrame] = []
         found, message = self._parsed(held, only)
         rows = {"sessions": store.write("sessions", found)}
         sessions = store.read("sessions")
-        plans = sessions.groupBy("cache_key").agg(F.sum("plan_count").alias("plan_count"))
-        rows["conversations"] = store.write("conversations", catalogue.rolled_up(sessions).join(plans, "cache_key"))
         owner = sessions.select("file_path", "cache_key", F.col("ordinal").alias("session_ordinal"), "provider", "version", "model", "project", "is_subagent", F.col("ts").alias("session_ts"))
         rows["messages"] = store.write("messages", message.drop("is_subagent").join(owner, "file_path"))
         for df in held:
             df.unpersist()
         messages = store.read("messages")
+        plans = sessions.groupBy("cache_key").agg(F.sum("plan_count").alias("plan_count"), F.count("*").alias("session_count"))
+        said = messages.groupBy("cache_key").agg(F.count("*").alias("message_count"))
+        listed = catalogue.rolled_up(sessions).join(plans, "cache_key").join(said, "cache_key", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+        rows["conversations"] = store.write("conversations", listed)
         writes = F.aggregate("tool_calls", F.lit(0).cast("long"), lambda n, c: n + session_ops.memory_writes(c["action"]["targets"], c["action"]["type"]))
         turns = session_ops.build_turns(messages.where("not is_subagent").withColumn("memory_writes", writes), "file_path")
         rows["turns"] = store.write("turns", turns.join(owner.withColumnRenamed("session_ts", "ts"), "file_path"))
@@ -120,9 +153,10 @@ class Engine:
         rows["postings"] = store.write("postings", search.by_term(search.postings(store.read("chunks"), "cache_key")))
         return rows
 
-    def _rollup(self, store: Store) -> DataFrame:
-        spent = store.read("messages").select("provider", "version", "model", "project", "ts", "session_ts", *TOKENS)
-        return activity.minute_rollup(store.read("sessions"), spent)
+    def _rollup(self, store: Draft) -> DataFrame:
+        """Minutes of each conversation: what a refresh takes away and adds is a matter of keys, and sums are taken when it is read."""
+        spent = store.read("messages").select("cache_key", "provider", "version", "model", "project", "ts", "session_ts", *TOKENS)
+        return activity.minute_rollup(store.read("sessions"), spent, "cache_key")
 
     def drift(self) -> DataFrame:
         """Unknown kinds and fields in the logs."""
@@ -157,20 +191,24 @@ class Engine:
 
     def snapshot(self, within: TimeRange = TimeRange(), chosen: Filter = Filter()) -> dict[str, DataFrame]:
         """All statistics of a range, one DataFrame for each."""
-        keep = chosen.apply(self.table("conversations"), self.table("sessions")).select("cache_key")
-        sessions = self.table("sessions").join(keep, "cache_key", "left_semi")
+        record = self.store.head()  # all statistics are of one commit
+        table = lambda name: self.store.read(name, record)
+        keep = chosen.apply(table("conversations"), table("sessions")).select("cache_key")
+        sessions = table("sessions").join(keep, "cache_key", "left_semi")
+        minutes = table("rollup").join(keep, "cache_key", "left_semi") if any(d.active for d in chosen.dimensions.values()) else table("rollup")
+        days = activity.daily_from_rollup(minutes, within)
         out = {
             "overview": overview.totals(sessions, within), "tokens_by_model": overview.tokens_by(sessions, "model", within), "tokens_by_project": overview.tokens_by(sessions, "project", within),
-            "tokens_by_version": overview.tokens_by_provider_version(sessions, within), "top_sessions": overview.top_sessions(sessions, within=within), "trend": overview.token_trend(sessions, within),
-            "daily": activity.daily(sessions, within), "heatmap": activity.heatmap(sessions, within), "sessions": session_ops.stats(sessions, within), "durations": session_ops.duration_histogram(sessions, within),
+            "tokens_by_version": overview.tokens_by_provider_version(sessions, within), "top_sessions": overview.top_sessions(sessions, within=within), "trend": overview.token_trend_from_rollup(minutes, within),
+            "daily": days, "streaks": activity.streaks(days), "heatmap": activity.heatmap(sessions, within), "sessions": session_ops.stats(sessions, within), "durations": session_ops.duration_histogram(sessions, within),
             "messages": session_ops.message_histogram(sessions, within), "tools": tools.totals(sessions, within), "top_tools": tools.top_tools(sessions, within), "tool_errors": tools.rates(sessions, "errors", within),
             "tool_rejects": tools.rates(sessions, "rejects", within), "cache": cache.totals(sessions, within), "cache_segments": cache.segments(sessions, within), "cache_daily": cache.daily(sessions, within), "cache_durations": cache.by_duration(sessions, within),
             "scope": performance.scope(sessions, within),
         }
         sequences = None
-        if self.store.current("turns") is not None:
-            turns = self.table("turns").join(keep, "cache_key", "left_semi")
+        if "turns" in record["tables"]:
+            turns = table("turns").join(keep, "cache_key", "left_semi")
             out |= {"turns": session_ops.turns_by_position(turns, within), "first_turns": cache.first_turn_cold(turns, within)}
-            sequences = None if chosen.drops_sequences else self.table("sequences").join(keep, "cache_key", "left_semi")
+            sequences = None if chosen.drops_sequences else table("sequences").join(keep, "cache_key", "left_semi")
         out["scorecard"] = performance.scorecard(sessions, sequences, within, diagnostics=True)
         return out

@@ -1,4 +1,4 @@
-"""Incremental refresh: new session files through a file stream, grown ones through the manifest."""
+"""File streams and the live rollup."""
 
 from __future__ import annotations
 
@@ -8,32 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.activity import live_rollup
-from tracewell.sources.store import Store, changes, manifest
-
-
-def refresh(store: Store, root: str, load: Callable[[DataFrame], DataFrame], key: str = "file_path", name: str = "sessions") -> bool:
-    """Bring ``name`` up to the files under ``root``; returns whether anything was done.
-
-    ``load`` makes rows of the given paths. Without a current table or manifest everything is built;
-    else only rows of files that are new or changed are made and put in place of theirs, and rows of
-    files that are gone go.
-    """
-    spark = store.spark
-    now = manifest(spark, root)
-    if store.current(name) is None or store.current(f"{name}_files") is None:
-        store.write(name, load(now.select("path")))
-        store.write(f"{name}_files", now)
-        return True
-    state = changes(now, store.read(f"{name}_files")).where("state <> 'same'").persist()
-    try:
-        if state.isEmpty():
-            return False
-        paths = state.where("state in ('new', 'changed')").select("path")
-        store.replace(name, load(paths), state.select(F.col("path").alias(key)), key)
-        store.write(f"{name}_files", now)
-        return True
-    finally:
-        state.unpersist()
 
 
 def stream_files(spark: SparkSession, root: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
