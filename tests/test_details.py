@@ -26,13 +26,11 @@ def test_shell_targets_of_the_second_provider(spark, command, kind, targets):
     assert (got.type, [(t.type, t.value) for t in got.targets]) == (kind, targets)
 
 
-def test_names_and_patches(spark):
+def test_names(spark):
     row = spark.range(1).select(
         F.array(*(actions.tool_name(F.lit(n)) for n in ("read", "BASH", "notebookedit", "mcp__X"))).alias("names"),
-        actions.patch_counts(F.lit("*** Begin Patch\n*** Update File: a.py\n@@\n x\n-y\n+z\n+w\n*** Add File: b.py\n+q\n*** End Patch")).alias("p"),
     ).first()
     assert row.names == ["Read", "Bash", "NotebookEdit", "mcp__X"]
-    assert (row.p.files, row.p.hunks, row.p.added, row.p.removed, row.p.context) == (["a.py", "b.py"], 1, 3, 1, 1)
 
 
 def test_error_codes(spark):
