@@ -18,7 +18,7 @@ from tracewell.plans.affected import HEAD, affected
 from tracewell.plans.timeframe import TimeRange
 from tracewell.plans.transcript import blocks
 from tracewell.sources import provider_a, provider_b
-from tracewell.sources.jsonl import lines, malformed
+from tracewell.sources.jsonl import GLOB, lines, malformed
 from tracewell.sources.store import Conflict, Draft, Store, changes, ensure_checkpoints, manifest
 
 #: Tables whose rows belong to one conversation each.
@@ -34,6 +34,7 @@ class Engine:
     store: Store
     a: str | None = None
     b: str | None = None
+    glob: str = GLOB
 
     def __post_init__(self) -> None:
         self.store.layouts.setdefault("postings", search.by_term)  # segments of the index stay sorted when they are merged
@@ -43,7 +44,7 @@ class Engine:
         ensure_checkpoints(self.spark)
         files = self._files().checkpoint()  # as they are before they are read
         draft = self.store.draft()
-        rows = self._fill(draft)
+        rows = self._fill(draft, self._parsed())
         draft.write("files", files, key="path")
         self._checked(rows, draft)
         draft.commit(whole=True)
@@ -82,13 +83,18 @@ class Engine:
         if state.isEmpty():
             return False
         fresh = state.where("state <> 'gone'").select("path")
-        held: list[DataFrame] = []
-        heads = self._parsed(held, fresh)[0].select(*HEAD).checkpoint()
-        for df in held:
-            df.unpersist()
-        bad = reduce(DataFrame.unionByName, [malformed(lines(self.spark, root, fresh)) for _, root in self._roots()])
+        parsed = self._parsed(fresh)
+        heads = reduce(DataFrame.unionByName, [session.select(*HEAD) for session, _ in parsed.values()])
+        bad = reduce(DataFrame.unionByName, [malformed(lines(self.spark, root, fresh, self.glob)) for _, root in self._roots()])
         keys, paths = affected(self.store.read("sessions"), heads, state, bad.checkpoint())
-        self._checked(self._fill(draft, paths), draft)
+        paths = paths.checkpoint()
+        others = paths.join(fresh, "path", "left_anti").checkpoint()  # untouched files of touched conversations
+        if not others.isEmpty():
+            more = self._parsed(others)
+            parsed = {name: tuple(x.unionByName(y) for x, y in zip(parsed[name], more[name])) for name in parsed}
+        wanted = paths.select(F.col("path").alias("file_path"))
+        parsed = {name: tuple(x.join(wanted, "file_path", "left_semi") for x in both) for name, both in parsed.items()}
+        self._checked(self._fill(draft, parsed), draft)
         draft.gone("cache_key", keys)
         draft.write("files", files.join(fresh, "path", "left_semi"), key="path")
         draft.gone("path", state.select("path"))
@@ -106,35 +112,34 @@ class Engine:
         return [(name, root) for name, root in (("claude", self.a), ("codex", self.b)) if root]
 
     def _files(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [manifest(self.spark, root) for _, root in self._roots()])
+        return reduce(DataFrame.unionByName, [manifest(self.spark, root, self.glob) for _, root in self._roots()])
 
-    def _parsed(self, held: list[DataFrame], only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Sessions and messages of both providers, of the paths in ``only``; what is persisted for them is added to ``held``."""
-        made, message, none = [], [], F.lit(None).cast("string")
-        hold = lambda df: held.append(df.persist()) or held[-1]
+    def _parsed(self, only: DataFrame | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """Sessions, not yet grouped, and messages of each provider, of the paths in ``only``.
+
+        What several tables are made of is checkpointed: it is parsed once, survives its executors, and plans stay short.
+        """
+        out, none = {}, F.lit(None).cast("string")
         if self.a:
-            record = hold(provider_a.records(self.spark, self.a, only))
-            said = hold(provider_a.messages(record))
-            made.append(provider_a.grouped(provider_a.sessions(record, said)).withColumns({"parent": none, "agent_label": none}))
-            message.append(said)
+            record = provider_a.records(self.spark, self.a, only, self.glob).checkpoint()
+            said = provider_a.messages(record).checkpoint()
+            out["claude"] = (provider_a.sessions(record, said).withColumns({"parent": none, "agent_label": none}), said)
         if self.b:
-            record = hold(provider_b.records(self.spark, self.b, only))
-            made.append(provider_b.grouped(hold(provider_b.sessions(record))))  # the search for roots reads them many times
-            message.append(provider_b.messages(record))
+            record = provider_b.records(self.spark, self.b, only, self.glob).checkpoint()
+            call = provider_b.calls(record).checkpoint()  # sessions count them, messages hold them
+            out["codex"] = (provider_b.sessions(record, call), provider_b.messages(record, call))
+        return {name: (session.checkpoint(), message) for name, (session, message) in out.items()}  # the search for roots reads sessions many times
+
+    def _fill(self, store: Draft, parsed: dict[str, tuple[DataFrame, DataFrame]]) -> dict[str, int]:
+        """Write the tables of parsed logs to ``store``; each is read back for the next."""
+        made = [{"claude": provider_a, "codex": provider_b}[name].grouped(session) for name, (session, _) in parsed.items()]
         fields = sorted({f for df in made for f in df.schema["performance"].dataType.names})
         even = [df.withColumn("performance", F.struct(*(F.col(f"performance.{f}").alias(f) for f in fields))) for df in made]
-        return reduce(DataFrame.unionByName, even), reduce(DataFrame.unionByName, message)
-
-    def _fill(self, store: Draft, only: DataFrame | None = None) -> dict[str, int]:
-        """Write the tables of the logs, or of the paths in ``only``, to ``store``; each is read back for the next."""
-        held: list[DataFrame] = []
-        found, message = self._parsed(held, only)
+        found, message = reduce(DataFrame.unionByName, even), reduce(DataFrame.unionByName, [m for _, m in parsed.values()])
         rows = {"sessions": store.write("sessions", found)}
         sessions = store.read("sessions")
         owner = sessions.select("file_path", "cache_key", F.col("ordinal").alias("session_ordinal"), "provider", "version", "model", "project", "is_subagent", F.col("ts").alias("session_ts"))
         rows["messages"] = store.write("messages", message.drop("is_subagent").join(owner, "file_path"))
-        for df in held:
-            df.unpersist()
         messages = store.read("messages")
         plans = sessions.groupBy("cache_key").agg(F.sum("plan_count").alias("plan_count"), F.count("*").alias("session_count"))
         said = messages.groupBy("cache_key").agg(F.count("*").alias("message_count"))
@@ -160,11 +165,11 @@ class Engine:
 
     def drift(self) -> DataFrame:
         """Unknown kinds and fields in the logs."""
-        found = [provider.drift(lines(self.spark, root).where("is_object")) for provider, root in ((provider_a, self.a), (provider_b, self.b)) if root]
+        found = [provider.drift(lines(self.spark, root, glob=self.glob).where("is_object")) for provider, root in ((provider_a, self.a), (provider_b, self.b)) if root]
         return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
     def malformed(self) -> DataFrame:
-        found = [malformed(lines(self.spark, root)).select(F.lit(name).alias("provider"), F.col("file_path").alias("value")) for name, root in (("claude", self.a), ("codex", self.b)) if root]
+        found = [malformed(lines(self.spark, root, glob=self.glob)).select(F.lit(name).alias("provider"), F.col("file_path").alias("value")) for name, root in (("claude", self.a), ("codex", self.b)) if root]
         return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
     def table(self, name: str) -> DataFrame:

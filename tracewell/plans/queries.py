@@ -703,3 +703,6 @@ def minute_window_stream(spark, d):
     from tracewell.streaming.refresh import stream_rollup
 
     return stream_rollup(spark, f"{d}/events.parque[t]", shared_folder(spark, "minutes"))  # a pattern, as a stream reads no single file by name
+
+
+from tracewell.plans import ingestion_queries  # noqa: E402, F401  registers itself with the names above
