@@ -155,8 +155,8 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_search_reads_every_language(spark, tmp_path):
     rows = [(1, "threr ing", "en"), (2, "Thrér über", "fr"), (3, "thrër ingé", None), (4, None, "de"), (5, "x\nTHRÈR", "es")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r.doc_id for r in QUERIES["search_prefix_and_all"](spark, str(tmp_path)).collect()) == [1, 3]
-    assert sorted(map(tuple, QUERIES["search_ranked_all"](spark, str(tmp_path)).collect())) == [(1, 0, 3), (2, 0, 2), (3, 0, 1), (5, 1, 4)]
+    assert sorted(r.doc_id for r in QUERIES["search_prefix_and"](spark, str(tmp_path)).collect()) == [1, 3]
+    assert sorted(map(tuple, QUERIES["search_ranked"](spark, str(tmp_path)).collect())) == [(1, 0, 3), (2, 0, 2), (3, 0, 1), (5, 1, 4)]
 
 
 def test_places_over_many_blocks(spark):
@@ -167,7 +167,7 @@ def test_places_over_many_blocks(spark):
 
 def test_occurrences_by_line_of_every_turn(spark, tmp_path):
     spark.createDataFrame([(1, 0, "que Que\nno\nquique"), (1, 1, "que"), (2, 0, None), (2, 1, "\n\naqueque")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = QUERIES["transcript_occurrences_all"](spark, str(tmp_path)).select("conv_id", "turn", "line", "n").collect()
+    got = QUERIES["transcript_occurrences"](spark, str(tmp_path)).select("conv_id", "turn", "line", "n").collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, 2), (1, 0, 2, 1), (1, 1, 0, 1), (2, 1, 2, 2)]
 
 

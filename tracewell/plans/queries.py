@@ -97,20 +97,9 @@ def activity_heatmap_rows(spark, d):
     return activity.heatmap_rows(activity.heatmap(sessions(spark, d), MONTH))
 
 
-def quiet_days(spark, d):
-    """Sessions of one project on days whose number is no multiple of five, so that runs of days end."""
-    return sessions(spark, d).where("project = 'p3' and day(day) % 5 <> 0 and hour(ts) < 14")
-
-
-@query(f""", {DAYS}, a as (select distinct day from S where project = 'p3' and day(day) % 5 <> 0 and hour(ts) < 14), r as (select day, day - cast(row_number() over (order by day) as integer) as g from a), i as (select max(day) as stop, count(*) as n from r group by g)
-select (select count(*) from a) as active_days, (select count(*) from c) as total_days, coalesce((select max(n) from i), 0) as longest_streak, coalesce((select max(n) from i where stop = date '2024-01-30'), 0) as current_streak""")
-def activity_streaks(spark, d):
-    return activity.streaks(activity.daily(quiet_days(spark, d), MONTH))
-
-
 @query(f""", {DAYS}, a as (select distinct day from S where day between date '2024-01-01' and date '2024-01-30'), r as (select day, day - cast(row_number() over (order by day) as integer) as g from a), i as (select max(day) as stop, count(*) as n from r group by g)
 select (select count(*) from a) as active_days, (select count(*) from c) as total_days, coalesce((select max(n) from i), 0) as longest_streak, coalesce((select max(n) from i where stop = date '2024-01-30'), 0) as current_streak""")
-def activity_streaks_all(spark, d):
+def activity_streaks(spark, d):
     """Over the sessions of every project and day."""
     return activity.streaks(activity.daily(sessions(spark, d), MONTH))
 
@@ -284,46 +273,6 @@ def cache_daily_by_split(spark, d):
 # ---- scorecard ----
 
 
-def _metric_sums(where: str) -> str:
-    """Sums of the session metrics of the first provider over one window."""
-    z = lambda c: f"case when acts then {c} else 0 end"
-    mut, done = z("a_mutate + a_rewrite"), z("a_test")
-    return f"""select count(*) as sessions, sum(users) as user_turns, sum(tokens) as tokens, sum({z('calls')}) as actions, sum({z('a_read + a_search')}) as inspections, sum({mut}) as changes, sum({z('a_rewrite')}) as rewrites,
- sum({z('a_mutate + a_rewrite + a_execute')}) as changes_and_runs, sum({z('errs')}) as action_errors, sum({z('rejs')}) as action_rejects, sum(retry + api) as retries, count(*) filter ({mut} > 0) as mutated,
- count(*) filter ({mut} > 0 and {done} > 0 and {done} > e_test + r_test) as verified, count(*) filter (compact > 0) as pressed from S where provider = 'claude' and {where}"""
-
-
-PERF_SQL = f""", wn as ({_metric_sums("ts >= '2024-01-16' and ts < '2024-01-31'")}), wo as ({_metric_sums("ts >= '2024-01-01' and ts < '2024-01-16'")}),
-reg as (select * from (values ('verification_pass_rate', 'Outcome', 1, 0.05), ('read_before_write_ratio', 'Discipline', 1, 0.25), ('research_to_mutation_ratio', 'Discipline', 1, 0.25), ('full_rewrite_rate', 'Discipline', -1, 0.05),
- ('tokens_per_user_turn', 'Efficiency', -1, 50), ('actions_per_user_turn', 'Efficiency', -1, 0.25), ('tool_error_rate', 'Robustness', -1, 0.05), ('tool_rejection_rate', 'Robustness', -1, 0.05), ('context_pressure_rate', 'Robustness', -1, 0.05), ('retry_burden', 'Robustness', -1, 0.25)) r(metric, lane, sign, fl)),
-long as (select w, unnest(['verification_pass_rate', 'read_before_write_ratio', 'research_to_mutation_ratio', 'full_rewrite_rate', 'tokens_per_user_turn', 'actions_per_user_turn', 'tool_error_rate', 'tool_rejection_rate', 'context_pressure_rate', 'retry_burden']) as metric,
- unnest([verified, inspections, inspections, rewrites, tokens, actions, action_errors, action_rejects, pressed, retries]) as num, unnest([mutated, changes, changes_and_runs, changes, user_turns, user_turns, actions, actions, sessions, sessions]) as den
- from (select 1 as w, * from wn union all select 0, * from wo)),
-v as (select *, case when den > 0 then num / den else 0 end as value from long),
-j as (select r.*, a.num, a.den, a.value, b.value as baseline, b.den as old_den, (a.value - b.value) / greatest(abs(b.value), cast(fl as double)) * sign as delta from reg r join v a on a.metric = r.metric and a.w = 1 join v b on b.metric = r.metric and b.w = 0),
-P as (select lane, metric, cast(num as bigint) as num, cast(den as bigint) as den, value, baseline, case when den >= 10 and old_den >= 10 then cast(least(greatest(50 + round(delta * 50), 0), 100) as integer) end as score,
- case when not (den >= 10 and old_den >= 10) then 'none' when abs(delta) < 0.05 then 'flat' when delta > 0 then 'up' else 'down' end as trend from j)"""
-
-
-def scorecard(spark, d):
-    return performance.scorecard(sessions(spark, d).where("provider = 'claude'"), None, HALF)
-
-
-@query(PERF_SQL + " select lane, metric, num, den, round(value, 6) as value, round(baseline, 6) as baseline, score, trend from P")
-def perf_metrics(spark, d):
-    return rounded(scorecard(spark, d).drop("place"), "value", "baseline")
-
-
-@query(PERF_SQL + " select cast(round(avg(score)) as integer) as score, count(*) as metrics, case when sum(case trend when 'up' then 1 when 'down' then -1 else 0 end) > 0 then 'up' when sum(case trend when 'up' then 1 when 'down' then -1 else 0 end) < 0 then 'down' else 'flat' end as trend from P where score is not null")
-def perf_overall_score(spark, d):
-    return performance.combined(scorecard(spark, d))
-
-
-@query(PERF_SQL + " select lane, cast(round(avg(score)) as integer) as score, count(*) as metrics, case when sum(case trend when 'up' then 1 when 'down' then -1 else 0 end) > 0 then 'up' when sum(case trend when 'up' then 1 when 'down' then -1 else 0 end) < 0 then 'down' else 'flat' end as trend from P where score is not null group by lane")
-def perf_lanes(spark, d):
-    return performance.combined(scorecard(spark, d), "lane")
-
-
 #: Behaviour of each session by user and day, then all metrics of both windows for each provider with their weights.
 BEHAVIOUR_SQL = """, x as (select *, cast(ts as date) as day, 'f' || (k % 6) as t, case when action in ('mutate', 'rewrite') then 1 else 0 end as chg, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as n from ea),
 x2 as (select *, lag(action || ':' || t) over (partition by user_id, day order by n) = action || ':' || t as loop, coalesce(max(chg) over (partition by user_id, day order by n rows between unbounded preceding and 1 preceding), 0) as cb,
@@ -363,17 +312,17 @@ def provider_scorecards(spark, d):
 
 
 @query(PROVIDER_SQL + " select provider, lane, metric, num, den, round(value, 6) as value, round(baseline, 6) as baseline, score, trend from P")
-def perf_metrics_by_provider(spark, d):
+def perf_metrics(spark, d):
     return rounded(provider_scorecards(spark, d).drop("place"), "value", "baseline")
 
 
 @query(PROVIDER_SQL + f" select provider, {WEIGHTED} group by provider")
-def perf_overall_score_by_provider(spark, d):
+def perf_overall_score(spark, d):
     return performance.combined(provider_scorecards(spark, d), "provider")
 
 
 @query(PROVIDER_SQL + f" select provider, lane, {WEIGHTED} group by provider, lane")
-def perf_lanes_by_provider(spark, d):
+def perf_lanes(spark, d):
     return performance.combined(provider_scorecards(spark, d), "provider", "lane")
 
 
@@ -459,26 +408,17 @@ def tool_summaries(spark, d):
 # ---- search ----
 
 X_SQL = r"""
-ln as (select doc_id, li, trim(line, ' ') as line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as li from documents where lang = 'en') where trim(line, ' ') <> ''),
+ln as (select doc_id, li, trim(line, ' ') as line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as li from documents) where trim(line, ' ') <> ''),
 ch as (select doc_id, li, ci, trim(substr(line, ci * 112 + 1, 160), ' ') as text from (select *, unnest(range(0, 1 + cast(greatest(ceil((length(line) - 160) / 112.0), 0) as bigint))) as ci from ln)),
 X as (select doc_id, row_number() over (partition by doc_id order by li, ci) - 1 as ordinal, text from ch where text <> ''),
-W as (select doc_id, ordinal, unnest(ws) as term, generate_subscripts(ws, 1) as at from (select doc_id, ordinal, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda x: x <> '') as ws from X))
+W as (select doc_id, ordinal, unnest(ws) as term, generate_subscripts(ws, 1) as at from (select doc_id, ordinal, list_filter(string_split_regex(lower(strip_accents(text)), '[^\pL\pN]+'), lambda x: x <> '') as ws from X))
 """
 
 
-#: The same over the texts of every language, compared without diacritics.
-ALL_X_SQL = X_SQL.replace(" where lang = 'en'", "").replace("lower(text)", "lower(strip_accents(text))")
-
-
 def chunks_of_all(spark, d):
     return search.chunks(table(spark, d, "documents").select("doc_id", F.lit(0).alias("position"), "text"), "doc_id")
 
 
-def english_chunks(spark, d):
-    texts = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(0).alias("position"), "text")
-    return search.chunks(texts, "doc_id")
-
-
 def chunk_totals(pieces):
     return pieces.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("chars"), F.max("ordinal").cast("long").alias("last_ordinal"))
 
@@ -502,57 +442,31 @@ SEARCH_RANKED_SQL = ", m as (select doc_id, min(ordinal) as first_ordinal from (
 
 @query(SEARCH_CHUNKS_SQL, X_SQL)
 def search_chunks(spark, d):
-    return chunk_totals(english_chunks(spark, d))
-
-
-@query(SEARCH_CHUNKS_SQL, ALL_X_SQL)
-def search_chunks_all(spark, d):
     """Over the texts of every language."""
     return chunk_totals(chunks_of_all(spark, d))
 
 
 @query(SEARCH_PREFIX_AND_SQL, X_SQL)
 def search_prefix_and(spark, d):
-    return chunks_with(english_chunks(spark, d), "threr ing")
-
-
-@query(SEARCH_PREFIX_AND_SQL, ALL_X_SQL)
-def search_prefix_and_all(spark, d):
     """Over the texts of every language."""
     return chunks_with(chunks_of_all(spark, d), "threr ing")
 
 
 @query(SEARCH_PHRASE_SQL, X_SQL)
 def search_phrase(spark, d):
-    return chunks_with(english_chunks(spark, d), "of/th")
-
-
-@query(SEARCH_PHRASE_SQL, ALL_X_SQL)
-def search_phrase_all(spark, d):
     """Over the texts of every language."""
     return chunks_with(chunks_of_all(spark, d), "of/th")
 
 
 @query(SEARCH_RANKED_SQL, X_SQL)
 def search_ranked(spark, d):
-    return ranked_documents(spark, d, english_chunks(spark, d))
-
-
-@query(SEARCH_RANKED_SQL, ALL_X_SQL)
-def search_ranked_all(spark, d):
     """Over the texts of every language."""
     return ranked_documents(spark, d, chunks_of_all(spark, d))
 
 
-@query("select conv_id, turn, cast(len(regexp_extract_all(lower(text), 'que')) as integer) as n from conversations where contains(lower(text), 'que') and not contains(text, chr(10))", "")
-def transcript_occurrences(spark, d):
-    one_line = table(spark, d, "conversations").where(~F.contains("text", F.lit("\n")))
-    return search.occurrences(one_line, "que", "conv_id", "turn").drop("line")
-
-
 @query("""select conv_id, turn, cast(line as integer) as line, cast(len(regexp_extract_all(lower(part), 'que')) as integer) as n
 from (select conv_id, turn, unnest(string_split(text, chr(10))) as part, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from conversations) where contains(lower(part), 'que')""", "")
-def transcript_occurrences_all(spark, d):
+def transcript_occurrences(spark, d):
     """Over every turn, by line."""
     return search.occurrences(table(spark, d, "conversations"), "que", "conv_id", "turn")
 
@@ -626,9 +540,10 @@ def incremental_replace(spark, d):
     return catalogue.replaced(old, new, changed, "o_orderkey").drop("o_orderstatus")
 
 
-@query("select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)", "")
+@query("select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')", "")
 def anti_consumed(spark, d):
-    used = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers that none of the finished orders used up."""
+    used = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return catalogue.unmatched(table(spark, d, "customer").select("c_custkey", "c_nationkey"), used, "c_custkey")
 
 
@@ -642,6 +557,17 @@ def parent_attributes(spark, d):
     return rows.groupBy("n_name", "r_name").agg(F.sum("_n").alias("orders"), F.round(F.sum("_s"), 2).alias("spent"))
 
 
+@query("""select case when o_orderstatus = 'O' then 'n' || c_nationkey else o_orderstatus end as provider, case when o_orderpriority like '1%' then 'r' || (c_nationkey % 5) else o_orderpriority end as project, count(*) as n
+from orders join customer on o_custkey = c_custkey group by 1, 2""", "")
+def flattened(spark, d):
+    """Orders as sessions, some without a provider or project of their own, with those of their customer as conversation."""
+    blank = lambda c, test: F.when(test, F.lit("")).otherwise(F.col(c))
+    session = table(spark, d, "orders").select(F.col("o_custkey").alias("cache_key"), blank("o_orderstatus", F.col("o_orderstatus") == "O").alias("provider"), blank("o_orderpriority", F.startswith("o_orderpriority", F.lit("1"))).alias("project"))
+    nation = F.col("c_nationkey")
+    listed = table(spark, d, "customer").select(F.col("c_custkey").alias("cache_key"), F.concat(F.lit("n"), nation.cast("string")).alias("provider"), F.concat(F.lit("r"), (nation % 5).cast("string")).alias("project"))
+    return catalogue.flatten(listed, session).groupBy("provider", "project").agg(F.count("*").alias("n"))
+
+
 @query("select user_id, event_id from e qualify not coalesce(event_type = lag(event_type) over (partition by user_id order by ts, event_id) and k % 3 = lag(k % 3) over (partition by user_id order by ts, event_id), false)")
 def adjacent_repeats(spark, d):
     """Events of a user but those of the same type and remainder as the one before."""
@@ -662,22 +588,9 @@ def plan_dedup_first(spark, d):
     return catalogue.first_plans(plans, "user_id")
 
 
-@query("""with a as (select * from orders where o_orderkey % 11 <> 0), b as (select o_orderkey, o_custkey + case when o_orderkey % 7 = 0 then 1 else 0 end as l, o_orderdate - case when o_orderkey % 3 = 0 then interval 1 day else interval 0 day end as m from orders where o_orderkey % 5 <> 0)
-select case when b.o_orderkey is null then 'new' when a.o_orderkey is null then 'gone' when o_custkey <> l or o_orderdate > m then 'changed' else 'same' end as state, count(*) as files from a full join b using (o_orderkey) group by 1""", "")
-def source_changes(spark, d):
-    """States of source files against an earlier manifest, counted; orders stand for files."""
-    from tracewell.sources.store import changes
-
-    files = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("length"), F.col("o_orderdate").alias("modified"))
-    now = files.where("o_orderkey % 11 <> 0").drop("o_orderkey")
-    earlier = F.when(F.col("o_orderkey") % 3 == 0, F.expr("modified - interval 1 day")).otherwise(F.col("modified"))
-    before = files.where("o_orderkey % 5 <> 0").withColumns({"length": F.col("length") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0), "modified": earlier}).drop("o_orderkey")
-    return changes(now, before).groupBy("state").agg(F.count("*").alias("files"))
-
-
 @query("""with b as (select o_orderkey, o_custkey + case when o_orderkey % 7 = 0 then 1 else 0 end as l, o_orderdate - case when o_orderkey % 3 = 0 then interval 1 day else interval 0 day end as m from orders)
 select case when b.o_orderkey is null then 'new' when a.o_orderkey is null then 'gone' when o_custkey <> l or o_orderdate > m then 'changed' else 'same' end as state, count(*) as files from orders a full join b using (o_orderkey) group by 1""", "")
-def source_changes_all(spark, d):
+def source_changes(spark, d):
     """Every order is a file of both manifests."""
     from tracewell.sources.store import changes
 
