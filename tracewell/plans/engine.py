@@ -72,7 +72,10 @@ class Engine:
             self.build()
             return True
         if done:
-            self.store.merge()
+            try:
+                self.store.merge()
+            except Conflict:  # another writer went on from this commit; the next refresh merges
+                log.info("segments were not merged: another writer has committed")
             self.store.vacuum()
         return done
 
