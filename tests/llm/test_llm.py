@@ -314,12 +314,55 @@ def test_exact_dedup_of_odd_rows(spark, odd):
 
 
 def test_directory_doubles():
-    fine = np.zeros(16, np.int64)
-    fine[5] = 100
-    fine[12] = 3
-    d = exact_dedup.Directory.of(fine, 10)
-    assert max(d.local) == d.depth
-    assert d.depth == 4 and len(d.slots) == 16 and d.bucket_of(5 << 60) != d.bucket_of(4 << 60) and d.bucket_of(12 << 60) == d.bucket_of(8 << 60)
+    d = exact_dedup.Directory()
+    for bucket in (0b1, 0b10, 0b101):
+        d.split(bucket)
+    assert d.depth == 3 and d.slots.tolist() == [0b100, 0b100, 0b1010, 0b1011, 0b11, 0b11, 0b11, 0b11]
+    assert d.bucket_of(3 << 61) == 0b1011 and d.bucket_of(2 << 61) == 0b1010 and d.bucket_of(1 << 61) == d.bucket_of(0) == 0b100
+    again = exact_dedup.Directory.stored(1, [(0b1000 + i, b) for i, b in enumerate(d.slots.tolist())])
+    assert (again.depth, again.slots.tolist()) == (d.depth, d.slots.tolist())
+
+
+def test_owner_splits_overfull_buckets_and_chains_equal_hashes():
+    rng = random.Random(8)
+    hashes = sorted(rng.randrange(1 << 63, 1 << 64) for _ in range(300))
+    hashes = sorted(hashes + hashes[:5] * 2)  # other texts of the same hash
+    owner = exact_dedup._Owner(1, exact_dedup.Directory(0b11), 4)
+    out = [r for i, h in enumerate(hashes) for r in owner.insert(h, f"s{i}", 3, i, 1, b"%d" % i)]
+    out += owner.finish()
+    keys, slots = [r for r in out if r[1] is None], {r[1]: (r[2], r[7]) for r in out if r[1] is not None}
+    assert [r[3] & (1 << 64) - 1 for r in keys] == hashes and sum(n for _, n in slots.values()) == len(hashes)
+    depth = max(slots).bit_length() - 1
+    assert sorted(slots) == list(range(0b11 << (depth - 1), 1 << (depth + 1))) and depth > 6
+    for r in keys:
+        assert slots[1 << depth | (r[3] & (1 << 64) - 1) >> (64 - depth)][0] == r[2]
+    sizes = collections.Counter(r[2] for r in keys)
+    assert max(sizes.values()) <= 4
+    for b in sizes:  # no split without need: a bucket's parent holds more than one may
+        parent = [h for h in hashes if h >> (64 - (b.bit_length() - 2)) == (b >> 1) - (1 << (b.bit_length() - 2))]
+        assert len(parent) > 4
+
+
+def test_exact_dedup_needs_its_directory(spark, tmp_path):
+    df = docs(spark, *[(i, f"text {i % 40}") for i in range(120)])
+    entries = exact_dedup.id_and_text(df).mapInArrow(exact_dedup._entries, exact_dedup.ENTRY)
+    index, root = exact_dedup.insert(exact_dedup.id_and_text(df), str(tmp_path), 4, 2)
+    assert exact_dedup.look_up(entries, index, root).count() == 120
+    assert index.where("slot is null").groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
+    wrong = index.withColumn("bucket", F.when(F.col("slot").isNull(), F.col("bucket")).otherwise(-7))
+    assert exact_dedup.look_up(entries, wrong, root).count() == 0
+
+
+def test_exact_dedup_extends_a_stored_index(spark, tmp_path):
+    first, second = [(i, f"text  {i % 50}") for i in range(100)], [(i, f"text {i % 70}" + " " * (i % 3)) for i in range(100, 300)]
+    path = str(tmp_path / "index")
+    exact_dedup.exact_groups(docs(spark, *first), 2, path).collect()
+    got = {r.doc_id: tuple(r) for r in exact_dedup.exact_groups(docs(spark, *second), 2, path).collect()}
+    want = {r.doc_id: tuple(r) for r in exact_dedup.exact_groups(docs(spark, *first, *second), 2).collect()}
+    assert got == {i: want[i] for i, _ in second}
+    version, _, folder = exact_dedup.newest(spark, path)
+    stored = spark.read.parquet(f"{path}/{folder}").where("slot is null")
+    assert version == 2 and stored.count() == 70 and stored.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
 
 
 # 6

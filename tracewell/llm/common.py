@@ -64,7 +64,7 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = 200_000) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
-def join_totals(rows: DataFrame, totals: DataFrame, key: str, n_rows: int, most: int = 10_000) -> DataFrame:
+def join_totals(rows: DataFrame, totals: DataFrame, key: str | list[str], n_rows: int, most: int = 10_000) -> DataFrame:
     """``rows`` with the one row of ``totals`` of their key, which has how many rows that is (column ``n_of_key``).
 
     Keys of more than ``n_rows / most`` rows are at most ``most``, so they are broadcast and their rows
