@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import math
 import os
 import random
@@ -13,6 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tracewell.llm import bpe, decontaminate, exact_dedup, ngram_lm, queries, secrets, simhash, suffix_dedup, toxicity, url_filter, wavelet
@@ -208,8 +210,6 @@ def test_mined_rules_against_brute_force(spark):
 
 # 4 and 10
 def test_shards_and_bpe_equal_the_library(spark, odd, rows):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(TOKENIZER)
     table = [r for r in ODD if r[0] is not None] + [(1000 + d, x) for d, x in rows[:60]]
     frame = docs(spark, *table)
@@ -240,8 +240,6 @@ def test_wavelet_matrix(n):
 
 def test_every_code_point_equals_the_library():
     """Alone, between letters and before an apostrophe: all of planes 0 to 2 and 14, and of the others, which have no letters, every 64th."""
-    from tokenizers import Tokenizer
-
     t, coder, encoder = Tokenizer.from_file(TOKENIZER), bpe.Bpe(TOKENIZER), wavelet.Encoder(TOKENIZER)
     points = [c for c in [*range(0x34000), *range(0x34000, 0xE0000, 64), *range(0xE0000, 0xE0200), *range(0xE0200, 0x110000, 64)] if not 0xD800 <= c < 0xE000]
     points += [*range(0x3D000, 0x3FC40, 3)]
@@ -264,8 +262,6 @@ def test_files_of_another_kind_are_refused(tmp_path):
 def test_a_vocabulary_of_more_than_16_bits(tmp_path):
     import json
 
-    from tokenizers import Tokenizer
-
     spec = json.load(open(TOKENIZER, encoding="utf-8"))
     spec["model"]["vocab"] = {k: v + 40_000 * (v > 600) for k, v in spec["model"]["vocab"].items()}
     for token in spec["added_tokens"]:
@@ -282,8 +278,6 @@ def test_a_vocabulary_of_more_than_16_bits(tmp_path):
 
 
 def test_lookups_over_shards(spark, odd, tmp_path):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(TOKENIZER)
     shards = wavelet.write_shards(odd, f"file://{tmp_path}/shards", TOKENIZER, shard_tokens=50)
     ids = [(d, [*t.encode(x or "", add_special_tokens=False).ids, wavelet.END_ID]) for d, x in ODD]
@@ -295,14 +289,29 @@ def test_lookups_over_shards(spark, odd, tmp_path):
 
 
 def test_merge_of_repeated_symbols():
-    from tokenizers import Tokenizer
-
     t, coder = Tokenizer.from_file(TOKENIZER), bpe.Bpe(TOKENIZER)
     rng = random.Random(3)
     words = ["a" * n for n in range(1, 40)] + ["".join(rng.choice("ab'é1.") for _ in range(rng.randrange(40))) for _ in range(300)]
     assert [x.tolist() for x in coder.encode_batch(words)] == [t.encode(w, add_special_tokens=False).ids for w in words]
 
 
+@pytest.mark.parametrize("flags", [{}, {"normalized": True}, {"single_word": True}, {"lstrip": True, "rstrip": True}])
+def test_added_tokens_are_those_of_the_file(tmp_path, flags):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = max(t["id"] for t in spec["added_tokens"]) + 1
+    kinds = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} | flags
+    for token in ("[MASK]", "<pad>", "hello", "two words", "[MASK]er", "Word!"):
+        alone = [{"id": first, "content": token} | kinds]
+        path = tmp_path / f"{len(token)}-{token[:2]}.json"
+        path.write_text(json.dumps(spec | {"added_tokens": spec["added_tokens"] + alone}), encoding="utf-8")
+        texts = ["plain words only", "", f"a {token} b", f"x{token}y {token.upper()} {token}{token}", token, f"Sub-word! hello, two  words {token}.", "say HELLO\t[mask] <|endoftext|> [MASK]er"]
+        want = [Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids for t in texts]
+        coder, shards = bpe.Bpe(str(path)), wavelet.Encoder(str(path))
+        assert [x.tolist() for x in coder.encode_batch(texts)] == want, token
+        assert [np.frombuffer(shards.encode(t), shards.kind).tolist() for t in texts] == want, token
+
+
 # 5
 def test_exact_dedup_of_odd_rows(spark, odd):
     got = {(r.doc_id, r.n_chars): r for r in odd.select("doc_id", "text", "n_chars").join(exact_dedup.exact_groups(odd), "doc_id").collect()}

@@ -7,8 +7,9 @@ lowest-rank pair is merged at all its places from the left, and words with no pa
 left drop out.  Ids of short words are kept for later batches in a bounded table.
 
 Defined results: a null text is an empty one and has no ids; very long words are
-merged like others; the strings of special tokens in a text become their ids, as
-the file says; repeated rows repeat; columns besides doc_id and text are ignored;
+merged like others; the strings of added tokens in a text become their ids, as
+the file says (a file whose added tokens are sought in normalised text, as single words
+or with the space around them is left to the library as a whole); repeated rows repeat; columns besides doc_id and text are ignored;
 an empty table gives no rows.
 """
 
@@ -60,6 +61,11 @@ def splits_at_space(spec: dict) -> bool:
     )
 
 
+def literal_tokens(spec: dict) -> bool:
+    """Whether every added token of a tokenizer file is found as it stands in the raw text, wherever it stands."""
+    return not any(t.get(flag) for t in spec.get("added_tokens") or [] for flag in ("normalized", "single_word", "lstrip", "rstrip"))
+
+
 def pieces(text: str) -> list[str]:
     """The parts of a text between white space; white space never joins what is merged."""
     return _inner_space.split(text.strip(" \t\n\x0b\x0c\r")) if _separators.search(text) else text.split()
@@ -76,6 +82,8 @@ class Bpe:
         if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or odd or not splits_at_space(spec) or spec["decoder"]:
             raise ValueError(f"{path}: not a byte-level BPE file with word ends, split at white space")
         self.library, vocab = Tokenizer.from_file(path), model["vocab"]
+        self.library.no_truncation()
+        self.library.no_padding()
         special = {t["content"]: self.library.token_to_id(t["content"]) for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*vocab.values(), *special.values()]) + 1)
         for token, i in (vocab | special).items():
@@ -91,6 +99,7 @@ class Bpe:
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + WORD_END] for c in letters], np.int32)
         self.byte_of = {ord(c): b for b, c in enumerate(letters)}
+        self.literal = literal_tokens(spec)
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known: dict[str, bytes] = {}
@@ -164,10 +173,14 @@ class Bpe:
         return {p: b"".join([ids[w] for w in words]) for p, words in zip(parts, split)}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; one that holds the string of a special token is cut there first."""
-        if self.special and any("<|" in t for t in texts):
-            return [self._with_special(t) if self.special_split.search(t) else self._plain([t])[0] for t in texts]
-        return self._plain(texts)
+        """Ids of each text; one that holds the string of an added token is cut there first."""
+        if not self.literal:
+            return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) for t in texts]
+        held = [any(s in t for s in self.special) for t in texts]
+        if not any(held):
+            return self._plain(texts)
+        plain = iter(self._plain([t for t, h in zip(texts, held) if not h]))
+        return [self._with_special(t) if h else next(plain) for t, h in zip(texts, held)]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         split, known = [pieces(t) for t in texts], self.known

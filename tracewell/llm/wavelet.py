@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import splits_at_space
+from .bpe import literal_tokens, splits_at_space
 from .common import fresh_path, id_and_text, running_start, small_batches
 
 MAGIC = b"TWM1"
@@ -196,7 +196,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.at_space = splits_at_space(json.load(f))
+            spec = json.load(f)
         self.bits = max(1, (max(self.tokenizer.get_vocab(with_added_tokens=True).values()) | END_ID).bit_length())
         self.code, self.kind = ("H", "<u2") if self.bits <= 16 else ("I", "<u4")
         letters = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha())
@@ -204,6 +204,9 @@ class Encoder:
         self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         #: A Latin word and the marks after it, which the tokenizer parts there.
         self.word = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\[-`{-~]*)")
+        #: Added tokens that a part, or its word and marks taken apart, could hide need whole texts.
+        hidden = [t["content"] for t in spec.get("added_tokens") or [] if re.search(r"\s", t["content"]) or self.word.fullmatch(t["content"])]
+        self.at_space = splits_at_space(spec) and literal_tokens(spec) and not hidden
         self.inner_space, self.separators = re.compile("[ \t\n\x0b\x0c\r]+"), re.compile("[\x1c-\x1f]")
         self.known: dict[str, bytes] = {}
 
