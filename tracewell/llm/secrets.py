@@ -18,13 +18,14 @@ empty ledger.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,11 @@ def rule_version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(tuple((r.kind, r.pattern, r.group, r.least) for r in rules)).encode()).hexdigest()[:16]
 
 
+#: Matches that are walked from one known offset.
+BLOCK = 256
+#: A blob of more rows than this share of all (and than 64) is dealt out with its findings.
+HOT_SHARE = 10_000
+
 LEDGER = "blob string, rule_version string, findings array<struct<start:int,rank:int,kind:string,stop:int>>"
 
 
@@ -65,22 +71,35 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     steps = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("n")))
     steps = F.zip_with(steps, part, lambda s, p: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), (F.char_length(p) >= rule.least).alias("holds")))
     none = F.lit([]).cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["n"]).alias("at"),
-            F.when(
-                s["holds"],
-                F.concat(
-                    acc["found"],
-                    F.array(F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + s["gap"] + s["n"]).alias("stop"))),
-                ),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
+
+    def walked(block: Column, start: Column) -> Column:
+        found = lambda acc, s: F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + s["gap"] + s["n"]).alias("stop"))
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), none.alias("found")),
+            lambda acc, s: F.struct(
+                (acc["at"] + s["gap"] + s["n"]).alias("at"),
+                F.when(s["holds"], F.concat(acc["found"], F.array(found(acc, s)))).otherwise(acc["found"]).alias("found"),
+            ),
+            lambda acc: acc["found"],
+        )
+
+    # Appending copies an array, so that matches are walked in blocks, each from the sum of those before it.
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: F.slice(s, k * BLOCK + 1, F.lit(BLOCK)))
+    length = lambda block: F.aggregate(block, F.lit(0), lambda acc, s: acc + s["gap"] + s["n"])
+    starts = lambda blocks: F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<int>").alias("starts")),
+        lambda acc, block: F.struct((acc["at"] + length(block)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"],
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
+    found = _with(steps, lambda s: _with(cut(s), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), walked))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def findings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -108,7 +127,7 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: t
     spark, version = versions.sparkSession, rule_version(rules)
     ledger_path = ledger_path or fresh_path(spark, "ledger")
     body = F.coalesce(F.col(text), F.lit(""))
-    paths = versions.select(F.col(path), hex_of(body).alias("blob"))
+    paths = written(versions.select(F.col(path), hex_of(body).alias("blob")), "paths")
     blobs = versions.select(hex_of(body).alias("blob"), body.alias("_body"))
     known = open_ledger(spark, ledger_path).where(F.col("rule_version") == version)
     if not known.isEmpty():
@@ -119,7 +138,19 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: t
     ledger = spark.read.schema(LEDGER).parquet(ledger_path)
     hits = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
     none = F.lit([]).cast(hits.schema["findings"].dataType)
-    return paths.join(hits, "blob", "left").select(path, "blob", F.coalesce("findings", none).alias("findings")), ledger
+    return _join_back(paths, hits).select(path, "blob", F.coalesce("findings", none).alias("findings")), ledger
+
+
+def _join_back(paths: DataFrame, hits: DataFrame) -> DataFrame:
+    """``paths`` with the findings of their blobs, if any. Rows of a blob that many have are dealt out, and each part meets a copy of the findings.
+
+    Names of such blobs are at most ``HOT_SHARE``, so they are broadcast; findings, of any size, are not.
+    """
+    share = max(64, paths.count() // HOT_SHARE)
+    hot = paths.groupBy("blob").count().where(F.col("count") > share).select("blob", F.ceil(F.col("count") / share).cast("int").alias("_parts"))
+    dealt = paths.join(F.broadcast(hot), "blob", "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    copies = hits.join(F.broadcast(hot), "blob", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies.hint("merge"), ["blob", "_part"], "left")
 
 
 def hex_of(body: Column) -> Column:
