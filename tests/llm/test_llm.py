@@ -115,6 +115,19 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.normalise(next(t for d, t in table[::-1] if d == 102)[whole.start : whole.stop]) == decontaminate.normalise(bench[0][1]) or whole.stop > 0
 
 
+def test_decontamination_by_many_items_of_one_template():
+    items = [(i, f"what is the sum of {i:04d} and {i * 7 % 9999:04d} when both are in base ten") for i in range(300)]
+    text = "Question: " + items[77][1] + ", or not"
+    norm = decontaminate.normalise(text)
+    want = {i: e for i, t in items if (e := best_edits(t, norm)) <= int(len(t) * decontaminate.EDIT_SHARE)}
+    got = decontaminate.search(text, decontaminate.Block.of(items))
+    assert {i: e for i, _, _, e in got} == want and len(want) > 10 and want[77] == 0
+    many = [(i, f"what is the sum of {i:04d} and {i * 7 % 9999:04d} when both are in base ten") for i in range(2000)]
+    block, started = decontaminate.Block.of(many), time.monotonic()
+    decontaminate.search(many[77][1], block)
+    assert time.monotonic() - started < 5
+
+
 # 2
 def test_secrets_of_odd_texts(spark, odd):
     got = {r.doc_id: r for r in secrets.secret_report(odd).collect()}

@@ -37,6 +37,8 @@ Q = 8
 EDIT_SHARE = 0.1
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
+#: Letters and diagonals of the bands that are aligned at once.
+ALIGN_CELLS = 2_000_000
 
 MATCHES = "doc_id long, item_id long, start int, stop int, edits int"
 
@@ -160,39 +162,71 @@ class Items:
         _, back, n = np.unique(key, return_inverse=True, return_counts=True)
         return n[back]
 
-    def align(self, codes: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Start, stop, edits of the best place on the band's diagonals, if within the budget."""
-        wanted, k, w = self.codes[item], int(self.edits[item]), int(self.width[item])
-        for start in range(max(0, diagonal), min(diagonal + 2 * w, len(codes) - len(wanted) + 1)):
-            if codes[start] == wanted[0] and np.array_equal(codes[start : start + len(wanted)], wanted):
-                return start, start + len(wanted), 0
-        stop, edits = banded(wanted, codes, diagonal - k, diagonal + 2 * w + k)
-        if edits > k:
-            return None
-        back, _ = banded(wanted[::-1], codes[max(0, stop - len(wanted) - k) : stop][::-1], -k, k, anchored=True)
-        return stop - back, stop, edits
-
-
-def banded(wanted: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False) -> tuple[int, int]:
-    """End and edits of the best alignment of all of ``wanted`` to a part of ``text`` on diagonals low to high.
-
-    ``anchored``: the part begins at 0; else anywhere. Of equal ones the first. Beyond the ends of
-    the text stand letters that equal none, at the price of leaving out a letter of ``wanted``.
+    def align(self, codes: np.ndarray, found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """item, start, stop, edits of the best place on the diagonals of each band, if within the budget. Bands of items of one length go together."""
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for item, diagonal in found:
+            by_size.setdefault(int(self.sizes[item]), []).append((item, diagonal))
+        for size, bands in by_size.items():
+            k, w = int(self.edits[bands[0][0]]), int(self.width[bands[0][0]])
+            step = max(1, ALIGN_CELLS // (2 * w + 2 * k + 1 + size))
+            for i in range(0, len(bands), step):
+                yield from self._align(codes, np.array(bands[i : i + step], np.int64), size, k, w)
+
+    def _align(self, codes: np.ndarray, bands: np.ndarray, size: int, k: int, w: int) -> Iterator[tuple[int, int, int, int]]:
+        items, diagonal = bands.T
+        which, back = np.unique(items, return_inverse=True)
+        wanted = np.stack([self.codes[i] for i in which.tolist()])[back]
+        start, left = np.full(len(items), -1, np.int64), np.arange(len(items))
+        for offset in range(2 * w):  # exact places first
+            at = diagonal[left] + offset
+            held = (at >= 0) & (at + size <= len(codes))
+            held[held] = codes[at[held]] == wanted[left[held], 0]
+            held[held] = (codes[at[held][:, None] + np.arange(size)] == wanted[left[held]]).all(axis=1)
+            start[left[held]] = at[held]
+            left = left[~held]
+        yield from ((int(items[i]), int(start[i]), int(start[i]) + size, 0) for i in np.flatnonzero(start >= 0))
+        if not len(left):
+            return
+        low, slides = diagonal[left] - k, 2 * w + 2 * k + 1
+        at = low[:, None] + np.arange(slides + size)
+        end, edits = banded(wanted[left], _letters_at(codes, at, (at >= 0) & (at < len(codes))), np.zeros((len(left), slides), np.int64))
+        stop = np.clip(low + end + size, 0, len(codes))
+        good = edits <= k
+        left, stop, edits = left[good], stop[good], edits[good]
+        if not len(left):
+            return
+        # the start: the same backwards from the stop, where the part begins there
+        part = np.minimum(stop, size + k)
+        at = np.arange(2 * k + 1 + size) - k
+        first = np.abs(np.arange(-k, k + 1))
+        first[:k] = 1 << 30
+        end, _ = banded(wanted[left][:, ::-1], _letters_at(codes, stop[:, None] - 1 - at, (at >= 0) & (at < part[:, None])), np.tile(first, (len(left), 1)))
+        length = np.clip(end - k + size, 0, part)
+        yield from zip(items[left].tolist(), (stop - length).tolist(), stop.tolist(), edits.tolist())
+
+
+def _letters_at(codes: np.ndarray, at: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Letters at the places; one that equals none where a place is not held."""
+    if not len(codes):
+        return np.full(at.shape, 0xFFFFFFFF, np.uint32)
+    return np.where(held, codes[np.clip(at, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))
+
+
+def banded(wanted: np.ndarray, reach: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last diagonal (counted from the band's lowest) and edits of the best alignment of all of each item in its band.
+
+    Rows are bands: ``wanted`` has the letters of the items, ``reach`` those of the text from the band's
+    first column on, ``row`` what it costs to begin on each diagonal. Of equal ends the first. Beyond
+    the ends of the text stand letters that equal none, at the price of leaving out a letter of the item.
     """
-    slide = np.arange(high - low + 1)
-    reach = np.full(len(slide) + len(wanted), 0xFFFFFFFF, np.uint32)  # text from column low on
-    a, z = max(0, low), min(len(text), low + len(reach))
-    if z > a:
-        reach[a - low : z - low] = text[a:z]
-    row = np.zeros(len(slide), np.int64)
-    if anchored:
-        row = np.where(slide + low >= 0, slide + low, 1 << 30)
-    for i, letter in enumerate(wanted):
-        new = row + (reach[i : i + len(slide)] != letter)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])  # a letter of the item is missing in the text
-        row = np.minimum.accumulate(new - slide) + slide  # letters that the item lacks
-    at = int(row.argmin())
-    return min(max(0, at + low + len(wanted)), len(text)), int(row[at])
+    slide = np.arange(row.shape[1])
+    for i in range(wanted.shape[1]):
+        new = row + (reach[:, i : i + len(slide)] != wanted[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])  # a letter of the item is missing in the text
+        row = np.minimum.accumulate(new - slide, axis=1) + slide  # letters that the item lacks
+    at = row.argmin(axis=1)
+    return at, row[np.arange(len(row)), at]
 
 
 @dataclass
@@ -225,9 +259,8 @@ def search(text: str, block: Block) -> list[tuple[int, int, int, int]]:
         if len(codes) < items.q:
             continue
         found: dict[int, list] = {}
-        for item, diagonal in items.regions(codes):
-            if (place := items.align(codes, item, diagonal)) is not None:
-                found.setdefault(item, []).append(place)
+        for item, *place in items.align(codes, items.regions(codes)):
+            found.setdefault(item, []).append(tuple(place))
         for item, places in found.items():
             chosen: list[tuple[int, int, int]] = []
             for start, stop, edits in sorted(set(places), key=lambda p: (p[2], p[0], p[1])):
