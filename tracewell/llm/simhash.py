@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, written
+from .common import id_and_text, join_totals, small_batches, written
 from .components import components
 
 WORDS, BITS, SEED = 3, 3, 42
@@ -94,13 +94,13 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = written(fingerprints(docs, words, seed), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_of_key"))
     joined = components(links(nodes, bits))
     named = nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
     linked = named.where("component is not null")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    of = named.where("component is null").select("fp", F.col("least").alias("component_id")).unionByName(linked.join(names, "component").select("fp", F.col("name").alias("component_id")))
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = named.where("component is null").select("fp", "n_of_key", F.col("least").alias("component_id")).unionByName(linked.join(names, "component").select("fp", "n_of_key", F.col("name").alias("component_id")))
+    return join_totals(prints, of, "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
