@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, join_totals, small_batches, written
@@ -452,7 +452,8 @@ def _expand(length: int, k: int, anchor_bytes: int):
 
 
 def windows_apart(rows: DataFrame, length: int) -> DataFrame:
-    """anchor, key, holder and window range [a, z) for the segments (anchor, key, body, holder) of large anchors: every window is a row."""
+    """anchor, key, holder and window range [a, z) for the segments (anchor, key, body, holder) of large anchors: every window is a row,
+    and neighbours with one smallest holder are put together again."""
     at = F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("a")
     windows = rows.select("anchor", "key", "body", "holder", at).select("anchor", "key", "a", "holder", F.substring("body", F.col("a") + 1, length).alias("window"))
     windows = written(windows, "windows", "zstd")
@@ -460,7 +461,11 @@ def windows_apart(rows: DataFrame, length: int) -> DataFrame:
     if not n:
         return windows.select("anchor", "key", "holder", "a", F.col("a").alias("z"))
     least = windows.groupBy("window").agg(F.min("holder").alias("least"), F.count("*").alias("n_of_key"))
-    return join_totals(windows.drop("holder"), least, "window", n).select("anchor", "key", F.col("least").alias("holder"), "a", (F.col("a") + 1).alias("z")).distinct()
+    held = join_totals(windows.drop("holder"), least, "window", n).select("anchor", "key", F.col("least").alias("holder"), "a").distinct()
+    # neighbouring windows of one holder are one range, so that a segment meets each of its documents once and not for every window
+    at = Window.partitionBy("anchor", "key", "holder").orderBy("a")
+    runs = held.withColumn("_run", F.col("a") - F.row_number().over(at)).groupBy("anchor", "key", "holder", "_run").agg(F.min("a").alias("a"), F.max("a").alias("z"))
+    return runs.select("anchor", "key", "holder", "a", (F.col("z") + 1).alias("z"))
 
 
 def squeezed(tagged: DataFrame) -> DataFrame:
