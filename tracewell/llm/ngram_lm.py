@@ -14,10 +14,10 @@ documents but the one that is scored, so no text vouches for itself; with
    nothing.  Each batch sends short hashes of its n-grams, as sorted sets, and learns
    which of them another batch has too.  Equal hashes of different n-grams only let
    more through.
-3. The n-grams that are left are rows of their own words, dealt to the bucket that
-   their hash names.  Counts are summed over equal n-grams, told apart by their words,
-   and stand beside each of them: the sum is a window over the bucket's own
-   partition, which joins the table of counts to the n-grams without another shuffle.
+3. The n-grams that are left are dealt to the bucket that their hash names, as
+   compressed lists of their words.  A task has the table of counts of one bucket and
+   order at a time, bounded by PART_WORDS: counts are summed over equal n-grams, told
+   apart by their words, and the table is joined to each list where it is.
 4. The totals go back to the batches, in the order asked, and these add up their
    documents.
 
@@ -35,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, small_batches
@@ -48,13 +49,11 @@ ORDER, BACKOFF = 3, 0.4
 BATCH_BYTES = 6 << 20
 #: Words of the corpus for each part of the hashes and each bucket of the count table.
 PART_WORDS = 1 << 20
-#: Rows that a task packs by batch before they go back.
-PACK_ROWS = 1 << 21
 
 BATCHES = "batch long, doc_ids binary, sizes binary, texts binary"
 HASHES = "part int, n int, batch long, hashes binary"
 SHARED = "batch long, n int, part int, bits binary"
-ASKED = "bucket int, batch long, n int, grams string, counts array<long>"
+ASKED = "bucket int, batch long, n int, grams binary, counts binary"
 ANSWERS = "batch long, n int, bucket int, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
@@ -124,42 +123,45 @@ class Batch:
 
     def __init__(self, texts: bytes, sizes: bytes, order: int, hash_of: Callable[[bytes], int] = HASH) -> None:
         text, ends = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
-        lists = [words_of(text[a:z]) for a, z in zip([0, *ends[:-1]], ends)]
-        self.counts = np.array(list(map(len, lists)), np.int64)
         number: dict[bytes, int] = {}
-        take = number.setdefault
-        self.ids = np.fromiter((take(w, len(number)) for words in lists for w in words), np.int64, int(self.counts.sum()))
+        take, ids = number.setdefault, []
+        for a, z in zip([0, *ends[:-1]], ends):  # the words of one document at a time are objects
+            words = words_of(text[a:z])
+            ids.append(np.fromiter((take(w, len(number)) for w in words), np.int32, len(words)))
+        self.counts = np.array(list(map(len, ids)), np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        del text, ids
         self.vocabulary = list(number)
-        self.doc = np.repeat(np.arange(len(lists)), self.counts)
-        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)  # place in the document
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        self.at = np.arange(len(self.ids), dtype=np.int32) - np.repeat((np.cumsum(self.counts) - self.counts).astype(np.int32), self.counts)  # place in the document
         self.hash_of_word = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
         self.grams: list[Grams] = []
         before = None
         for n in range(1, order + 1):
             where = np.flatnonzero(self.at >= n - 1)
-            key = self.ids[where] if before is None else before[where - 1] * (len(number) + 1) + self.ids[where]
+            key = self.ids[where].astype(np.int64) if before is None else before[where - 1].astype(np.int64) * (len(number) + 1) + self.ids[where]
             self.grams.append(self._different(key, where, n))
-            before = np.zeros(len(self.ids), np.int64)
+            before = np.zeros(len(self.ids), np.int32)
             before[where] = self.grams[-1].of
 
     def _different(self, key: np.ndarray, where: np.ndarray, n: int) -> Grams:
         order = np.argsort(key, kind="stable")  # documents stay in order among equal ones
         new = np.r_[len(key) > 0, key[order[1:]] != key[order[:-1]]][: len(key)]
         first = np.flatnonzero(new)
-        of = np.empty(len(key), np.int64)
+        of = np.empty(len(key), np.int32)
         of[order] = np.cumsum(new) - 1
         doc = self.doc[where][order]
         new_doc = new | np.r_[len(doc) > 0, doc[1:] != doc[:-1]][: len(doc)]
         runs = np.flatnonzero(new_doc)
-        own = np.empty(len(key), np.int64)
+        own = np.empty(len(key), np.int32)
         own[order] = np.repeat(np.diff(np.r_[runs, len(key)]), np.diff(np.r_[runs, len(key)]))
-        n_docs = np.add.reduceat(new_doc, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
-        ends = where[order[first]]
+        n_docs = np.add.reduceat(new_doc, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32)
+        ends = where[order[first]].astype(np.int32)
         h = self.hash_of_word[self.ids[ends - (n - 1)]]
         for back in range(n - 2, -1, -1):
             h = (h ^ h >> np.uint64(29)) * _mix + self.hash_of_word[self.ids[ends - back]]
         h = (h ^ h >> np.uint64(32)) * _mix_2
-        return Grams(of, ends, np.diff(np.r_[first, len(key)]), n_docs, own, h ^ h >> np.uint64(29))
+        return Grams(of, ends, np.diff(np.r_[first, len(key)]).astype(np.int32), n_docs, own, h ^ h >> np.uint64(29))
 
     def text_of(self, n: int, numbers: np.ndarray) -> str:
         """The n-grams themselves, words joined by a space, a line for each."""
@@ -267,18 +269,19 @@ def asked_grams(batch: Batch, parts: int, bits: int, answers: list | None) -> It
 
 
 def _ask(order: int, parts: int, bits: int, sifted: bool, hash_of: Callable[[bytes], int]):
-    """Each batch's n-grams as lists by bucket, with their counts."""
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+    """Each batch's n-grams as lists by bucket, compressed for the shuffle, with their counts."""
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["bucket", "batch", "n", "grams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "bits"))):
                 batch, rows = Batch(texts, sizes, order, hash_of), []
                 for n, bucket, mine in asked_grams(batch, parts, bits, (answers or []) if sifted else None):
-                    rows.append((bucket, name, n, batch.text_of(n, mine), batch.grams[n - 1].counts[mine]))
+                    rows.append((bucket, name, n, squeeze(batch.text_of(n, mine).encode("utf-8")), _narrow(batch.grams[n - 1].counts[mine])))
                     if len(rows) == 64:
                         yield packed(rows)
                         rows = []
@@ -309,36 +312,36 @@ def _wide(data: bytes) -> np.ndarray:
     return x
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals by batch, order and bucket, in the order asked."""
-    kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ("batch", "n", "bucket", "place", "total")
-
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        batch, n, bucket, place, total = (np.concatenate([h[i] for h in held]) for i in range(5))
-        order = np.lexsort((place, bucket, n, batch))
-        batch, n, bucket, place, total = (x[order] for x in (batch, n, bucket, place, total.astype(np.uint64)))
-        new = np.flatnonzero(np.r_[True, (batch[1:] != batch[:-1]) | (n[1:] != n[:-1]) | (bucket[1:] != bucket[:-1]), True]).tolist()
-        # the places are 0, 1, 2 ... unless the list was parted between two packs
-        out = [(int(batch[a]), int(n[a]), int(bucket[a]), _narrow(place[a:z].astype(np.uint64)) if z - a <= place[z - 1] else b"", _narrow(total[a:z])) for a, z in zip(new, new[1:])]
-        rows = [(b, o, k, len(p).to_bytes(4, "little") + p + t) for b, o, k, p, t in out]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["batch", "n", "bucket", "totals"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of (bucket, n): the table of counts of the bucket's n-grams, joined to each list in the order asked."""
+    kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["batch", "n", "bucket", "totals"]
+
+    def answer(bucket: int, n: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        counts = [_wide(c).astype(np.int64) for _, _, c in rows]
+        text = pa.array([b"\n".join(unpack(g) for _, g, _ in rows)], pa.large_binary()).cast(pa.large_string())
+        grams = pc.split_pattern(text, "\n").flatten()
+        of = grams.dictionary_encode().indices.to_numpy()
+        table = np.zeros(int(of.max()) + 1, np.int64)
+        np.add.at(table, of, np.concatenate(counts))
+        ends = np.cumsum(list(map(len, counts))).tolist()
+        cut = list(zip([0, *ends[:-1]], ends))
+        if ends[-1] != len(of):
+            raise ValueError("an n-gram has no count")
+        for i in range(0, len(rows), 500):
+            out = [(rows[j][0], n, bucket, _narrow(table[of[a:z]])) for j, (a, z) in enumerate(cut[i : i + 500], i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
 
-    held, size = [], 0
+    at, rows = None, []
     for b in batches:
-        held.append(tuple(b.column(c).to_numpy() for c in names))
-        size += b.num_rows
-        if size >= PACK_ROWS:
-            yield packed(held)
-            held, size = [], 0
-    if size:
-        yield packed(held)
-
-
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and totals of a pack."""
-    size = int.from_bytes(data[:4], "little")
-    totals = _wide(data[4 + size :]).astype(np.int64)
-    return _wide(data[4 : 4 + size]).astype(np.int64) if size else np.arange(len(totals)), totals
+        for bucket, batch, n, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if (bucket, n) != at and rows:
+                yield from answer(*at, rows)
+                rows = []
+            at = (bucket, n)
+            rows.append((batch, *row))
+    if rows:
+        yield from answer(*at, rows)
 
 
 def backoff_logs(counts: np.ndarray, left: list[np.ndarray], all_words: np.ndarray, backoff: float) -> np.ndarray:
@@ -363,14 +366,12 @@ def _score(order: int, parts: int, bits: int, all_words: int, backoff: float, le
             for doc_ids, sizes, texts, sifted, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts", "bits", "answers"))):
                 batch = Batch(texts, sizes, order, hash_of)
                 totals = [np.full(len(g.ends), -1, np.int64) for g in batch.grams]
-                told: dict[tuple[int, int], list[bytes]] = {}
-                for a in answers or ():
-                    told.setdefault((a["n"], a["bucket"]), []).append(a["totals"])
+                told = {(a["n"], a["bucket"]): a["totals"] for a in answers or ()}
                 for n, bucket, mine in asked_grams(batch, parts, bits, (sifted or []) if leave_out else None):
-                    for places, found in map(unpacked, told[n, bucket]):
-                        totals[n - 1][mine[places]] = found
-                    if (totals[n - 1][mine] < 0).any():
+                    found = _wide(told[n, bucket])
+                    if len(found) != len(mine):
                         raise ValueError("an n-gram has no total")
+                    totals[n - 1][mine] = found
                 left = []
                 for n, grams in enumerate(batch.grams, 1):
                     out = np.zeros(len(batch.ids))
@@ -402,11 +403,8 @@ def score(
     else:
         gathered = gathered.withColumn("bits", F.lit(None).cast("array<struct<n:int,part:int,bits:binary>>"))
     lists = gathered.mapInArrow(_ask(order, parts, bits, leave_out, hash_of), ASKED).repartition(parts, "bucket")
-    counts = F.transform("counts", lambda c, i: F.struct(c.alias("count"), i.alias("place")))
-    lists = lists.select("bucket", "batch", "n", F.arrays_zip(F.split("grams", "\n", -1).alias("gram"), counts.alias("own")).alias("grams"))
-    grams = lists.select("bucket", "batch", "n", F.inline("grams")).select("bucket", "batch", "n", "gram", "own.*")
-    counted = grams.select("batch", "n", "bucket", "place", F.sum("count").over(Window.partitionBy("bucket", "n", "gram")).alias("total"))
-    answers = counted.mapInArrow(_pack, ANSWERS).groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))  # at most the n-grams of a batch
+    answers = lists.sortWithinPartitions("bucket", "n").mapInArrow(_counted, ANSWERS)
+    answers = answers.groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))  # at most the n-grams of a batch
     scored = gathered.join(answers.hint("merge"), "batch", "left").mapInArrow(_score(order, parts, bits, all_words, backoff, leave_out, hash_of), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
