@@ -132,6 +132,7 @@ class Batch:
         self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
         del text, ids
         self.vocabulary = list(number)
+        self.words = pa.array(self.vocabulary, pa.binary())
         self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         self.at = np.arange(len(self.ids), dtype=np.int32) - np.repeat((np.cumsum(self.counts) - self.counts).astype(np.int32), self.counts)  # place in the document
         self.hash_of_word = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
@@ -163,11 +164,13 @@ class Batch:
         h = (h ^ h >> np.uint64(32)) * _mix_2
         return Grams(of, ends, np.diff(np.r_[first, len(key)]).astype(np.int32), n_docs, own, h ^ h >> np.uint64(29))
 
-    def text_of(self, n: int, numbers: np.ndarray) -> str:
+    def text_of(self, n: int, numbers: np.ndarray) -> bytes:
         """The n-grams themselves, words joined by a space, a line for each."""
-        words, ends = self.vocabulary, self.grams[n - 1].ends[numbers]
-        columns = [[words[i] for i in self.ids[ends - back].tolist()] for back in range(n - 1, -1, -1)]
-        return b"\n".join(map(b" ".join, zip(*columns))).decode("utf-8")
+        ends = self.grams[n - 1].ends[numbers]
+        columns = [self.words.take(pa.array(self.ids[ends - back])) for back in range(n - 1, -1, -1)]
+        lines = columns[0] if n == 1 else pc.binary_join_element_wise(*columns, b" ")
+        lines = pc.binary_join_element_wise(lines, b"", b"\n")  # each with its end
+        return lines.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(lines)).as_py() - 1]
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -281,7 +284,7 @@ def _ask(order: int, parts: int, bits: int, sifted: bool, hash_of: Callable[[byt
             for name, sizes, texts, answers in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts", "bits"))):
                 batch, rows = Batch(texts, sizes, order, hash_of), []
                 for n, bucket, mine in asked_grams(batch, parts, bits, (answers or []) if sifted else None):
-                    rows.append((bucket, name, n, squeeze(batch.text_of(n, mine).encode("utf-8")), _narrow(batch.grams[n - 1].counts[mine])))
+                    rows.append((bucket, name, n, squeeze(batch.text_of(n, mine)), _narrow(batch.grams[n - 1].counts[mine])))
                     if len(rows) == 64:
                         yield packed(rows)
                         rows = []
