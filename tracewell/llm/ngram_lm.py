@@ -68,10 +68,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` all texts, one after the other, and how many each of them has."""
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = listed.flatten()
+    real = np.asarray(pc.greater(pc.binary_length(words), 0))  # white space at an end leaves an empty piece
+    counts = np.bincount(np.asarray(pc.list_parent_indices(listed))[real], minlength=len(texts)).astype(np.int64)
+    return words if real.all() else words.filter(pa.array(real)), counts
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = sum(len(t.encode("utf-8", "surrogatepass").split()) for t in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(words_in(b.column(1).cast(pa.large_string()))[1].sum())])], ["n"])
 
 
 def _gather(batch_bytes: int):
@@ -106,6 +114,16 @@ def gather(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     return id_and_text(docs).mapInArrow(_gather(batch_bytes), BATCHES).repartition("batch")
 
 
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys from 0 on, rising, and the places that they had; equal ones stay in the order of their places."""
+    place = max(1, (len(key) - 1).bit_length())
+    if not len(key) or int(key.max()).bit_length() + place > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort(key << place | np.arange(len(key)))  # numbers alone are sorted much faster than places by them
+    return both >> place, both & ((1 << place) - 1)
+
+
 @dataclass
 class Grams:
     """The different n-grams of one order in a batch."""
@@ -122,17 +140,16 @@ class Batch:
     """Words and n-grams of the documents of a batch; n-grams are told apart by the numbers of their words."""
 
     def __init__(self, texts: bytes, sizes: bytes, order: int, hash_of: Callable[[bytes], int] = HASH) -> None:
-        text, ends = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
-        number: dict[bytes, int] = {}
-        take, ids = number.setdefault, []
-        for a, z in zip([0, *ends[:-1]], ends):  # the words of one document at a time are objects
-            words = words_of(text[a:z])
-            ids.append(np.fromiter((take(w, len(number)) for w in words), np.int32, len(words)))
-        self.counts = np.array(list(map(len, ids)), np.int64)
-        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
-        del text, ids
-        self.vocabulary = list(number)
+        ends = np.cumsum(np.r_[0, np.frombuffer(sizes, "<u4")], dtype=np.int64)
+        text = pa.py_buffer(zstandard.ZstdDecompressor().decompress(texts))
+        words, self.counts = words_in(pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), text]))
+        words = words.dictionary_encode()
+        self.ids = words.indices.to_numpy()
+        cuts, held = (b"" if x is None else x.to_pybytes() for x in words.dictionary.buffers()[1:])
+        cuts = np.frombuffer(cuts, "<i8")[: len(words.dictionary) + 1].tolist()
+        self.vocabulary = [held[a:z] for a, z in zip(cuts, cuts[1:])]
         self.words = pa.array(self.vocabulary, pa.binary())
+        del text, words
         self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         self.at = np.arange(len(self.ids), dtype=np.int32) - np.repeat((np.cumsum(self.counts) - self.counts).astype(np.int32), self.counts)  # place in the document
         self.hash_of_word = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
@@ -140,14 +157,14 @@ class Batch:
         before = None
         for n in range(1, order + 1):
             where = np.flatnonzero(self.at >= n - 1)
-            key = self.ids[where].astype(np.int64) if before is None else before[where - 1].astype(np.int64) * (len(number) + 1) + self.ids[where]
+            key = self.ids[where].astype(np.int64) if before is None else before[where - 1].astype(np.int64) * (len(self.vocabulary) + 1) + self.ids[where]
             self.grams.append(self._different(key, where, n))
             before = np.zeros(len(self.ids), np.int32)
             before[where] = self.grams[-1].of
 
     def _different(self, key: np.ndarray, where: np.ndarray, n: int) -> Grams:
-        order = np.argsort(key, kind="stable")  # documents stay in order among equal ones
-        new = np.r_[len(key) > 0, key[order[1:]] != key[order[:-1]]][: len(key)]
+        key, order = in_order(key)
+        new = np.r_[len(key) > 0, key[1:] != key[:-1]][: len(key)]
         first = np.flatnonzero(new)
         of = np.empty(len(key), np.int32)
         of[order] = np.cumsum(new) - 1
@@ -155,7 +172,8 @@ class Batch:
         new_doc = new | np.r_[len(doc) > 0, doc[1:] != doc[:-1]][: len(doc)]
         runs = np.flatnonzero(new_doc)
         own = np.empty(len(key), np.int32)
-        own[order] = np.repeat(np.diff(np.r_[runs, len(key)]), np.diff(np.r_[runs, len(key)]))
+        times = np.diff(np.r_[runs, len(key)])
+        own[order] = np.repeat(times, times)
         n_docs = np.add.reduceat(new_doc, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32)
         ends = where[order[first]].astype(np.int32)
         h = self.hash_of_word[self.ids[ends - (n - 1)]]
@@ -211,7 +229,7 @@ def _sift(order: int, parts: int, bits: int, hash_of: Callable[[bytes], int]):
             for batch, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "texts"))):
                 out = []
                 for n, grams in enumerate(Batch(texts, sizes, order, hash_of).grams[1:], 2):
-                    short, _ = short_hashes(grams.hashes, bits)
+                    short = np.unique(grams.hashes >> np.uint64(64 - bits))
                     part = _part_of(short, bits, parts)
                     out += [(int(part[a]), n, batch, pack_sorted(short[a:z])) for a, z in _cuts(part)]
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
